@@ -166,7 +166,7 @@ def batch_responses(content: Column, n: int) -> Column:
     """SF10. Texts of '#i: text' lines in places 1 to n; the last line of a number counts, a missing one is null."""
     lines = F.split(content, "\n")
     found = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*#(\d{1,9}):", 1).alias("i"), F.trim(F.regexp_extract(x, r"^\s*#\d+:(.*)$", 1)).alias("t"))), lambda r: (r["i"] != "") & (r["t"] != ""))
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.element_at(F.filter(found, lambda r: r["i"].cast("int") == k), -1)["t"])
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.try_element_at(F.filter(found, lambda r: r["i"].cast("int") == k), F.lit(-1))["t"])
 
 
 def origin_key(url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tiergraph.plans import build_queries  # noqa: F401
+from tiergraph.plans import ask_queries, build_queries  # noqa: F401
 from tiergraph.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
