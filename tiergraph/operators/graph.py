@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tiergraph.schema import DEPENDENCY_TYPES
@@ -282,6 +281,3 @@ def compare_resolutions(first: DataFrame, second: DataFrame) -> DataFrame:
         .when(F.col("target_id") == F.col("other"), "agree").otherwise("differ")
     )
     return both.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-FLOW = T.StructType.fromDDL("entry_id string, step bigint, id string, depth bigint, has_cycle boolean")

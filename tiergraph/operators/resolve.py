@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tiergraph.functions import text as X
 
@@ -123,6 +122,3 @@ def find_indexed(requested: DataFrame, files: DataFrame) -> DataFrame:
 def paths_to_ids(paths: DataFrame, files: DataFrame) -> DataFrame:
     """JN19."""
     return files.join(paths.select("path").distinct(), "path", "left_semi").select("path", "id")
-
-
-IMPORTS = T.StructType.fromDDL("row_id bigint, importing string, spec string")
