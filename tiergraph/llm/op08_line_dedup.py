@@ -48,7 +48,9 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
 
 
-PLACE = F.struct(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__no").alias("no"))
+def _place() -> Column:
+    """Order of lines over the corpus."""
+    return F.struct(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__no").alias("no"))
 
 
 def _half_keys() -> Column:
@@ -90,7 +92,7 @@ def near_earlier(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHAR
 
 def decisions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """__id, __th, __exact and __near: the line numbers that go, by document; documents that lose none are absent."""
-    occurrences = _lines(docs).select(*_hashes(), PLACE.alias("place"))
+    occurrences = _lines(docs).select(*_hashes(), _place().alias("place"))
     distinct = occurrences.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     near = near_earlier(docs, distinct, min_chars).withColumn("near", F.lit(True))
     judged = distinct.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
