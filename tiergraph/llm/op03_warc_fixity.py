@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC files.
 
-Pages are written as WARC 1.1 resource records, in page_id order, ``per_file`` ids to a file. A
-file's tree has its records' SHA-256 digests as leaves and, above them, digests over ranges of
+Pages are written as WARC 1.1 resource records, in page_id order, ``per_file`` ids to a file, each
+file one gzip stream; offsets are those of the records in it, uncompressed. A file's tree has its records' SHA-256 digests as leaves and, above them, digests over ranges of
 ``FAN`` nodes in offset order. Two replicas are compared by their roots, and only the children of
 nodes that differ are looked at further, down to the records.
 
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tiergraph.llm.common import cut_lineage
+
 PER_FILE = 1024
 FAN = 16
 NULL_FILES = 256
@@ -68,7 +70,7 @@ def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     # a text line's newline is the last byte of a record
     body = F.expr("substring(record, 1, char_length(record) - 1)").alias("value")
     ordered = rows.repartition("file").sortWithinPartitions("file", "page_id", "digest")
-    ordered.select("file", body).write.partitionBy("file").text(path)
+    ordered.select("file", body).write.option("compression", "gzip").partitionBy("file").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -87,9 +89,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(data: bytes) -> Iterator[tuple[int | None, int, int, str]]:
-    """(page_id, offset, length, digest) of each record; a record whose head can't be read runs to the next head."""
-    import hashlib
+    """(page_id, offset, length, digest) of each record; a record whose head can't be read runs to the next head.
 
+    A cut stream gives the records before the cut, one that can't be unpacked gives none.
+    """
+    import hashlib
+    import zlib
+
+    if data[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+        try:
+            data = stream.decompress(data)
+        except zlib.error:  # nothing of a stream that is spoiled can be told apart
+            data = b""
     at = 0
     while at < len(data):
         head = data.find(b"\r\n\r\n", at)
@@ -117,7 +129,7 @@ def levels(rows: DataFrame, per_file: int = PER_FILE) -> list[DataFrame]:
     out = [rows.select("file", F.col("ordinal").alias("node"), "digest", F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"))]
     span = 1
     while span < per_file * FAN:  # room for repeated ids
-        out.append(level_up(out[-1]))
+        out.append(cut_lineage(level_up(out[-1])))  # a FANth of the rows below
         span *= FAN
     return out
 
@@ -130,11 +142,11 @@ def differing(mine: list[DataFrame], other: list[DataFrame]) -> DataFrame:
         both = a.join(b, (F.col("file") == F.col("f2")) & (F.col("node") == F.col("n2")), "full_outer")
         return both.where(~F.col("digest").eqNullSafe(F.col("d2"))).select(F.coalesce("file", "f2").alias("file"), F.coalesce("node", "n2").alias("node"))
 
-    bad = compare(mine[-1], other[-1])
+    bad = cut_lineage(compare(mine[-1], other[-1]))
     for a, b in zip(mine[-2::-1], other[-2::-1]):
         parents = bad.select(F.col("file").alias("bf"), F.col("node").alias("bn"))
         under = lambda x: x.join(parents, (x["file"] == F.col("bf")) & (F.expr(f"node div {FAN}") == F.col("bn")), "left_semi")
-        bad = compare(under(a), under(b))
+        bad = cut_lineage(compare(under(a), under(b)))
     return bad
 
 
@@ -143,6 +155,7 @@ def audit(mine: DataFrame, other: DataFrame, per_file: int = PER_FILE) -> DataFr
 
     status: ok, or corrupt (digests differ), missing (not in other) or extra (not in mine).
     """
+    mine, other = cut_lineage(mine), cut_lineage(other)  # a line a record, read by every level
     a, b = levels(mine, per_file), levels(other, per_file)
     bad = differing(a, b).withColumn("bad", F.lit(True))
     roots = a[-1].select("file", F.col("digest").alias("root")).join(b[-1].select("file", F.col("digest").alias("other_root")), "file", "full_outer")
