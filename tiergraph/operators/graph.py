@@ -153,9 +153,10 @@ def flow_reach(flow: DataFrame, entries: DataFrame, max_depth: int = 20) -> Data
     frontier = entries.select(F.col("id").alias("entry_id"), "id")
     seen = frontier.withColumn("depth", F.lit(0))
     step = flow.select(F.col("source_id").alias("id"), "target_id")
+    checkpointed = not flow.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
     for depth in range(1, max_depth + 1):
         new = frontier.join(step, "id").select("entry_id", F.col("target_id").alias("id")).distinct()
-        frontier = new.join(seen, ["entry_id", "id"], "left_anti").persist()
+        frontier = new.join(seen, ["entry_id", "id"], "left_anti").checkpoint() if checkpointed else new.join(seen, ["entry_id", "id"], "left_anti").persist()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))

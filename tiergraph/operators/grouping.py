@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def contains(rows: DataFrame) -> DataFrame:
     return rows.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("rel_type"), F.lit("resolved").alias("provenance"))
 
 
-def import_hits(units: DataFrame, files: DataFrame, repo: str, js: dict) -> DataFrame:
+def import_hits(units: DataFrame, files: DataFrame, repo: str, js: dict, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """JN4 to JN11. imports hits from the files of units to the files their imports name.
 
     Rust: crate paths, super and self; JavaScript: ordered candidates; otherwise path-like module
@@ -86,7 +88,7 @@ def import_hits(units: DataFrame, files: DataFrame, repo: str, js: dict) -> Data
     spark = units.sparkSession
     f = files.where("tier = 'file'").select("id", "path")
     raw = units.select(F.col("file").alias("importing"), "language", F.explode("imports").alias("spec")).distinct()
-    rows = raw.withColumn("row_id", F.xxhash64("importing", "spec"))
+    rows = settle(raw.withColumn("row_id", F.xxhash64("importing", "spec")))
     js_rows = rows.where("language in ('JavaScript', 'TypeScript')")
     aliases = spark.createDataFrame(js["aliases"], "prefix string, replacement string")
     packages = spark.createDataFrame(js["packages"], "name string, folder string")
@@ -104,7 +106,7 @@ def import_hits(units: DataFrame, files: DataFrame, repo: str, js: dict) -> Data
     base = F.when(up > 0, F.when(head == "", name).otherwise(F.concat(head, F.lit("/"), name))).otherwise(name)
     tried = python.select("row_id", F.posexplode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")), F.concat(F.lit("src/"), base, F.lit(".py")), F.concat(F.lit("src/"), base, F.lit("/__init__.py")))).alias("priority", "path"))
     d = tried.join(f.select("path", F.col("id").alias("target")), "path").groupBy("row_id").agg(F.min_by("target", "priority").alias("target")).withColumn("provenance", F.lit("resolved"))
-    found = a.unionByName(b).unionByName(c).unionByName(d)
+    found = settle(a).unionByName(settle(b)).unionByName(settle(c)).unionByName(settle(d))
     stems = V.unique_key(f.select(X.stem(F.col("path")).alias("stem"), "id"), "stem", "id").withColumnRenamed("id", "target")
     last = F.lower(F.regexp_extract("spec", r"([A-Za-z0-9_]+)\W*$", 1))
     loose = rows.where("not startswith(spec, '.')").join(found.select("row_id"), "row_id", "left_anti").withColumn("stem", last).join(stems, "stem").select("row_id", "target", F.lit("heuristic").alias("provenance"))
@@ -119,11 +121,14 @@ def call_hits(units: DataFrame, functions_: DataFrame) -> DataFrame:
     return V.call_targets(own.distinct(), functions_).select("source_id", "target_id", F.lit("calls").alias("rel_type"), F.lit("heuristic").alias("provenance"))
 
 
-def relationships(units: DataFrame, tiers: DataFrame, functions_: DataFrame, repo: str, js: dict) -> DataFrame:
-    """All edges of a repository: contains, imports, the depends_on roll-ups of imports, then calls."""
-    imports = E.aggregate(import_hits(units, tiers, repo, js))
+def relationships(units: DataFrame, tiers: DataFrame, functions_: DataFrame, repo: str, js: dict, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All edges of a repository: contains, imports, the depends_on roll-ups of imports, then calls.
+
+    settle may store what several branches read.
+    """
+    imports = settle(E.aggregate(import_hits(units, tiers, repo, js, settle)))
     owners = tiers.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).where("parent is not null")
-    mods = E.lift(imports, owners)
+    mods = settle(E.lift(imports, owners))
     subs = E.lift(mods, owners)
     depends = lambda df: df.select("source_id", "target_id", F.lit("depends_on").alias("rel_type"), "weight", F.lit("resolved").alias("provenance"))
     holds = E.aggregate(contains(tiers.unionByName(functions_)))
