@@ -15,6 +15,10 @@ from tiergraph.plans import summarize as SU
 @pytest.fixture(scope="module")
 def graph(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("graph")
+    small = {"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"}  # compiling costs more than running here
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     g = open_graph(spark, f"file://{base}/store")
     g.create_project("demo")
     g.rust = write(base / "rusty", FILES)
@@ -22,7 +26,9 @@ def graph(spark, tmp_path_factory):
     g.rust_id = g.add_repo(g.rust)
     g.web_id = g.add_repo(g.web)
     g.first = g.ensure_fresh()
-    return g
+    yield g
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def edges(graph, kind):
