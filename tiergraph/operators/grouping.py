@@ -117,7 +117,7 @@ def import_hits(units: DataFrame, files: DataFrame, repo: str, js: dict, settle:
 
 def call_hits(units: DataFrame, functions_: DataFrame) -> DataFrame:
     """JN13, JN14. calls hits from each function to all functions of the called name."""
-    own = V.unit_functions(units, functions_).select(F.col("function_id").alias("source_id"), F.explode("calls").alias("name"))
+    own = V.unit_functions(units, functions_.withColumn("parent_id", F.col("path"))).select(F.col("function_id").alias("source_id"), F.explode("calls").alias("name"))
     return V.call_targets(own.distinct(), functions_).select("source_id", "target_id", F.lit("calls").alias("rel_type"), F.lit("heuristic").alias("provenance"))
 
 

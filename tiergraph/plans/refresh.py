@@ -113,7 +113,7 @@ def analyze_repo(store: Store, repo, full: bool = False) -> RefreshStats:
     files = S.scan(spark, repo.local_path, settings.exclude)
     if settings.languages:
         files = files.where(F.col("language").isin(settings.languages))
-    diff = snapshot(store, repo.id, files).persist()
+    diff = store.settle(snapshot(store, repo.id, files))  # not cached: Spark would take a later scan of the same folder for this one
     changes = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}  # three kinds
     mine = F.col("repo_id") == repo.id
     if not changes and not full:
@@ -129,7 +129,7 @@ def analyze_repo(store: Store, repo, full: bool = False) -> RefreshStats:
     store.publish(code_units=units_all, file_hashes=hashes)
     units = store.read("code_units").where(mine).drop("repo_id")
     paths = [r[0] for r in store.read("file_hashes").where(mine).select("file_path").collect()]  # one repository's file names
-    folders, depth, _ = R.detect_subsystems(repo.name, {k: v for k, v in texts.items()}, paths)
+    folders, depth, _ = R.detect_subsystems(repo.name, texts, [*paths, *texts])
     folders = settings.subsystems or folders
     subs = spark.createDataFrame(list(folders.items()) or [(".", repo.name)], "folder string, name string")
     scanned = files.select("path", "language")
@@ -140,7 +140,7 @@ def analyze_repo(store: Store, repo, full: bool = False) -> RefreshStats:
     tests = store.settle(cfg_tests(files))
     funs = (P.functions(units, tiers, tests) if settings.preserve_function_entities else tiers.limit(0))
     funs = store.settle(funs)
-    js = R.js_config(texts, R.workspace_members(texts, paths) or {})
+    js = R.js_config(texts, R.workspace_members(texts, [*paths, *texts]) or {})
     edges = store.settle(P.relationships(units, tiers, funs, repo.name, js, store.settle))  # read by metrics, flows and the write
     batch = tiers.unionByName(funs)
     e_old, r_old = store.read("entities"), store.read("relationships")
@@ -278,8 +278,9 @@ def reconcile(store: Store, repo_id: str) -> dict[str, int]:
     e, r = store.read("entities"), store.read("relationships")
     mine = F.col("repo_id") == repo_id
     kept, _ = K.reconcile(e.where(mine), r, S.scan(store.spark, repo.local_path))
-    gone = e.where(mine).join(kept.select("id"), "id", "left_anti").select("id").persist()
+    gone = store.settle(e.where(mine).join(kept.select("id"), "id", "left_anti").select("id"))
     n = gone.count()
     edges = r.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti").select(r.columns)
     store.publish(entities=e.join(gone, "id", "left_anti").select(e.columns), relationships=edges)
+    store.clear_scratch()
     return {"entities_removed": n}

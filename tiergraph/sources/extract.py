@@ -212,12 +212,12 @@ def module_map(files: DataFrame, roots: list[str] | None = None, max_depth: int
     own = F.when(F.regexp_like("path", F.lit(r"(^|/)(mod|lib|main)\.rs$")), folder).otherwise(F.regexp_replace("path", r"\.rs$", ""))
     join = lambda d, x: F.when(d == "", x).otherwise(F.concat(d, F.lit("/"), x))
     target = F.when(F.col("attr").isNotNull(), F.array(join(folder, F.col("attr")))).otherwise(F.array(join(own, F.concat("name", F.lit(".rs"))), join(own, F.concat("name", F.lit("/mod.rs")))))
-    edges = decl.select("path", "name", F.explode(target).alias("child")).join(rust.select(F.col("path").alias("child")), "child", "left_semi").persist()
+    edges = decl.select("path", "name", F.explode(target).alias("child")).join(rust.select(F.col("path").alias("child")), "child", "left_semi")
     tops = rust.where(F.col("path").isin(roots)) if roots else rust.where(F.regexp_like("path", F.lit(r"(^|/)src/(lib|main)\.rs$")))
     level = tops.select("path", F.lit("crate").alias("logical"))
     out = level
     for _ in range(max_depth):
-        level = level.join(edges, "path").select(F.col("child").alias("path"), F.concat("logical", F.lit("::"), "name").alias("logical")).join(out.select("path"), "path", "left_anti").persist()
+        level = level.join(edges, "path").select(F.col("child").alias("path"), F.concat("logical", F.lit("::"), "name").alias("logical")).join(out.select("path"), "path", "left_anti")
         if level.isEmpty():
             break
         out = out.unionByName(level)
