@@ -95,7 +95,13 @@ def graph_edges(spark, sf) -> DataFrame:
     contains = e.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("rel_type"))
     imports = file_imports(spark, sf)
     mods = top_edges(spark, sf, 2).select("source_id", "target_id", F.lit("depends_on").alias("rel_type"))
-    return contains.unionByName(imports).unionByName(mods).unionByName(order_calls(spark, sf))
+    # stands for a stored table, so it is made once a query, however often a walk reads it
+    return contains.unionByName(imports).unionByName(mods).unionByName(order_calls(spark, sf)).persist()
+
+
+def held_entities(spark, sf) -> DataFrame:
+    """The entity table as a walk reads it, made once a query."""
+    return A.entities(spark, sf).persist()
 
 
 def file_imports(spark, sf) -> DataFrame:
@@ -161,7 +167,7 @@ def _(spark, sf):
     ).replace("\n, f AS", ", f AS"),
 )
 def _(spark, sf):
-    e = A.entities(spark, sf)
+    e = held_entities(spark, sf)
     return G.impact(e, graph_edges(spark, sf), e.where("id in ('file:12', 'file:40')").select("path"))
 
 
@@ -172,7 +178,7 @@ HOPS = """, s0 AS (SELECT id FROM owner WHERE file_id='file:12'), h1 AS (SELECT
 
 @query("gr5_hop_dependents", with_cte(["dep", "owner"], "").rstrip() + HOPS)
 def _(spark, sf):
-    return G.hops(A.entities(spark, sf), graph_edges(spark, sf), spark.createDataFrame([("file:12",)], "id string"))
+    return G.hops(held_entities(spark, sf), graph_edges(spark, sf), spark.createDataFrame([("file:12",)], "id string"))
 
 
 BLAST = """, d AS (SELECT source_id, target_id, rel_type FROM g WHERE rel_type<>'contains'), s0 AS (SELECT id FROM owner WHERE file_id='file:12'),
@@ -184,19 +190,19 @@ BLAST = """, d AS (SELECT source_id, target_id, rel_type FROM g WHERE rel_type<>
 
 @query("gr6_blast_radius", with_cte(["g", "owner"], "").rstrip() + BLAST)
 def _(spark, sf):
-    return G.blast_radius(A.entities(spark, sf), graph_edges(spark, sf), "file:12")
+    return G.blast_radius(held_entities(spark, sf), graph_edges(spark, sf), "file:12")
 
 
 @query("gr6_blast_radius_capped", """WITH b AS (SELECT DISTINCT 'file:'||o_custkey AS file_id FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_suppkey=1)
  SELECT file_id, CAST(1 AS BIGINT) AS hop, 'imports' AS rel_types, (SELECT greatest(count(*)-25,0) FROM b) AS omitted FROM b ORDER BY file_id LIMIT 25""")
 def _(spark, sf):
     s = read(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.lit("p").alias("project_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("file").alias("tier"), F.col("s_name").alias("name"), F.col("s_name").alias("path"), F.lit(None).cast("string").alias("summary"))
-    return G.blast_radius(A.entities(spark, sf).unionByName(s), edges_of(spark, sf), "supplier:1")
+    return G.blast_radius(held_entities(spark, sf).unionByName(s), edges_of(spark, sf), "supplier:1")
 
 
 @query("gr7_direct_dependents", with_cte(["dep", "owner"], "SELECT b.file_id AS file_id, count(DISTINCT a.file_id) AS dependents FROM dep JOIN owner a ON source_id=a.id JOIN owner b ON target_id=b.id WHERE a.file_id<>b.file_id GROUP BY 1"))
 def _(spark, sf):
-    return G.direct_dependents(A.entities(spark, sf), graph_edges(spark, sf))
+    return G.direct_dependents(held_entities(spark, sf), graph_edges(spark, sf))
 
 
 @query("gr8_call_paths", with_cte(["calls", "ents"], "SELECT DISTINCT 'calls' AS direction, source_id AS function_id, target_id AS other_id FROM calls WHERE source_id IN (SELECT id FROM ents WHERE tier='function' AND parent_id='file:12') UNION ALL SELECT DISTINCT 'called_by', target_id, source_id FROM calls WHERE target_id IN (SELECT id FROM ents WHERE tier='function' AND parent_id='file:12')"))
@@ -268,7 +274,7 @@ def _(spark, sf):
 @query("gr16_bundle_edges", with_cte(["dep", "owner"], """SELECT DISTINCT a.file_id AS source_file, b.file_id AS target_file FROM dep JOIN owner a ON source_id=a.id JOIN owner b ON target_id=b.id WHERE a.file_id<>b.file_id
  AND (a.file_id IN (SELECT id FROM ents WHERE tier='file' AND starts_with(path,'ASIA/')) OR b.file_id IN (SELECT id FROM ents WHERE tier='file' AND starts_with(path,'ASIA/')))"""))
 def _(spark, sf):
-    return G.bundle_edges(A.entities(spark, sf), graph_edges(spark, sf), "ASIA")
+    return G.bundle_edges(held_entities(spark, sf), graph_edges(spark, sf), "ASIA")
 
 
 @query("gr16_bundle_pack", "SELECT doc_id AS place, sum(length(text)+1) OVER (ORDER BY doc_id) <= 24000 AS kept FROM documents WHERE lang='es'")
@@ -632,14 +638,14 @@ def _(spark, sf):
 @query("snk7_reconcile", with_cte(["ents"], """, f AS (SELECT * FROM ents WHERE tier='file' AND CAST(split_part(id,':',2) AS BIGINT)%4<>0 AND parent_id NOT IN ('module:0','module:5')), m AS (SELECT * FROM ents WHERE tier='module' AND id IN (SELECT parent_id FROM f))
  SELECT id, tier FROM f UNION ALL SELECT id, tier FROM m UNION ALL SELECT id, tier FROM ents WHERE tier='subsystem' AND id IN (SELECT parent_id FROM m) UNION ALL SELECT id, tier FROM ents WHERE tier='function' AND parent_id IN (SELECT id FROM f)""").replace("\n, f AS", ", f AS"))
 def _(spark, sf):
-    e = A.entities(spark, sf)
+    e = held_entities(spark, sf)
     disk = e.where("tier = 'file' and cast(split_part(id, ':', 2) as bigint) % 4 <> 0 and parent_id not in ('module:0', 'module:5')").select("path")
     return K.reconcile(e, file_imports(spark, sf), disk)[0].select("id", "tier")
 
 
 @query("snk7_reconcile_edges", with_cte(["fimports"], "SELECT source_id, target_id FROM fimports WHERE CAST(split_part(source_id,':',2) AS BIGINT)%4<>0 AND CAST(split_part(target_id,':',2) AS BIGINT)%4<>0"))
 def _(spark, sf):
-    e = A.entities(spark, sf)
+    e = held_entities(spark, sf)
     disk = e.where("tier = 'file' and cast(split_part(id, ':', 2) as bigint) % 4 <> 0").select("path")
     return K.reconcile(e, file_imports(spark, sf), disk)[1].select("source_id", "target_id")
 
