@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields
 
 from tiergraph.errors import ConfigError
 
-BACKENDS = ("apfel", "llama-server", "generic")
+BACKENDS = ("local", "llama-server", "generic")
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,6 @@ def parse(text: str) -> RepoConfig:
 
 def input_budget(config: RepoConfig) -> int:
     """RM24. Characters a summary call may take: fixed for one backend, 2,000 to 64,000 for the others."""
-    if config.summarizer_backend in (None, "apfel"):
+    if config.summarizer_backend in (None, "local"):
         return 8_000
     return min(max(config.summarizer_input_char_budget or 24_000, 2_000), 64_000)
