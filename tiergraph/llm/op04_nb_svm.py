@@ -214,119 +214,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([data[i] for i in order], y[order])
 
 
-def score(self, buckets: np.ndarray) -> float:
-        margin = float(self.weights[buckets].sum()) / max(1.0, float(len(buckets)) ** 0.5) + self.bias
-        return 1.0 / (1.0 + float(np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
-
-
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """log of (alpha + documents of class 1 with the n-gram) over the same of class 0, each normed."""
-    counts = np.zeros((2, BUCKETS), np.int64)
-    for c in (0, 1):
-        some = [r for r, k in zip(rows, y) if k == c]
-        for lo in range(0, len(some), 500):
-            counts[c] += np.bincount(np.concatenate(some[lo : lo + 500]), minlength=BUCKETS)
-    q, p = alpha + counts
-    seen = counts.sum(axis=0) > 1  # an n-gram of one document says nothing of others
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    return np.where(seen, np.log(p / (n1 + 2 * alpha)) - np.log(q / (n0 + 2 * alpha)), 0.0)
-
-
-def dual_coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Minimises half the squared norm plus the cost-weighted squared hinge losses, one dual variable at a time.
-
-    A row's values are its buckets' ratios over the square root of its length, taken when needed.
-    """
-    w, bias = np.zeros(BUCKETS), 0.0
-    dual = np.zeros(len(rows))
-    sign = np.where(y == 1, 1.0, -1.0)
-    damp = 0.5 / cost
-    scale = np.array([1.0 / max(1.0, len(r) ** 0.5) for r in rows])
-    norm = np.array([float((ratios[r] ** 2).sum()) * k * k + 1.0 for r, k in zip(rows, scale)]) + damp
-    order = np.random.default_rng(seed)
-    for _ in range(rounds):
-        worst = 0.0
-        for i in order.permutation(len(rows)):
-            r = rows[i]
-            v = ratios[r] * scale[i]
-            slope = sign[i] * (float(w[r] @ v) + bias) - 1.0 + damp[i] * dual[i]
-            if dual[i] == 0.0 and slope >= 0.0:
-                continue
-            worst = max(worst, abs(slope))
-            new = max(dual[i] - slope / norm[i], 0.0)
-            step = (new - dual[i]) * sign[i]
-            w[r] += step * v
-            bias += step
-            dual[i] = new
-        if worst < 0.05:
-            break
-    return w, bias
-
-
-def fit_logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """slope and shift of the logistic that best gives y (smoothed) from margins, by Newton's method."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - target) * margin).sum() + 1e-3 * a, (p - target).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(da, -2, 2)), b - float(np.clip(db, -2, 2))
-        if abs(da) + abs(db) < 1e-6:
-            break
-    return max(a, 0.0), b
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0) -> Model:
-    """The model of labelled indicator rows; the logistic is fitted on a fifth that the margins did not see."""
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)
-    ratios = log_count_ratios(rows, y)
-
-    def machine(some: np.ndarray) -> tuple[np.ndarray, float]:
-        share = np.array([(y == 0).mean(), (y == 1).mean()])
-        costs = cost * 0.5 / np.maximum(share[::-1], 1e-6)[y[some]]  # both classes weigh the same
-        w, b = dual_coordinate_descent([rows[i] for i in some], ratios, y[some], costs)
-        return w * ratios, b
-
-    fold = np.arange(len(rows)) % 5 == 4
-    if len(set(y[~fold].tolist())) < 2 or len(set(y[fold].tolist())) < 2:
-        fold[:] = False
-    seen, unseen = np.flatnonzero(~fold), np.flatnonzero(fold) if fold.any() else np.arange(len(rows))
-    w, b = machine(seen)
-    margin = np.array([w[rows[i]].sum() / max(1.0, len(rows[i]) ** 0.5) + b for i in unseen])
-    slope, shift = fit_logistic(margin, y[unseen])
-    return Model(w, b, slope, shift)
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text, quality of at most ``sample`` labelled rows whose crc32(doc_id as text) mod 4 is not 2.
-
-    The labels are cut to the sample first, so that what is sent to the documents is bounded.
-    """
-    usable = labels.where("doc_id is not null and quality in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
-    chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on the driver from the sample's indicators: sample x n-grams of a text, bounded by ``sample``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [indicators(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(data, pa.binary())], names=["doc_id", "quality", "buckets"])
-
-    rows = training_sample(docs, labels, sample).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, buckets binary").toArrow()
-    order = np.lexsort(([zlib.crc32(b.as_py()) for b in rows.column("buckets")], rows.column("doc_id").to_numpy())) if rows.num_rows else np.empty(0, int)
-    data, y = rows.column("buckets"), rows.column("quality").to_numpy()
-    return fit([np.frombuffer(data[int(i)].as_py(), "<i4").astype(np.int64) for i in order], y[order])
-
-
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """keep's columns with score and predicted, for every row of docs. The model's size is fixed by BUCKETS."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))
