@@ -80,6 +80,29 @@ def test_forest_connects_what_links_connect(seed, n):
     assert [min(groups[find(k)]) for k in range(len(fps))] == want
 
 
+def test_crowded_buckets_are_dealt_again(spark):
+    rng = np.random.default_rng(3)
+    fps = [int(rng.integers(0, 1 << 63))]
+    for k in range(250):  # one large cluster, and others beside it
+        flips = rng.choice(64, rng.integers(1, 7), replace=False)
+        fps.append(fps[0 if k % 3 else rng.integers(0, len(fps))] ^ sum(1 << int(b) for b in flips))
+    fps = sorted({f - (1 << 64) if f >= 1 << 63 else f for f in fps} | {0, -1, 15, -16})
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    edges = op5.links(nodes, bucket_rows=24).collect()
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in edges:
+        assert bin((a ^ b) & (1 << 64) - 1).count("1") <= 4
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = components_brute(fps, [f & (1 << 64) - 1 for f in fps])
+    assert [find(f) for f in fps] == want
+
+
 def test_a_chain_becomes_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = dict(rows_of(op5.components(edges)))

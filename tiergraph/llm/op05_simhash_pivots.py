@@ -5,7 +5,9 @@ references are used. Single-bit references, taken relative to the zero reference
 ``GROUPS`` groups: ``max_bits`` differing bits leave at least ``GROUPS - max_bits`` groups of
 coordinates equal, so joining on every choice of that many equal groups finds all pairs. Within a
 bucket the coordinates to ``PIVOTS`` spread-out references discard a pair when any coordinate
-differs by more than max_bits (triangle inequality); survivors are verified.
+differs by more than max_bits (triangle inequality); survivors are verified. A bucket of more than
+``BUCKET_ROWS`` fingerprints is never one task's work: its fingerprints are dealt again, in the same
+way, by the bits that they don't share yet.
 
 Equal fingerprints are one node from the start, so copies never form pairs; a bucket gives the
 edges of a spanning forest, one less than its nodes, never all its pairs.
@@ -30,6 +32,8 @@ from tiergraph.llm.common import cut_lineage, lower_ascii
 
 GROUPS = 7
 PIVOTS = 16
+#: Distinct fingerprints that one bucket, and so one task, compares at most.
+BUCKET_ROWS = 32_768
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -71,10 +75,25 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def group_masks(groups: int = GROUPS) -> list[int]:
-    """The 64 bits in ``groups`` runs of near equal width."""
-    cuts = [64 * k // groups for k in range(groups + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts[:-1], cuts[1:])]
+def group_masks(free: list[int], groups: int = GROUPS) -> list[int]:
+    """The bits at the places ``free`` in ``groups`` runs of near equal width."""
+    cuts = [len(free) * k // groups for k in range(groups + 1)]
+    return [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
+def choices(shared: int, max_bits: int) -> list[int]:
+    """Masks that hold ``shared`` and some groups of the other bits.
+
+    Any two fingerprints that are equal under ``shared`` and differ in max_bits or fewer are equal
+    under one of them.
+    """
+    free = [b for b in range(64) if not shared >> b & 1]
+    groups = min(len(free), max_bits + 3 if not shared else max_bits + 2)
+    return [shared | sum(some) for some in combinations(group_masks(free, groups), groups - max_bits)]
+
+
+def _signed(mask: int) -> int:
+    return mask if mask < 1 << 63 else mask - (1 << 64)
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -108,13 +127,36 @@ def forest(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> list[tuple[int,
     return edges
 
 
-def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
+def deal(rows: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
+    """mask, part, fp: the rows (mask, fp) under every choice that follows their mask, one of ``masks``."""
+    ways = [(_signed(m), _signed(c)) for m in masks for c in choices(m, max_bits)]
+    table = F.broadcast(rows.sparkSession.createDataFrame(ways, "mask long, choice long"))  # choices, not data
+    dealt = rows.join(table, "mask").select(F.col("choice").alias("mask"), F.col("fp").bitwiseAND(F.col("choice")).alias("part"), "fp")
+    return dealt.distinct() if masks != [0] else dealt  # several ways lead to one choice
+
+
+def links(nodes: DataFrame, max_bits: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """a, b: edges between distinct fingerprints (column fp) that connect what max_bits connects."""
-    masks = group_masks()
-    choices = [sum(masks[k] for k in some) for some in combinations(range(GROUPS), GROUPS - max_bits)]
-    keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("part")) for k, m in enumerate(choices)])
-    dealt = nodes.select("fp", F.explode(keys).alias("key")).select("key.choice", "key.part", "fp")
-    dealt = dealt.repartition("choice", "part").sortWithinPartitions("choice", "part")
+    edges = None
+    dealt = deal(nodes.select(F.lit(0).cast("long").alias("mask"), "fp"), [0], max_bits)
+    few = nodes.count() <= bucket_rows
+    while True:
+        crowded = None
+        if not few:
+            # a mask of 64 - d bits leaves 2 to the d fingerprints a bucket, so this ends
+            crowded = cut_lineage(dealt.groupBy("mask", "part").count().where(F.col("count") > bucket_rows).select("mask", "part"))
+            masks = [r[0] & (1 << 64) - 1 for r in crowded.select("mask").distinct().collect()]  # choices, not data
+            few = not masks
+        found = forests(dealt if few else dealt.join(crowded, ["mask", "part"], "left_anti"), max_bits)
+        edges = found if edges is None else edges.union(found)
+        if few:
+            return edges.distinct()
+        dealt = cut_lineage(deal(dealt.join(crowded, ["mask", "part"], "left_semi").select("mask", "fp"), masks, max_bits))
+
+
+def forests(dealt: DataFrame, max_bits: int) -> DataFrame:
+    """a, b: the edges of a spanning forest of each bucket (mask, part)."""
+    dealt = dealt.select("mask", "part", "fp").repartition("mask", "part").sortWithinPartitions("mask", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
@@ -148,7 +190,7 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
         if len(whole):
             yield buckets(whole)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
