@@ -131,6 +131,21 @@ def test_warc_round_trip(spark):
     assert all(r.root == r.other_root for r in rows)
 
 
+@pytest.mark.parametrize("bound", [op3.BROADCAST_ROWS, 0])
+def test_ids_that_many_rows_repeat_are_split(spark, monkeypatch, bound):
+    monkeypatch.setattr(op3, "BROADCAST_ROWS", bound)
+    rows = PAGES + [(5, "http://same", "copy")] * 100 + [(5, f"http://other/{k}", "body") for k in range(80)] + [(None, "a", "b")] * 70
+    got = audit(spark, rows).collect()
+    assert len(got) == len(rows) and {r.status for r in got} == {"ok"}
+    sizes = __import__("collections").Counter(r.file for r in got)
+    assert max(sizes.values()) <= 2 * 32  # files hold contents by hash
+    want = __import__("collections").Counter(i for i, _, _ in rows)
+    assert __import__("collections").Counter(r.page_id for r in got) == want
+    places = sorted((r.file, r.ordinal, r.offset, r.length) for r in got)
+    for (f, k, a, n), (g, j, b, _) in zip(places, places[1:]):
+        assert (j, b) == (k + 1, a + n) if f == g else (j, b) == (0, 0)
+
+
 def spoiled(how):
     import glob
     import gzip

@@ -1,13 +1,17 @@
 """Merkle fixity audit of WARC files.
 
 Pages are written as WARC 1.1 resource records, in page_id order, ``per_file`` ids to a file, each
-file one gzip stream; offsets are those of the records in it, uncompressed. A file's tree has its records' SHA-256 digests as leaves and, above them, digests over ranges of
+file one gzip stream; offsets are those of the records in it, uncompressed. Where ids repeat (or lack)
+until a file would have more than 2 x per_file rows, its records are dealt over as many files as they
+need, by hash; a record with more than per_file copies is counted, then written per_file copies to a
+file. So no file grows with one id. A file's tree has its records' SHA-256 digests as leaves and,
+above them, digests over ranges of
 ``FAN`` nodes in offset order. Two replicas are compared by their roots, and only the children of
 nodes that differ are looked at further, down to the records.
 
-Defined results: a null url or html is an empty one; rows without a page_id are dealt by hash over files -1 to -NULL_FILES; rows that
-repeat a page_id are records each, ordered by url and html; an empty table gives no rows; other
-columns are not read.
+Defined results: a null url or html is an empty one; rows without a page_id, while few, are dealt by
+hash over files -1 to -NULL_FILES; rows that repeat a page_id are records each, ordered by digest;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from tiergraph.llm.common import cut_lineage
 PER_FILE = 1024
 FAN = 16
 NULL_FILES = 256
+#: Crowded ranges or repeated records are broadcast up to so many (some 60 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -42,17 +48,57 @@ def record(url: Column, html: Column, page_id: Column) -> Column:
     )
 
 
+def _sized(rows: DataFrame) -> DataFrame | None:
+    """rows, stored, and marked for broadcast only if within BROADCAST_ROWS; None if there are none."""
+    kept = cut_lineage(rows)
+    n = kept.count()
+    return None if n == 0 else F.broadcast(kept) if n <= BROADCAST_ROWS else kept.hint("merge")
+
+
 def records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """page_id, file, url, html, record of each page."""
+    """page_id, file, record, digest, copies (times that the record is there) of the pages.
+
+    Files follow from ids, contents and their counts alone, so both replicas' sides agree on them.
+    """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    file = F.coalesce(F.expr(f"page_id div {per_file}"), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(NULL_FILES))).cast("long")
-    return base.withColumns({"file": file, "record": record(F.col("url"), F.col("html"), F.col("page_id"))})
+    usual = F.coalesce(F.expr(f"page_id div {per_file}"), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(NULL_FILES))).cast("long")
+    range_ = F.expr(f"page_id div {per_file}")
+    many = _sized(base.groupBy(range_.alias("range")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 2 * per_file))
+
+    def own(*names: Column) -> Column:
+        """A file of a crowded range; should two meet in a number, or meet usual ones, they are one file."""
+        return -1 - F.shiftrightunsigned(F.xxhash64(range_, *names), 1)
+
+    content = record(F.col("url"), F.col("html"), F.col("page_id"))
+    once = F.lit(1).cast("long").alias("copies")
+    if many is None:
+        return base.select("page_id", usual.alias("file"), content.alias("record"), once).withColumn("digest", F.sha2("record", 256))
+    rows = base.join(many, range_.eqNullSafe(F.col("range")), "left").select("page_id", "rows", usual.alias("usual"), content.alias("record"))
+    rows = rows.withColumn("digest", F.sha2("record", 256))
+    part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("rows") / per_file))
+    placed = rows.select("page_id", F.when(F.col("rows").isNull(), F.col("usual")).otherwise(own(part)).alias("file"), "record", once, "digest")
+    repeated = rows.where("rows is not null")
+    heavy = _sized(repeated.groupBy(F.col("digest").alias("heavy")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_file).select("heavy"))
+    if heavy is None:
+        return placed
+    rest = placed.join(heavy, F.col("digest") == F.col("heavy"), "left_anti")
+    # the id is part of a record, so equal digests have equal ids; copies meet as one row and a count
+    counted = repeated.join(heavy, F.col("digest") == F.col("heavy"), "left_semi").groupBy("page_id", "digest", "record").agg(F.count(F.lit(1)).alias("n"))
+    files = counted.select("page_id", "digest", "record", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {per_file})")).alias("k"))
+    copies = F.least(F.lit(per_file).cast("long"), F.col("n") - F.col("k") * per_file)
+    return rest.unionByName(files.select("page_id", own(F.col("digest"), F.col("k")).alias("file"), "record", copies.alias("copies"), "digest"))
+
+
+def _expanded(rows: DataFrame) -> DataFrame:
+    """Every copy a row; at most per_file of one record, made where its file is."""
+    return rows.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copy", "copies")
 
 
 def leaves(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """page_id, file, ordinal, offset, length, digest as the pages say they should be."""
-    rows = records(pages, per_file).select("page_id", "file", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    # at most per_file ids share a file
+    rows = records(pages, per_file).select("page_id", "file", F.octet_length("record").cast("long").alias("length"), "digest", "copies")
+    rows = _expanded(rows.repartition("file"))
+    # some multiple of per_file rows share a file at most
     w = W.partitionBy("file").orderBy("page_id", "digest")
     return rows.select(
         "page_id",
@@ -66,10 +112,9 @@ def leaves(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """One folder a file number, each with one WARC file; Spark's writer commits them whole."""
-    rows = records(pages, per_file).withColumn("digest", F.sha2("record", 256))
     # a text line's newline is the last byte of a record
     body = F.expr("substring(record, 1, char_length(record) - 1)").alias("value")
-    ordered = rows.repartition("file").sortWithinPartitions("file", "page_id", "digest")
+    ordered = _expanded(records(pages, per_file).repartition("file")).sortWithinPartitions("file", "page_id", "digest")
     ordered.select("file", body).write.option("compression", "gzip").partitionBy("file").text(path)
 
 
