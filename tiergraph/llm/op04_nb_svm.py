@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 SAMPLE = 20_000
 THRESHOLD = 0.7
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 RUN = re.compile(r"([^\W\d_])\1+|(\d)\2+|(.)\3+")
 MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 divided by the golden ratio
 
@@ -225,6 +225,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
         for batch in batches:
             scores = [m.score(indicators(t)) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, "__score"])
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     scored = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
     return scored.withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))

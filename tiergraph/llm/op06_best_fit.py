@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tiergraph.llm.tokens import with_end, word_tokenizer
+from tiergraph.llm.tokens import MEMO_STEMS, MEMO_WORDS, with_end, word_tokenizer
 
 PIECES = T.StructType(
     [
@@ -37,11 +37,14 @@ PLAN = "length long, rank_lo long, rank_hi long, sequence_lo long, per_sequence
 SALTS = 256
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pieces of at most capacity ids of each document with its end id; only longer documents are cut."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, memo: tuple[int, int] = (MEMO_WORDS, MEMO_STEMS)) -> DataFrame:
+    """Pieces of at most capacity ids of each document with its end id; only longer documents are cut.
+
+    memo: words and stems that a worker remembers; less memory costs time and changes no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_tokenizer(tokenizer_path)
+        coder = word_tokenizer(tokenizer_path, *memo)
         for batch in batches:
             lo = 0
             for ids, offsets in coder.encode(batch.column("text")):
@@ -149,9 +152,9 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, memo: tuple[int, int] = (MEMO_WORDS, MEMO_STEMS)) -> DataFrame:
     """Writes the pieces with their ids to path, then returns each piece's place in a sequence."""
-    cut_pieces(docs, tokenizer_path, capacity, end_id).write.parquet(path)
+    cut_pieces(docs, tokenizer_path, capacity, end_id, memo).write.parquet(path)
     slim = docs.sparkSession.read.schema(PIECES).parquet(path).drop("ids")
     return assign(slim, capacity)
 

@@ -22,10 +22,14 @@ FINAL = ".,;:!?|%$#*&"  # final punctuation parted from a stem
 LONG_WORD = 64  # longer words are not remembered
 
 
+#: Words and stems that a worker remembers; they change memory and speed, never ids.
+MEMO_WORDS, MEMO_STEMS = 900_000, 700_000
+
+
 class WordTokenizer:
     """``limit`` bounds the words remembered, ``stem_limit`` the stems (a word without its final punctuation)."""
 
-    def __init__(self, path: str, limit: int = 900_000, stem_limit: int = 700_000):
+    def __init__(self, path: str, limit: int = MEMO_WORDS, stem_limit: int = MEMO_STEMS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,6 +138,6 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, limit: int = MEMO_WORDS, stem_limit: int = MEMO_STEMS) -> WordTokenizer:
     """One per worker process and file, kept between tasks."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, limit, stem_limit)
