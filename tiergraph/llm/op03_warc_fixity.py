@@ -1,7 +1,8 @@
 """Merkle fixity audit of WARC files.
 
 Pages are written as WARC 1.1 resource records, in page_id order, ``per_file`` ids to a file, each
-file one gzip stream; offsets are those of the records in it, uncompressed. Where ids repeat (or lack)
+record one gzip member, so that damage to stored bytes spoils the records it touches and no others;
+offsets are those of the records in a file, uncompressed. Where ids repeat (or lack)
 until a file would have more than 2 x per_file rows, its records are dealt over as many files as they
 need, by hash; a record with more than per_file copies is counted, then written per_file copies to a
 file. So no file grows with one id. A file's tree has its records' SHA-256 digests as leaves and,
@@ -16,6 +17,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,9 @@ NULL_FILES = 256
 #: Crowded ranges or repeated records are broadcast up to so many (some 60 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
+#: A member's first bytes, with their own CRC, so that no bit of it can change unseen; of the rest, only the under 8 bits that fill up the last byte of packed data can.
+HEAD = b"\x1f\x8b\x08\x02\0\0\0\0\0\xff"
+HEAD += (zlib.crc32(HEAD) & 0xFFFF).to_bytes(2, "little")
 
 
 def record(url: Column, html: Column, page_id: Column) -> Column:
@@ -110,12 +115,27 @@ def leaves(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     )
 
 
+def member(record: bytes) -> bytes:
+    """record as a gzip member, or two: the last byte is zero always."""
+    deflate = zlib.compressobj(wbits=-15)
+    out = HEAD + deflate.compress(record) + deflate.flush() + zlib.crc32(record).to_bytes(4, "little") + (len(record) & 0xFFFFFFFF).to_bytes(4, "little")
+    return out if out[-1] == 0 else out + member(b"")
+
+
 def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """One folder a file number, each with one WARC file; Spark's writer commits them whole."""
-    # a text line's newline is the last byte of a record
-    body = F.expr("substring(record, 1, char_length(record) - 1)").alias("value")
-    ordered = _expanded(records(pages, per_file).repartition("file")).sortWithinPartitions("file", "page_id", "digest")
-    ordered.select("file", body).write.option("compression", "gzip").partitionBy("file").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # the line separator is the last byte of a member
+            packed = pa.array([member(r.as_py())[:-1] for r in batch.column("record")], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("record"), "record", packed)
+
+    rows = records(pages, per_file).select("page_id", "file", F.col("record").cast("binary").alias("record"), "digest", "copies")
+    packed = rows.mapInArrow(run, "page_id long, file long, record binary, digest string, copies long")
+    ordered = _expanded(packed.repartition("file")).sortWithinPartitions("file", "page_id", "digest")
+    # a string's bytes are written as they are
+    ordered.select("file", F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").partitionBy("file").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -136,17 +156,54 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def parse(data: bytes) -> Iterator[tuple[int | None, int, int, str]]:
     """(page_id, offset, length, digest) of each record; a record whose head can't be read runs to the next head.
 
-    A cut stream gives the records before the cut, one that can't be unpacked gives none.
+    A member that can't be unpacked is one record without an id, with the length and digest of its
+    stored bytes, and reading goes on at the next member's head. A cut stream of several records gives
+    those before the cut.
     """
     import hashlib
-    import zlib
-
-    if data[:2] == b"\x1f\x8b":
-        stream = zlib.decompressobj(31)
-        try:
-            data = stream.decompress(data)
-        except zlib.error:  # nothing of a stream that is spoiled can be told apart
-            data = b""
+
+    if data[:2] != b"\x1f\x8b" and HEAD not in data:
+        yield from parse_plain(data)
+        return
+    at = offset = 0
+    while at < len(data):
+        plain, end, whole = unpack(data, at)
+        found = list(parse_plain(plain))
+        if not whole:
+            # the last record unpacked is where the damage is
+            found = found[:-1]
+            start = found[-1][1] + found[-1][2] if found else 0
+            found.append((None, start, end - at, hashlib.sha256(data[at:end]).hexdigest()))
+        for name, start, length, digest in found:
+            yield name, offset + start, length, digest
+        offset += found[-1][1] + found[-1][2] if found else 0
+        at = end
+
+
+def unpack(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """Contents of the gzip member at ``at``, where it ends, and whether it is sound; a spoiled one ends at the next head."""
+    following = data.find(HEAD, at + 1)
+    stop = first = following if following >= 0 else len(data)
+    stream = zlib.decompressobj(31)
+    plain = []
+    try:
+        plain.append(stream.decompress(data[at:stop]))
+        while not stream.eof and stop < len(data):  # a head's bytes can be part of a member
+            following = data.find(HEAD, stop + 1)
+            start, stop = stop, following if following >= 0 else len(data)
+            plain.append(stream.decompress(data[start:stop]))
+    except zlib.error:
+        return b"", first, False
+    if stream.eof:
+        return b"".join(plain), stop - len(stream.unused_data), True
+    # own members hold one record each, others may hold several
+    return b"" if data.startswith(HEAD, at) else b"".join(plain), first, False
+
+
+def parse_plain(data: bytes) -> Iterator[tuple[int | None, int, int, str]]:
+    """parse(), of records that are not packed."""
+    import hashlib
+
     at = 0
     while at < len(data):
         head = data.find(b"\r\n\r\n", at)
