@@ -45,6 +45,13 @@ def test_null_and_repeated_ids(spark):
     assert sorted(kept, key=str) == sorted([(4, rows[1][1]), (None, rows[0][1]), (None, None)], key=str)
 
 
+def test_one_row_of_each_component_stays(spark):
+    one, other, third = ("alpha beta gamma delta epsilon", "quite another text with other words", "a third text that is no copy of them")
+    rows = [(9, one), (9, other), (9, third), (2, other), (2, other), *[(None, "no id but many copies of it")] * 5, (None, ""), (None, "")]
+    kept = rows_of(op5.keep_one(clashing(frame(spark, rows))).select("doc_id", "text"))
+    assert sorted(kept, key=str) == sorted([(9, one), (9, third), (2, other), (None, rows[5][1]), (None, "")], key=str)
+
+
 def test_empty(spark):
     assert rows_of(op5.near_duplicates(frame(spark, []))) == []
     assert rows_of(op5.keep_one(frame(spark, []))) == []

@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.llm.common import cut_lineage, lower_ascii
@@ -62,17 +62,20 @@ def fingerprint(text: bytes, shingle: int, bit_rows: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every whole text; also key, a string, if one is given."""
+    keyed = key is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit_rows = _bit_rows()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or b"", shingle, bit_rows) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            out = {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))} | ({"key": batch.column("key")} if keyed else {})
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     text = F.coalesce(lower_ascii(F.col("text")), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([key.alias("key")] if keyed else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", key string" if keyed else ""))
 
 
 def group_masks(free: list[int], groups: int = GROUPS) -> list[int]:
@@ -228,13 +231,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key() -> Column:
+    """A string that rows of documents share if they have the same doc_id (or none) and the same text (or none)."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    return F.sha2(F.concat(F.col("doc_id").isNull().cast("string"), F.lit("|"), parts[0], F.lit("|"), F.col("text").isNull().cast("string"), F.lit("|"), parts[1]), 256)
+
+
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of docs, one document of each component: the one whose id is the component's.
+    """The rows of docs, one of each component: the first by doc_id, then by a hash of id and text.
 
-    Rows that repeat a kept doc_id are the same document, of which one row stays; rows without a
-    doc_id can't be named by a component and stay.
+    So rows that repeat a doc_id with texts that are no copies all stay. Of a component's rows without
+    a doc_id one stays too, also beside one with an id.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    prints = cut_lineage(fingerprints(docs, shingle, row_key()))
+    named, unnamed = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")), F.when(F.col("doc_id").isNull(), F.col("key"))
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min(named).alias("first"), F.min(unnamed).alias("unnamed")))
+    roots = components(links(nodes.select("fp"), max_bits))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first", "unnamed")
+    firsts = placed.groupBy("root").agg(F.min("first")["key"].alias("first"), F.min("unnamed").alias("unnamed"))
+    keep = firsts.select(F.explode(F.array("first", "unnamed")).alias("__key")).where("__key is not null")
+    return docs.withColumn("__key", row_key()).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
