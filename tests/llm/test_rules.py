@@ -92,6 +92,40 @@ def test_licences(spark, text, licenses, unmatched):
     assert (row.licenses, row.unmatched) == (licenses, unmatched)
 
 
+FULL = {"MIT": ["MITgrant", "MITnotice"], "BSD-2-Clause": ["BSDgrant", "BSDsource", "BSDbinary"], "BSD-3-Clause": ["BSDgrant", "BSDsource", "BSDbinary", "BSDnames"], "GPL-3.0-or-later": ["GPL3orLater", "GPLcopy"]}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "> ", "; "])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_hard_wrapped_licences(spark, mark, newline):
+    import textwrap
+
+    said = {i: s for s, i in op9.SENTENCES.items()}
+    rows = []
+    for k, ids in enumerate(FULL.values()):
+        body = "\n\n".join("\n".join(textwrap.wrap(said[i].capitalize() + ".", 76 - 7 * (j % 3))) for j, i in enumerate(ids))
+        rows.append((k, newline.join((mark + x).rstrip() for x in f"Copyright 2020 Someone\n\n{body}\n\ncode".split("\n"))))
+    got = {r.doc_id: (r.licenses, r.unmatched, r.sequence) for r in op9.scan(frame(spark, rows)).collect()}
+    assert got == {k: (name, 0, op9.rule_pattern(ids)) for k, (name, ids) in enumerate(FULL.items())}
+
+
+@pytest.mark.parametrize(
+    ("text", "licenses", "unmatched"),
+    [
+        ("/* Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance\n * with the License. You may obtain a copy of the\n * License at:\n *\n *   http\n */", "Apache-2.0", 0),
+        ("Licensed under the Apache License, Version 2.0\n(the \"License\").", "Apache-2.0", 0),
+        ("Licensed under the Apache License, Version 2. More.", "Apache-2.0", 0),
+        ("All\n\nrights reserved.", "", 0),
+        ("of all\nrights reserved here", "", 0),
+        ("/* All rights\n   reserved. */", "Proprietary", 0),
+        ("-" * 200_000 + "x\n" + "# " * 100_000 + "x\n# All rights reserved", "Proprietary", 0),
+    ],
+)
+def test_wrapped_and_commented_sentences(spark, text, licenses, unmatched):
+    row = op9.scan(clashing(frame(spark, [(1, text)]))).first()
+    assert (row.licenses, row.unmatched) == (licenses, unmatched)
+
+
 def test_ordered_rules_want_their_order(spark):
     grant, notice = (s for s, i in op9.SENTENCES.items() if i in ("MITgrant", "MITnotice"))
     forward, back = f"{grant}:\n{notice}.", f"{notice}.\n{grant}:"

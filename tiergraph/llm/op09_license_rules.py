@@ -1,16 +1,20 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences; a sentence, normalised, that is a known licence sentence becomes its
-identifier; a rule is an ordered sequence of identifiers, and rules are tried in order on the
+identifier. A sentence may stand on one line or be wrapped over several, behind comment marks; blank
+lines end it. n_sentences counts lines and the sentences in them, however they are wrapped. A rule is an ordered sequence of identifiers, and rules are tried in order on the
 identifiers of a text, longest first. What a rule matched is not matched again.
 
-DataFrame functions only, so the same steps can be said in SQL. Defined results: a null or empty
+DataFrame functions only. The SQL says the usual case, sentences on one line without comment marks,
+under RULES alone. Defined results: a null or empty
 text has no sentences and no licence; a null doc_id and repeated rows are kept as they come; an
 empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +63,20 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("AllRights",), "Proprietary"),
 ]
 
+# Rules tried after those above.
+LATER_RULES: list[tuple[tuple[str, ...], str]] = [
+    (("APACHE2head", "APACHEcomply", "APACHEobtain"), "Apache-2.0"),
+    (("APACHE2head",), "Apache-2.0"),
+]
+
 #: A sentence ends at a newline, or at a stop, exclamation or question mark or semicolon before white space or the end.
 BREAK = r"\n|[.!?;]+(?:[ \t\r]+|$|\n)"
 BLANKS = r"[ \t\r\x0b\f]+"
+#: Comment and quotation marks at a line's start and end; runs are taken whole, so that long ones cost no more than their length.
+LEADER = r"""(?md)^[ #*/;%>!|"'\u2022-]*+(?:(?:dnl|rem) +)?"""
+TRAILER = r"""(?md)(?<![ #*/>|"'-])[ #*/>|"'-]++$"""
+#: Ends a sentence on the way of wrapped(); no text has it.
+END = "\x02"
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
@@ -74,10 +89,21 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(low, BREAK), lambda s: F.trim(F.rtrim(F.trim(s), F.lit(":"))))
 
 
-def sentence_ids(parts: Column, known: dict[str, str] | None = None) -> Column:
-    """Identifiers of the known sentences, in order."""
-    lookup = F.create_map(*[F.lit(x) for kv in (known or SENTENCES).items() for x in kv])
-    return F.filter(F.transform(parts, lambda s: lookup[s]), lambda x: x.isNotNull())
+def wrapped(text: Column) -> Column:
+    """A whole text in lower case without comment marks: END between sentences, newlines only where a line may go on."""
+    low = F.regexp_replace(F.translate(F.lower(text), END, " "), BLANKS, " ")
+    lines = F.regexp_replace(F.regexp_replace(low, LEADER, ""), TRAILER, "")
+    return F.regexp_replace(F.regexp_replace(lines, r"[.!?;]+(?: +|$|\n)", END), r"\n{2,}", END)
+
+
+def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
+    """Identifiers of a text's known sentences, in order; where one begins with another, the longer counts."""
+    known = known or SENTENCES
+    lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    one = "|".join(re.sub(r"\\? ", "[ \\\\n]", re.escape(s)) for s in sorted(known, key=len, reverse=True))
+    # known sentences begin and end where sentences or lines do
+    pattern = rf"(?:\A|(?<=[\n{END}])) *({one}) *:* *(?=[\n{END}]|\z)"
+    return F.transform(F.regexp_extract_all(wrapped(text), F.lit(pattern), 1), lambda s: lookup[F.translate(s, "\n", " ")])
 
 
 def scan(docs: DataFrame, rules: list[tuple[tuple[str, ...], str]] | None = None, known: dict[str, str] | None = None) -> DataFrame:
@@ -85,10 +111,9 @@ def scan(docs: DataFrame, rules: list[tuple[tuple[str, ...], str]] | None = None
 
     unmatched counts known sentences that no rule took.
     """
-    rules = rules or RULES
+    rules = rules or RULES + LATER_RULES
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(sentences(text), lambda s: s != "").alias("parts"))
-    found = parts.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), sentence_ids(F.col("parts"), known).alias("ids"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(sentences(text), lambda s: s != "")).cast("long").alias("n_sentences"), sentence_ids(text, known).alias("ids"))
     rest = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     out = found.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), rest.alias("sequence"), rest.alias("rest0"))
     hits = []
