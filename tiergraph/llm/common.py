@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -14,14 +17,26 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is configured (tests)."""
+    """The folder that driver and executors share; where none is configured, a local one if all runs in one process (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (root or "/tmp/checkpoints/tiergraph").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared root."""
-    return f"{shared_root(spark)}/tiergraph/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared root; the folder is deleted when the program ends."""
+    path = f"{shared_root(spark)}/tiergraph/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if Spark still runs."""
+    with contextlib.suppress(Exception):  # the session may have ended
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -32,6 +47,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes that one side of a join may have to be broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 24 << 20
+
+
+def sized(rows: DataFrame, width: int | Column) -> DataFrame:
+    """rows, stored, and marked for broadcast only if their bytes, counted by ``width`` a row, are within BROADCAST_BYTES."""
+    kept = cut_lineage(rows)
+    size = kept.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept.hint("merge")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def free_prefix(columns: list[str]) -> str:
+    """Underscores with which no column's name begins."""
+    p = "__"
+    while any(c.startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
 def lower_ascii(col):
     """Lower-case A-Z only, so that results do not depend on a Unicode version."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

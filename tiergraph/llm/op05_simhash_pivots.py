@@ -1,26 +1,33 @@
-"""SimHash near-duplicates through pivot distance tables.
-
-A fingerprint's table row holds its Hamming distances to reference fingerprints. Two kinds of
-references are used. Single-bit references, taken relative to the zero reference, split into
-``GROUPS`` groups: ``max_bits`` differing bits leave at least ``GROUPS - max_bits`` groups of
-coordinates equal, so joining on every choice of that many equal groups finds all pairs. Within a
-bucket the coordinates to ``PIVOTS`` spread-out references discard a pair when any coordinate
-differs by more than max_bits (triangle inequality); survivors are verified. A bucket of more than
-``BUCKET_ROWS`` fingerprints is never one task's work: its fingerprints are dealt again, in the same
-way, by the bits that they don't share yet.
-
-Equal fingerprints are one node from the start, so copies never form pairs; a bucket gives the
-edges of a spanning forest, one less than its nodes, never all its pairs.
-
-Defined results: a null or wordless text has fingerprint zero; a null doc_id gets a fingerprint and
-a component but is never the component's id unless the whole component is null; rows that repeat
-a doc_id count as they come; an empty table gives no rows; other columns are not read.
+"""SimHash near-duplicates with a pivot distance table.
+
+The table has one row a distinct fingerprint: its Hamming distances to ``PIVOTS`` reference
+fingerprints, computed once, stored, and carried with the fingerprint. A candidate pair goes if any
+coordinate differs by more than the bound (triangle inequality); survivors are verified.
+
+Which pairs are candidates is not decided by the table. One coordinate of a 64-bit fingerprint has a
+standard deviation of 4, so cells wide enough for 4 differing bits hold most rows and their
+neighbours: a split by one pivot leaves 0.84 of the rows in a cell and makes 1.68 rows of each, and no
+number of pivots ends in small cells. So candidates share bits (``near_duplicates``, exact: ``max_bits``
+differing bits leave ``GROUPS - max_bits`` of ``GROUPS`` groups of bits equal) or the strongest
+projections of several groups (``keep_one``). A bucket gives the edges of a spanning forest, one less
+than its nodes, never all its pairs. Equal fingerprints are one node from the start.
+
+``near_duplicates`` links fingerprints of max_bits differing bits or fewer; a bucket of more than
+``BUCKET_ROWS`` fingerprints is dealt again by the bits that they don't share yet, so no bucket is one
+task's work. ``keep_one`` links texts whose sets of word shingles have a Jaccard similarity of
+``similarity`` or more, found by a wide SimHash and verified on the sets themselves; the search finds
+a pair of just that similarity with a chance of some 0.9, nearer ones more surely (see README).
+
+Defined results: a null or wordless text has fingerprint zero and no shingles, and all such texts are
+copies of each other; a null doc_id gets a fingerprint and a component but is never the component's id
+unless the whole component is null; rows that repeat a doc_id count as they come; an empty table gives
+no rows; other columns are not read, and keep_one carries them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm.common import cut_lineage, lower_ascii
+from tiergraph.llm.common import cut_lineage, free_name, lower_ascii, sized
 
 GROUPS = 7
 PIVOTS = 16
 #: Distinct fingerprints that one bucket, and so one task, compares at most.
 BUCKET_ROWS = 32_768
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+GOLDEN = 0x9E3779B97F4A7C15  # 2^64 divided by the golden ratio
 
 
 def _bit_rows() -> np.ndarray:
@@ -42,40 +50,48 @@ def _bit_rows() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int, bit_rows: np.ndarray) -> int:
-    """SimHash of whole text (ASCII-lower-cased already) over its word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle of a whole text, ASCII-lower-cased already, repeats included."""
     import xxhash
 
     spans = [m.span() for m in WORD.finditer(text)]
     if not spans:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join([text[a:b] for a, b in spans])
     size = np.array([b - a for a, b in spans])
     start = np.cumsum(size + 1) - size - 1
     end = start + size
     h = xxhash.xxh64_intdigest
     if len(spans) < shingle:
-        return h(joined, 42)
-    hashes = np.array([h(joined[a:b], 42) for a, b in zip(start[: len(start) - shingle + 1].tolist(), end[shingle - 1 :].tolist())], np.uint64)
+        return np.array([h(joined, 42)], np.uint64)
+    return np.array([h(joined[a:b], 42) for a, b in zip(start[: len(start) - shingle + 1].tolist(), end[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int, bit_rows: np.ndarray) -> int:
+    """SimHash of a whole text over its word shingles."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     octets = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ bit_rows for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every whole text; also key, a string, if one is given."""
-    keyed = key is not None
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    text = F.coalesce(lower_ascii(F.col("text")), F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit_rows = _bit_rows()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or b"", shingle, bit_rows) for t in batch.column("text")], np.uint64)
-            out = {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))} | ({"key": batch.column("key")} if keyed else {})
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    text = F.coalesce(lower_ascii(F.col("text")), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([key.alias("key")] if keyed else []))
-    return rows.mapInArrow(run, "doc_id long, fp long" + (", key string" if keyed else ""))
+    return _texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def group_masks(free: list[int], groups: int = GROUPS) -> list[int]:
@@ -99,20 +115,35 @@ def _signed(mask: int) -> int:
     return mask if mask < 1 << 63 else mask - (1 << 64)
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
+def pivots(n: int = PIVOTS) -> list[int]:
     """Reference fingerprints that spread over the cube: odd multiples of the golden ratio's bits."""
-    golden = 0x9E3779B97F4A7C15  # 2^64 divided by the golden ratio
-    return np.array([(golden * (2 * k + 1)) % (1 << 64) for k in range(n)], np.uint64)
+    return [(GOLDEN * (2 * k + 1)) % (1 << 64) for k in range(n)]
+
+
+def distances(fp: Column, n: int = PIVOTS) -> list[Column]:
+    """Hamming distances of fp to the references, eight to a long, a byte each."""
+    d = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long") for p in pivots(n)]
+    packed = []
+    for lo in range(0, n, 8):
+        word = d[lo]
+        for k, x in enumerate(d[lo + 1 : lo + 8], 1):
+            word = word.bitwiseOR(F.shiftleft(x, 8 * k))
+        packed.append(word)
+    return packed
 
 
-def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Hamming distances, one row a fingerprint and one column a reference."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+def pivot_table(prints: DataFrame) -> DataFrame:
+    """fp, first (least doc_id), d0, d1 (its distances): one row a distinct fingerprint, stored."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return cut_lineage(nodes.select("fp", "first", *[d.alias(f"d{k}") for k, d in enumerate(distances(F.col("fp")))]))
 
 
-def forest(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the graph of pairs with at most max_bits differing bits."""
-    rows = distance_table(fps, refs)
+def forest(fps: np.ndarray, table: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the graph of pairs with at most max_bits differing bits.
+
+    table holds each fingerprint's distances to the references. What a node reaches is chained, so
+    that no node has many edges.
+    """
     left = np.arange(1, len(fps))
     queue, edges = [0], []
     while queue or len(left):
@@ -121,27 +152,64 @@ def forest(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> list[tuple[int,
         at = queue.pop()
         if not len(left):
             continue
-        survive = left[(np.abs(rows[left] - rows[at]) <= max_bits).all(axis=1)]
-        hit = survive[np.bitwise_count(fps[survive] ^ fps[at]) <= max_bits]
-        if len(hit):
-            edges += [(at, int(k)) for k in hit]
-            queue += hit.tolist()
+        survive = left[(np.abs(table[left] - table[at]) <= max_bits).all(axis=1)]
+        hit = survive[np.bitwise_count(fps[survive] ^ fps[at]) <= max_bits].tolist()
+        if hit:
+            edges += zip([at, *hit[:-1]], hit)
+            queue += hit
             left = left[~np.isin(left, hit)]
     return edges
 
 
+def by_bucket(rows: DataFrame, key: list[str], edges: Callable[[np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """a, b: rows (arrays of all columns, as longs) that ``edges`` joins within a bucket, whose rows come to one task in turn."""
+    names, n = [*key, *[c for c in rows.columns if c not in key]], len(key)
+    dealt = rows.select(*[F.col(c).cast("long") for c in names]).repartition(*key).sortWithinPartitions(*key)
+
+    def buckets(found: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero((found[1:, :n] != found[:-1, :n]).any(axis=1)) + 1
+        starts, ends = np.concatenate(([0], new)), np.concatenate((new, [len(found)]))
+        many = np.flatnonzero(ends - starts > 1)
+        pairs = [(a + i, a + j) for a, b in zip(starts[many].tolist(), ends[many].tolist()) for i, j in edges(found[a:b])]
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        sides = [pa.FixedSizeListArray.from_arrays(pa.array(found[at[:, s]].ravel()), len(names)).cast(pa.list_(pa.int64())) for s in (0, 1)]
+        return pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            found = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]).astype(np.int64)
+            if not len(found):
+                continue
+            last = np.flatnonzero((found[:, :n] != found[-1, :n]).any(axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut == 0 and (not held or (held[0][0, :n] == found[-1, :n]).all()):
+                held.append(found)
+                continue
+            if held or cut:
+                yield buckets(np.concatenate([*held, found[:cut]]))
+            held = [found[cut:].copy()]
+        if held:
+            yield buckets(np.concatenate(held))
+
+    return dealt.mapInArrow(run, "a array<long>, b array<long>")
+
+
 def deal(rows: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
-    """mask, part, fp: the rows (mask, fp) under every choice that follows their mask, one of ``masks``."""
+    """rows (mask, fp and more) with part under every choice that follows their mask, one of ``masks``."""
     ways = [(_signed(m), _signed(c)) for m in masks for c in choices(m, max_bits)]
     table = F.broadcast(rows.sparkSession.createDataFrame(ways, "mask long, choice long"))  # choices, not data
-    dealt = rows.join(table, "mask").select(F.col("choice").alias("mask"), F.col("fp").bitwiseAND(F.col("choice")).alias("part"), "fp")
+    rest = [c for c in rows.columns if c not in ("mask", "part")]
+    dealt = rows.join(table, "mask").select(F.col("choice").alias("mask"), F.col("fp").bitwiseAND(F.col("choice")).alias("part"), *rest)
     return dealt.distinct() if masks != [0] else dealt  # several ways lead to one choice
 
 
 def links(nodes: DataFrame, max_bits: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """a, b: edges between distinct fingerprints (column fp) that connect what max_bits connects."""
+    """a, b (fp and first each): edges between rows of a pivot table that connect what max_bits connects."""
+    # arrays of longs go to Python, so that a null first goes as a flag
+    slim = nodes.select(F.lit(0).cast("long").alias("mask"), "fp", F.col("first").isNull().cast("long").alias("none"), F.coalesce("first", F.lit(0)).alias("first"), "d0", "d1")
     edges = None
-    dealt = deal(nodes.select(F.lit(0).cast("long").alias("mask"), "fp"), [0], max_bits)
+    dealt = deal(slim, [0], max_bits)
     few = nodes.count() <= bucket_rows
     while True:
         crowded = None
@@ -154,81 +222,195 @@ def links(nodes: DataFrame, max_bits: int = 4, bucket_rows: int = BUCKET_ROWS) -
         edges = found if edges is None else edges.union(found)
         if few:
             return edges.distinct()
-        dealt = cut_lineage(deal(dealt.join(crowded, ["mask", "part"], "left_semi").select("mask", "fp"), masks, max_bits))
+        dealt = cut_lineage(deal(dealt.join(crowded, ["mask", "part"], "left_semi"), masks, max_bits))
 
 
 def forests(dealt: DataFrame, max_bits: int) -> DataFrame:
     """a, b: the edges of a spanning forest of each bucket (mask, part)."""
-    dealt = dealt.select("mask", "part", "fp").repartition("mask", "part").sortWithinPartitions("mask", "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots()
-        held: list[np.ndarray] = [np.empty((0, 3), np.int64)]
-
-        def buckets(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            starts, ends = np.concatenate(([0], new)), np.concatenate((new, [len(rows)]))
-            many = np.flatnonzero(ends - starts > 1)
-            edges = []
-            for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                fps = rows[a:b, 2]
-                edges += [(fps[i], fps[j]) for i, j in forest(fps.view(np.uint64), refs, max_bits)]
-            out = np.array(edges, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+    def edges(rows: np.ndarray) -> list[tuple[int, int]]:
+        table = np.ascontiguousarray(rows[:, 5:7]).view(np.int8)
+        return forest(np.ascontiguousarray(rows[:, 2]).view(np.uint64), table, max_bits)
 
-        for batch in batches:
-            rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-            if not len(rows):
-                continue
-            last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut == 0 and (not len(held[0]) or (held[0][0, :2] == rows[-1, :2]).all()):
-                held.append(rows) if len(held[0]) else held.__setitem__(0, rows)
-                continue
-            whole = np.concatenate([*held, rows[:cut]])
-            if len(whole):
-                yield buckets(whole)
-            held = [rows[cut:].copy()]
-        whole = np.concatenate(held)
-        if len(whole):
-            yield buckets(whole)
+    found = by_bucket(dealt.select("mask", "part", "fp", "none", "first", "d0", "d1"), ["mask", "part"], edges)
+    side = lambda s: node(F.when(F.col(s)[3] == 0, F.col(s)[4]), F.col(s)[2]).alias(s)
+    return found.select(side("a"), side("b"))
 
-    return dealt.mapInArrow(run, "a long, b long")
+
+def node(first: Column, *name: Column) -> Column:
+    """A node of components(): ordered by its least doc_id, none last, then by its name."""
+    return F.struct(first.isNull().alias("none"), first.alias("first"), *[x.alias(f"n{k}") for k, x in enumerate(name)])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: smallest node reachable, by alternating large-star and small-star steps.
 
-    A step is one shuffle by node with partial aggregation; each round is checkpointed, and the
-    rounds needed grow with the logarithm of the longest path.
+    The least neighbour of each node is aggregated with partial minima and stored, then joined with
+    the edges; both sides of such a join are shuffled by it alone, so that a node with very many
+    edges is a skewed join, which Spark's adaptive execution splits. The rounds needed grow with the
+    logarithm of the longest path.
     """
     pairs = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
     for _ in range(max_rounds):
+        heads = pairs.select(F.col("b").alias("child")).distinct()
+        # stars only: every child has one parent, and no parent is a child
+        if pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and pairs.join(heads, pairs["a"] == heads["child"], "left_semi").isEmpty():
+            return pairs.select(F.col("b").alias("node"), F.col("a").alias("root"))
         both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
-        large = both.join(least, both["a"] == least["node"]).where("b > a").select(F.col("root").alias("a"), "b").where("a <> b").distinct()
-        low = large.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        small = large.join(low, large["b"] == low["node"]).select(F.col("root").alias("r"), "a", "b")
-        pairs = cut_lineage(small.select(F.col("r").alias("a"), "b").union(small.where("a <> r").select(F.col("r").alias("a"), F.col("a").alias("b"))).distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return pairs.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        least = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
+        large = cut_lineage(both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("root").alias("a"), "b").where("a <> b").distinct())
+        low = cut_lineage(large.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        small = large.join(low, F.col("b") == F.col("node")).select(F.col("root").alias("r"), "a", "b")
+        ends = F.explode(F.array(F.struct(F.col("r").alias("a"), F.col("b").alias("b")), F.struct(F.col("r").alias("a"), F.col("a").alias("b")))).alias("e")
+        pairs = cut_lineage(small.select(ends).select("e.a", "e.b").where("a <> b").distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id of every row of docs."""
     prints = cut_lineage(fingerprints(docs, shingle))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp"), max_bits))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    nodes = pivot_table(prints)
+    roots = components(links(nodes, max_bits)).select(F.col("node.n0").alias("linked"), F.col("root.first").alias("least"))
+    # a node without a first may have a root with one, or be alone
+    named = cut_lineage(nodes.join(roots, nodes["fp"] == F.col("linked"), "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- similarity of shingle sets: wide projections -----------------------------------------------
+
+#: Projections of a wide SimHash, in groups of GROUP; a group's strongest projection and its sign are one symbol.
+WIDE, GROUP = 512, 16
+#: Keys of a text, each of SYMBOLS symbols (5 bits each).
+KEYS, SYMBOLS = 24, 3
+#: Bits of the wide fingerprint that are carried, and the share of them in which candidates may differ beyond what is expected.
+CARRIED, SLACK = 256, 3.0
+#: Rows that one wide bucket compares at most; leaders of a larger one; groups by which its other rows are dealt again.
+WIDE_ROWS, LEADERS, AGAIN = 8_192, 8, 6
+
+
+def projections(hashes: np.ndarray) -> np.ndarray:
+    """WIDE sums over the shingles of weights from -255 to 255, uniform and independent by shingle."""
+    out = np.zeros(WIDE, np.int64)
+    lanes = (np.arange(1, WIDE // 8 + 1, dtype=np.uint64) * np.uint64(GOLDEN)) | np.uint64(1)
+    for lo in range(0, len(hashes), 4096):
+        some = hashes[lo : lo + 4096]
+        x = (some[:, None] ^ (some[:, None] >> np.uint64(29))) * lanes[None, :]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)  # an odd number whose bits are spread
+        x ^= x >> np.uint64(32)
+        out += 2 * x.view(np.uint8).sum(axis=0, dtype=np.uint32).astype(np.int64) - 255 * len(some)
+    return out
+
+
+def key_groups(keys: int = KEYS, size: int = SYMBOLS, seed: int = 17) -> list[list[int]]:
+    """The groups that each key reads."""
+    pick = np.random.default_rng(seed)
+    return [sorted(pick.choice(WIDE // GROUP, size, replace=False).tolist()) for _ in range(keys)]
+
+
+def symbols(sums: np.ndarray) -> np.ndarray:
+    """The strongest projection of each group, with its sign: WIDE / GROUP numbers below 2 x GROUP."""
+    grouped = sums.reshape(-1, GROUP)
+    at = np.abs(grouped).argmax(axis=1)
+    return at * 2 + (grouped[np.arange(len(at)), at] > 0)
+
+
+def wide_bits(sums: np.ndarray) -> np.ndarray:
+    """The carried bits of the wide fingerprint as longs."""
+    return np.packbits(sums[:CARRIED] > 0, bitorder="little").view("<i8")
+
+
+def bound_bits(similarity: float) -> int:
+    """Carried bits in which fingerprints of two sets of this Jaccard similarity differ at most, but for a chance of some 0.001."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(CARRIED * angle + SLACK * (CARRIED * angle * (1 - angle)) ** 0.5)
+
+
+WIDE_NAMES = [f"w{k}" for k in range(CARRIED // 64)]
+
+
+def wide_prints(docs: DataFrame, shingle: int, key: Column) -> DataFrame:
+    """doc_id, key, the wide fingerprint and the symbols of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, syms = [], []
+            for t in batch.column("text"):
+                sums = projections(np.unique(shingle_hashes(t.as_py() or b"", shingle)))
+                words.append(wide_bits(sums))
+                syms.append(symbols(sums).astype(np.int8).tobytes())
+            table = np.array(words, np.int64).reshape(-1, len(WIDE_NAMES))
+            arrays = [batch.column("doc_id"), batch.column("key"), *[pa.array(table[:, k]) for k in range(len(WIDE_NAMES))], pa.array(syms, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", *WIDE_NAMES, "symbols"])
+
+    wide = ", ".join(f"{w} long" for w in WIDE_NAMES)
+    return _texts(docs, key.alias("key")).mapInArrow(run, f"doc_id long, key string, {wide}, symbols binary")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, key: str) -> DataFrame:
+    """key, shingles (the set of a whole text's shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return _texts(docs, F.col(key).alias("key")).select("key", "text").mapInArrow(run, "key string, shingles array<long>")
+
+
+def spanning(words: np.ndarray, bound: int) -> list[tuple[int, int]]:
+    """Index pairs of a least spanning forest, by differing bits, of the pairs that differ in at most ``bound``."""
+    n = len(words)
+    out, near, best, free = [], np.zeros(n, np.int64), np.full(n, bound + 1, np.int64), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        free[at] = False
+        d = np.bitwise_count(words ^ words[at]).sum(axis=1, dtype=np.int64)
+        closer = free & (d < best)
+        best[closer], near[closer] = d[closer], at
+        rest = np.flatnonzero(free)
+        at = int(rest[best[rest].argmin()])
+        if best[at] <= bound:
+            out.append((int(near[at]), at))
+    return out
+
+
+def _key(groups: list[int], *before: Column) -> Column:
+    return F.xxhash64(*before, *[F.substring(F.col("symbols"), g + 1, 1) for g in groups])
+
+
+def wide_links(nodes: DataFrame, similarity: float, most: int = WIDE_ROWS) -> DataFrame:
+    """a, b (wide fingerprints as arrays): pairs of nodes that may have the similarity, a forest of each bucket.
+
+    Of a bucket of more than ``most`` rows a few are leaders, the others are each paired with their
+    nearest leader within the bound, and rows without one are dealt again by one more symbol of
+    several groups. So no bucket is one task's work, and a large group of near copies takes one pass.
+    """
+    bound = bound_bits(similarity)
+    me = F.array(*WIDE_NAMES)
+    keyed = nodes.select(F.explode(F.array(*[_key(g, F.lit(k)) for k, g in enumerate(key_groups())])).alias("key"), *WIDE_NAMES, "symbols")
+    few, edges, level = nodes.count() <= most, None, 0
+    while True:
+        crowded = None if few else cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"))
+        few = few or crowded.isEmpty()
+        plain = (keyed if few else keyed.join(crowded, "key", "left_anti")).select("key", *WIDE_NAMES)
+        found = by_bucket(plain, ["key"], lambda rows: spanning(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), bound))
+        found = found.select(*[F.slice(s, 2, len(WIDE_NAMES)).alias(s) for s in ("a", "b")])
+        edges = found if edges is None else edges.union(found)
+        if few:
+            return edges.distinct()
+        level += 1
+        inside = keyed.join(crowded, "key", "left_semi")
+        seeds = [F.min(F.struct(F.xxhash64(F.lit(s), *WIDE_NAMES), me.alias("w")))["w"] for s in range(LEADERS)]
+        leaders = sized(inside.groupBy("key").agg(F.array_distinct(F.array(*seeds)).alias("leaders")), width=40 + LEADERS * CARRIED // 8)
+        differ = lambda x: sum((F.bit_count(F.col(w).bitwiseXOR(x[k])) for k, w in enumerate(WIDE_NAMES)), F.lit(0))
+        nearest = F.array_min(F.transform("leaders", lambda x: F.struct(differ(x).alias("d"), x.alias("w"))))
+        led = cut_lineage(inside.join(leaders, "key").withColumn("near", nearest).drop("leaders"))
+        hit = F.col("near.d") <= bound
+        edges = edges.union(led.where(hit & (F.col("near.d") > 0)).select(F.col("near.w").alias("a"), me.alias("b")))
+        more = key_groups(AGAIN, 1, seed=17 + level)
+        again = F.explode(F.array(*[_key(g, F.col("key"), F.lit(g[0])) for g in more])).alias("key")
+        keyed = cut_lineage(led.where(~hit).select(again, *WIDE_NAMES, "symbols"))
 
 
 def row_key() -> Column:
@@ -237,17 +419,41 @@ def row_key() -> Column:
     return F.sha2(F.concat(F.col("doc_id").isNull().cast("string"), F.lit("|"), parts[0], F.lit("|"), F.col("text").isNull().cast("string"), F.lit("|"), parts[1]), 256)
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of docs, one of each component: the first by doc_id, then by a hash of id and text.
-
-    So rows that repeat a doc_id with texts that are no copies all stay. Of a component's rows without
-    a doc_id one stays too, also beside one with an id.
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Nodes (a wide fingerprint w0.., the key of its first row, that row's doc_id) and verified links (a, b: keys)."""
+    prints = cut_lineage(wide_prints(docs, shingle, row_key()))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    nodes = prints.groupBy(*WIDE_NAMES).agg(least, F.min("symbols").alias("symbols"))
+    nodes = cut_lineage(nodes.select(*WIDE_NAMES, "symbols", F.col("least.doc_id").alias("first"), F.col("least.key").alias("key")))
+    pairs = cut_lineage(wide_links(nodes, similarity))
+    names = nodes.select(F.array(*WIDE_NAMES).alias("w"), "key")
+    for s in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("w").alias(s), F.col("key").alias(f"{s}_key")), s).drop(s)
+    pairs = cut_lineage(pairs)
+    needed = pairs.select(F.explode(F.array("a_key", "b_key")).alias("needed")).distinct()
+    key = free_name(docs.columns, "key")
+    texts = docs.select("doc_id", "text", row_key().alias(key)).join(sized(needed, width=80), F.col(key) == F.col("needed"), "left_semi")
+    sets = cut_lineage(shingle_sets(texts, shingle, key).dropDuplicates(["key"]))
+    both = pairs
+    for s in ("a", "b"):
+        both = both.join(sets.select(F.col("key").alias(f"{s}_key"), F.col("shingles").alias(f"{s}_set")), f"{s}_key")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    verified = both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common) - 1e-9)
+    return nodes, verified.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, one of each component of similar texts: the first by doc_id (none last), then by a hash of id and text.
+
+    So rows that repeat a doc_id with texts that are no copies all stay.
     """
-    prints = cut_lineage(fingerprints(docs, shingle, row_key()))
-    named, unnamed = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")), F.when(F.col("doc_id").isNull(), F.col("key"))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min(named).alias("first"), F.min(unnamed).alias("unnamed")))
-    roots = components(links(nodes.select("fp"), max_bits))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first", "unnamed")
-    firsts = placed.groupBy("root").agg(F.min("first")["key"].alias("first"), F.min("unnamed").alias("unnamed"))
-    keep = firsts.select(F.explode(F.array("first", "unnamed")).alias("__key")).where("__key is not null")
-    return docs.withColumn("__key", row_key()).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    nodes, found = similar(docs, shingle, similarity)
+    firsts = nodes.select("key", node(F.col("first"), F.col("key")).alias("node"))
+    edges = found
+    for s in ("a", "b"):
+        edges = edges.join(firsts.select(F.col("key").alias(s), F.col("node").alias(f"{s}_node")), s).drop(s)
+    roots = components(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    keep = cut_lineage(nodes.select("key").join(roots.select(F.col("node.n0").alias("key")), "key", "left_anti"))
+    key = free_name(docs.columns, "key")
+    kept = docs.withColumn(key, row_key()).join(keep.select(F.col("key").alias(key)), key, "left_semi")
+    return kept.dropDuplicates([key]).select(docs.columns)
