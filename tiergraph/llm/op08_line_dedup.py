@@ -15,7 +15,8 @@ shorter length) with another: one edit leaves one half as it was.
 
 DataFrame functions only. Defined results: a null text stays null; lines without a word are kept and
 never compared; a null doc_id sorts before others; rows that repeat doc_id and text are one document
-and get one decision; an empty table gives no rows; other columns are carried, whatever their names.
+and get one decision; an empty table gives no rows; other columns are carried, whatever
+their names, but n_lines, n_exact and n_near, which are made anew.
 """
 
 from __future__ import annotations
@@ -24,17 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tiergraph.llm.common import cut_lineage
+from tiergraph.llm.common import cut_lineage, free_prefix, sized
 
 MIN_CHARS = 16
-#: A side of a join is broadcast up to so many rows of fixed width (some 40 bytes each); beyond, both are shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """rows, stored, and marked for broadcast only if their count is within BROADCAST_ROWS."""
-    kept = cut_lineage(rows)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept.hint("merge")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -69,7 +62,7 @@ def near_earlier(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHAR
     keyed = long_lines.select(*_hashes(), "line", F.explode(_half_keys()).alias("half"))
     # keys that two different lines share; partial minima and maxima keep a frequent half cheap
     shared = keyed.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    mates = keyed.join(_sized(shared), "half").select("h1", "h2", "line").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    mates = keyed.join(sized(shared, width=32), "half").select("h1", "h2", "line").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     mates = cut_lineage(mates.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]))
     n = F.char_length("line")
     deletions = F.transform(
@@ -96,7 +89,7 @@ def decisions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = occurrences.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     near = near_earlier(docs, distinct, min_chars).withColumn("near", F.lit(True))
     judged = distinct.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = occurrences.join(_sized(judged), ["h1", "h2"]).withColumn("exact", ~F.col("place").eqNullSafe(F.col("first"))).where("near or exact")
+    gone = occurrences.join(sized(judged, width=96), ["h1", "h2"]).withColumn("exact", ~F.col("place").eqNullSafe(F.col("first"))).where("near or exact")
     return gone.groupBy(F.col("place.id").alias("__id"), F.col("place.th").alias("__th")).agg(
         F.collect_set(F.when(F.col("exact"), F.col("place.no"))).alias("__exact"), F.collect_set(F.when(~F.col("exact"), F.col("place.no"))).alias("__near")
     )
@@ -104,14 +97,16 @@ def decisions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text rewritten, and n_lines (with a word), n_exact and n_near (lines that went)."""
-    went = _sized(decisions(docs, min_chars))
+    p = free_prefix(docs.columns)
+    went = decisions(docs, min_chars).select(*[F.col(f"__{c}").alias(f"{p}{c}") for c in ("id", "th", "exact", "near")])
+    went = sized(went, width=F.lit(64) + 4 * (F.size(f"{p}exact") + F.size(f"{p}near")))
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_exact", "n_near")]
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    joined = keyed.join(went, keyed["doc_id"].eqNullSafe(went["__id"]) & (keyed["__key"] == went["__th"]), "left")
+    keyed = docs.withColumn(f"{p}key", F.xxhash64("text"))
+    joined = keyed.join(went, keyed["doc_id"].eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}th")), "left")
     lines = F.split("text", "\n")
     # array_except looks positions up by hash
-    left = F.array_except(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__exact"), "__near")
-    text = F.when(F.col("__th").isNull(), F.col("text")).otherwise(
+    left = F.array_except(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), f"{p}exact"), f"{p}near")
+    text = F.when(F.col(f"{p}th").isNull(), F.col("text")).otherwise(
         F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: x[i]), "\n"))[0]
     )
     counted = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -119,6 +114,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         *[keyed[c] for c in columns],
         text.alias("text"),
         F.coalesce(counted.cast("long"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("__exact"), F.lit(0)).cast("long").alias("n_exact"),
-        F.coalesce(F.size("__near"), F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(F.size(f"{p}exact"), F.lit(0)).cast("long").alias("n_exact"),
+        F.coalesce(F.size(f"{p}near"), F.lit(0)).cast("long").alias("n_near"),
     )
