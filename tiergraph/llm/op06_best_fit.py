@@ -33,8 +33,8 @@ PIECES = T.StructType(
     ]
 )
 PLAN = "length long, rank_lo long, rank_hi long, sequence_lo long, per_sequence long, first_offset long"
-#: Parts into which the rows of one length are dealt for ranking, so that no length is one task's work.
-SALTS = 256
+#: Parts, at least, into which the rows of one length are dealt for ranking, and rows of a part at most or nearly so.
+SALTS, SALT_ROWS = 256, 1 << 20
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, memo: tuple[int, int] = (MEMO_WORDS, MEMO_STEMS)) -> DataFrame:
@@ -128,7 +128,7 @@ def rank_within_length(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
     """pieces with rank: 0, 1, ... within each length.
 
     A length is dealt over ``salts`` parts by hash; ranks within a part are shifted by the counts
-    of the parts before it. The shifts are at most capacity x salts rows.
+    of the parts before it. The shifts are at most capacity x salts rows. salts changes no set of ranks.
     """
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     shifts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -142,7 +142,7 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     plan = F.broadcast(spark.createDataFrame(plan_best_fit(counts, capacity), PLAN))  # sized by capacity, not by rows
-    ranked = rank_within_length(pieces).alias("p")
+    ranked = rank_within_length(pieces, max(SALTS, -(-max(counts.values(), default=0) // SALT_ROWS))).alias("p")
     on = (F.col("p.length") == F.col("plan.length")) & (F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_hi"))
     nth = F.col("rank") - F.col("rank_lo")
     return ranked.join(plan.alias("plan"), on).select(
