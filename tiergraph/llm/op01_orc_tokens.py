@@ -1,8 +1,8 @@
 """Token-ID output in ORC: run-length encoded ids, row indexes, Bloom filters on document ids.
 
 Defined results: a null text is an empty one (its row holds the end id alone); a null doc_id sorts
-first; rows that repeat a doc_id are all kept, ordered by text; an empty table gives a folder
-without rows; columns other than doc_id and text are not read, whatever their names.
+first; rows that repeat a doc_id are all kept, ordered by a hash of their text; an empty table gives a
+folder without rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,10 +66,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """Writes docs' ids in ascending doc_id order: file by file, stripe by stripe.
 
     One range shuffle of the texts orders them before they are encoded, so that ids are never
-    shuffled. Stripes are sized for parallel reads, row indexes hold minima and maxima of every
+    shuffled; ranges are cut by doc_id and a hash of the text, so that an id that many rows repeat is
+    dealt over many files (copies of one row stay together). Stripes are sized for parallel reads, row indexes hold minima and maxima of every
     index_rows rows, and a Bloom filter on doc_id lets a lookup skip the rest.
     """
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
+    ordered = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     (
         encode(ordered, tokenizer_path, end_id)
         .write.option("orc.stripe.size", stripe_bytes)
