@@ -1,22 +1,22 @@
 """Quality classifier: naive Bayes support vectors.
 
-Binary n-gram indicators are scaled by their class log-count ratios, then a linear hinge-loss model
-is fitted by dual coordinate descent, and its margin is made a probability by a fitted logistic.
-N-grams run over words (1 and 2) and over word shapes (1 to 3); a shape says how a word is cased,
-numbered and punctuated and whether it repeats the word before it.
+Binary n-gram indicators are scaled by their class log-count ratios, then a linear model is fitted
+under the squared hinge loss by dual coordinate descent, and its margin is made a probability by a
+logistic fitted on margins that did not see their rows. N-grams run over words (1 and 2) and over word
+shapes (1 to 3); a shape says how a word is cased, numbered and punctuated and whether it repeats the
+word before it. An n-gram that one row of the sample alone holds has ratio zero.
 
-The fit takes at most ``sample`` labelled rows, those with the smallest hash of doc_id; scoring
-covers every row.
+The fit takes labelled rows in the order of a hash of doc_id: at most ``sample`` of them, and no more
+than have ``SAMPLE_BYTES`` of indicators together (the first always counts); scoring covers every row.
 
 Defined results: a null text scores as an empty one, which has the bias alone; a null doc_id is
-scored and never trains; labels that repeat a doc_id count once, by their smallest value; rows that
-repeat are scored each; without labels of both classes every score is 0.5 moved by nothing else;
+scored and never trains; labels that repeat a doc_id count once, by their smallest value; of rows that
+repeat a doc_id the one with the least text trains, and each is scored; without labels of both classes every score is 0.5 moved by nothing else;
 an empty table gives no rows; lang, source and other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,25 +25,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tiergraph.llm.common import cut_lineage, free_prefix
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
+#: Indicators (4 bytes each) that the fit takes at most.
+SAMPLE_BYTES = 256 << 20
 THRESHOLD = 0.7
 MEMO_WORDS = 120_000
-RUN = re.compile(r"([^\W\d_])\1+|(\d)\2+|(.)\3+")
 MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 divided by the golden ratio
 
 
 def shape(word: str) -> str:
     """Letters as X or x, digits as 9, runs of one sign as one; other signs as they are, runs as two."""
     out, last, run = [], "", 0
-    for c in word[:40]:
+    for c in word:
         k = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         run = run + 1 if k == last else 1
         if run == 1 or (run == 2 and k not in "Xx9"):
             out.append(k)
         last = k
-    return "".join(out[:6]) + ("~" if len(word) > 24 else "")
+    return "".join(out) + ("~" if len(word) > 24 else "")
 
 
 class _Memo(dict):
@@ -118,7 +122,7 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0)
     return np.where(seen, np.log(p / (n1 + 2 * alpha)) - np.log(q / (n0 + 2 * alpha)), 0.0)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7, tolerance: float = 0.05) -> tuple[np.ndarray, float]:
     """Minimises half the squared norm plus the cost-weighted squared hinge losses, one dual variable at a time.
 
     A row's values are its buckets' ratios over the square root of its length, taken when needed.
@@ -144,7 +148,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.nd
             w[r] += step * v
             bias += step
             dual[i] = new
-        if worst < 0.05:
+        if worst < tolerance:
             break
     return w, bias
 
@@ -167,47 +171,60 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[fl
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0) -> Model:
-    """The model of labelled indicator rows; the logistic is fitted on a fifth that the margins did not see."""
+    """The model of labelled indicator rows.
+
+    A machine, ratios and all, of four fifths gives margins of the last fifth, on which the logistic
+    is fitted; the machine that scores is of all rows.
+    """
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)
-    ratios = log_count_ratios(rows, y)
 
-    def machine(some: np.ndarray) -> tuple[np.ndarray, float]:
-        share = np.array([(y == 0).mean(), (y == 1).mean()])
-        costs = cost * 0.5 / np.maximum(share[::-1], 1e-6)[y[some]]  # both classes weigh the same
-        w, b = dual_coordinate_descent([rows[i] for i in some], ratios, y[some], costs)
+    def machine(at: np.ndarray) -> tuple[np.ndarray, float]:
+        some = [rows[i] for i in at]
+        share = np.array([(y[at] == 0).mean(), (y[at] == 1).mean()])
+        costs = cost * 0.5 / share[::-1][y[at]]  # both classes weigh the same
+        ratios = log_count_ratios(some, y[at])
+        w, b = dual_coordinate_descent(some, ratios, y[at], costs)
         return w * ratios, b
 
-    fold = np.arange(len(rows)) % 5 == 4
+    every = np.arange(len(rows))
+    fold = every % 5 == 4
+    w, b = machine(every)
+    v, c = w, b
     if len(set(y[~fold].tolist())) < 2 or len(set(y[fold].tolist())) < 2:
-        fold[:] = False
-    seen, unseen = np.flatnonzero(~fold), np.flatnonzero(fold) if fold.any() else np.arange(len(rows))
-    w, b = machine(seen)
-    margin = np.array([w[rows[i]].sum() / max(1.0, len(rows[i]) ** 0.5) + b for i in unseen])
-    slope, shift = fit_logistic(margin, y[unseen])
+        fold[:] = True
+    else:
+        v, c = machine(every[~fold])
+    margin = np.array([v[rows[i]].sum() / max(1.0, len(rows[i]) ** 0.5) + c for i in every[fold]])
+    slope, shift = fit_logistic(margin, y[fold])
     return Model(w, b, slope, shift)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text, quality of at most ``sample`` labelled rows whose crc32(doc_id as text) mod 4 is not 2.
+    """doc_id, text, quality of at most ``sample`` labelled rows, one a doc_id, whose crc32(doc_id as text) mod 4 is not 2.
 
     The labels are cut to the sample first, so that what is sent to the documents is bounded.
     """
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on the driver from the sample's indicators: sample x n-grams of a text, bounded by ``sample``."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on the driver from the sample's indicators, bounded in rows by ``sample`` and in bytes by ``sample_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [indicators(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(data, pa.binary())], names=["doc_id", "quality", "buckets"])
 
-    rows = training_sample(docs, labels, sample).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, buckets binary").toArrow()
+    rows = cut_lineage(training_sample(docs, labels, sample).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, buckets binary"))
+    before = F.sum(F.octet_length("buckets")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    # a row of two numbers for each of ``sample`` rows at most
+    fits = rows.select("doc_id", "buckets").withColumn("bytes", before).where((F.col("bytes") <= sample_bytes) | (F.col("bytes") == F.octet_length("buckets"))).select("doc_id")
+    rows = rows.join(F.broadcast(fits), "doc_id").toArrow()
     data = [np.frombuffer(b.as_buffer(), "<i4") for b in rows.column("buckets")]  # views, not copies
     ids, y = rows.column("doc_id").to_numpy(), rows.column("quality").to_numpy()
     order = np.lexsort(([zlib.crc32(d) for d in data], ids))
@@ -215,17 +232,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """keep's columns with score and predicted, for every row of docs. The model's size is fixed by BUCKETS."""
+    """keep's columns, then the score and whether it reaches the threshold, for every row of docs. The model's size is fixed by BUCKETS.
+
+    The last two columns are named __score and __predicted, with more underscores where docs has such names.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))
     keep = keep or ["doc_id"]
-    schema = docs.select(*keep).schema.add("__score", "double")
+    p = free_prefix(docs.columns)
+    named = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*named).schema.add(f"{p}score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
         for batch in batches:
-            scores = [m.score(indicators(t)) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, "__score"])
+            scores = [m.score(indicators(t)) for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, f"{p}score"])
         pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
-    scored = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
-    return scored.withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
+    scored = docs.select(*named, F.col("text").alias(f"{p}text")).mapInArrow(run, schema)
+    return scored.withColumn(f"{p}predicted", (F.col(f"{p}score") >= threshold).cast("int"))
