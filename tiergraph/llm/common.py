@@ -66,6 +66,17 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: workers stay for later stages, and share an executor's memory with them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_prefix(columns: list[str]) -> str:
     """Underscores with which no column's name begins."""
     p = "__"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tiergraph.llm.common import cut_lineage, free_prefix
+from tiergraph.llm.common import cut_lineage, free_prefix, give_back
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
@@ -219,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
         for batch in batches:
             data = [indicators(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(data, pa.binary())], names=["doc_id", "quality", "buckets"])
+        give_back()
 
     rows = cut_lineage(training_sample(docs, labels, sample).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, buckets binary"))
     before = F.sum(F.octet_length("buckets")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
@@ -247,7 +248,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
         for batch in batches:
             scores = [m.score(indicators(t)) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, f"{p}score"])
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages
+        give_back()
 
     scored = docs.select(*named, F.col("text").alias(f"{p}text")).mapInArrow(run, schema)
     return scored.withColumn(f"{p}predicted", (F.col(f"{p}score") >= threshold).cast("int"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm.common import cut_lineage, free_name, lower_ascii, sized
+from tiergraph.llm.common import cut_lineage, free_name, give_back, lower_ascii, sized
 
 GROUPS = 7
 PIVOTS = 16
@@ -191,6 +191,7 @@ def by_bucket(rows: DataFrame, key: list[str], edges: Callable[[np.ndarray], lis
             held = [found[cut:].copy()]
         if held:
             yield buckets(np.concatenate(held))
+        give_back()
 
     return dealt.mapInArrow(run, "a array<long>, b array<long>")
 
@@ -342,6 +343,7 @@ def wide_prints(docs: DataFrame, shingle: int, key: Column) -> DataFrame:
             table = np.array(words, np.int64).reshape(-1, len(WIDE_NAMES))
             arrays = [batch.column("doc_id"), batch.column("key"), *[pa.array(table[:, k]) for k in range(len(WIDE_NAMES))], pa.array(syms, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", *WIDE_NAMES, "symbols"])
+        give_back()
 
     wide = ", ".join(f"{w} long" for w in WIDE_NAMES)
     return _texts(docs, key.alias("key")).mapInArrow(run, f"doc_id long, key string, {wide}, symbols binary")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tiergraph.llm.common import give_back
 from tiergraph.llm.tokens import MEMO_STEMS, MEMO_WORDS, with_end, word_tokenizer
 
 PIECES = T.StructType(
@@ -70,6 +71,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
                     names=PIECES.names,
                 )
                 lo += len(n)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
