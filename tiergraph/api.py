@@ -135,7 +135,8 @@ class Graph:
             raise InvalidInput("nothing to look for")
         e = self.entities(project)
         symbol = R.symbol_scores(R.symbols(e, words), words)
-        return R.rank(R.score_files(e.where("tier = 'file'").select("id", "name", "path"), words), symbol, min(max(max_files, 1), 30))
+        scored = R.score_files(e.where("tier = 'file'").select("id", "name", "path"), words)
+        return R.rank(R.matched(scored, symbol), symbol, min(max(max_files, 1), 30))
 
     def bundle(self, scope: str, project: str | None = None) -> DataFrame:
         return G.bundle_edges(self.entities(project), self.relationships(project), X.safe_scope(scope)).orderBy("source_file", "target_file")

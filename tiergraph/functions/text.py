@@ -8,8 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a query drops.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "what", "when", "where", "which", "who", "why", "with"]
+STOP_WORDS = [
+    "a", "an", "and", "any", "are", "as", "at", "be", "by", "find", "for", "from", "in", "into", "imports", "importing", "is", "it", "list", "on",
+    "or", "the", "this", "that", "these", "those", "to", "using", "was", "were", "what", "when", "where", "which", "who", "why", "with",
+]
 MAX_QUERY_WORDS = 10
+#: A symbol whose source is shorter is shown whole, not summarized.
+SMALL_BODY = 500
 FUNCTION_KINDS = ["function", "regular_function", "method", "closure", "async_function"]
 TYPE_KINDS = ["struct", "class", "enum", "type", "interface", "trait"]
 
@@ -18,22 +23,45 @@ TEST_NAME = r"^(tests?|spec)_|_(tests?|spec)([._]|$)|\.(test|spec)\."
 
 
 def tokens(s: Column) -> Column:
-    """SF1. Letter and digit runs, cut where a lower-case letter or digit meets an upper-case one, in lower case."""
-    cut = F.lower(F.regexp_replace(s, r"([a-z0-9])([A-Z])", "$1 $2"))
-    return F.filter(F.split(cut, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """SF1. Letter and digit runs, cut where an ASCII lower-case letter or digit meets an upper-case one, A-Z in lower case."""
+    cut = F.regexp_replace(s, r"([a-z0-9])([A-Z])", "$1 $2")
+    low = F.translate(cut, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(low, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
+
+
+def word_tokens(word: str) -> list[str]:
+    """SF1 of one word, off the cluster."""
+    cut = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", word)
+    return [t for t in re.split(r"[\W_]+", "".join(c.lower() if c.isascii() else c for c in cut)) if t]
 
 
 def word_matches(s: Column, word: str) -> Column:
-    """SF2. Some token of s starts with word."""
-    return F.exists(tokens(s), lambda t: t.startswith(word))
+    """SF2. Some token of s starts with some token of word; letters are compared as they are, so both are lower-cased before."""
+    parts = word_tokens(word)
+    if not parts:
+        return F.lit(False)
+
+    def hit(t: Column) -> Column:
+        out = t.startswith(parts[0])
+        for p in parts[1:]:
+            out = out | t.startswith(p)
+        return out
+
+    return F.exists(tokens(s), hit)
 
 
 def query_words(query: str) -> list[str]:
-    """SF3. Lower-case words of two bytes or more that are no stop words, each once, ten at most."""
-    words = [w for w in re.split(r"[\W_]+", query.lower()) if len(w.encode()) >= 2 and w not in STOP_WORDS]
+    """SF3. White-space words in lower case, kept whole, of two bytes or more, that are no stop words, each once, ten at most."""
+    words = [w for w in query.lower().split() if len(w.encode()) >= 2 and w not in STOP_WORDS]
     return list(dict.fromkeys(words))[:MAX_QUERY_WORDS]
 
 
+def query_words_of(query: Column) -> Column:
+    """SF3 of a column of queries."""
+    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOP_WORDS))
+    return F.slice(F.array_distinct(words), 1, MAX_QUERY_WORDS)
+
+
 def search_words(query: str) -> list[str]:
     """FIL3. White-space words of two characters or more in lower case, ten at most."""
     return [w for w in query.lower().split() if len(w) >= 2][:MAX_QUERY_WORDS]
@@ -87,13 +115,26 @@ def contains_word(haystack: Column, needle: Column, source_text: bool = False) -
 
 
 def truncate(s: Column, n: int) -> Column:
-    """SF7."""
-    return F.when(F.char_length(s) > n, F.concat(F.left(s, F.lit(n)), F.lit("..."))).otherwise(s)
+    """SF7. s if it has n characters or fewer, else its first n - 3 and three dots (the dots alone up to n = 3)."""
+    return F.when(F.char_length(s) > n, F.concat(F.left(s, F.lit(max(n - 3, 0))), F.lit("..."))).otherwise(s)
+
+
+def lines_of(text: Column) -> Column:
+    """Lines without their ends, \\n or \\r\\n; what follows the last end is a line unless empty."""
+    parts = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def numbered(source: Column) -> Column:
-    """SF8. Each line after its number and a tab."""
-    return F.array_join(F.transform(F.split(source, "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\t"), x)), "\n")
+    """SF8. Each line, with its end, after its number and a tab; an empty text has no line."""
+    body = F.regexp_replace(source, r"\n\z", "")
+    rows = F.array_join(F.transform(F.split(body, "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\t"), x)), "\n")
+    return F.when(source == "", "").otherwise(F.concat(rows, F.when(source.endswith("\n"), "\n").otherwise("")))
+
+
+def is_small_body(body: Column) -> Column:
+    """SF8. Fewer than SMALL_BODY characters; no body is not small."""
+    return F.coalesce(F.char_length(body) < SMALL_BODY, F.lit(False))
 
 
 def is_test_file(path: Column) -> Column:
@@ -128,12 +169,13 @@ def is_method(code: Column) -> Column:
 
 
 def is_snake(name: Column) -> Column:
-    """FIL13."""
-    return name.rlike(r"^[a-z0-9_]*$") & name.contains("_")
+    """FIL13. An underscore and no upper-case letter."""
+    return name.contains("_") & ~name.rlike(r"\p{IsUppercase}")
 
 
 def is_camel(name: Column) -> Column:
-    return name.rlike(r"^[a-z][A-Za-z0-9]*$") & name.rlike("[A-Z]")
+    """FIL13. A lower-case letter first and an upper-case one later."""
+    return name.rlike(r"^\p{IsLowercase}") & name.rlike(r"\p{IsUppercase}")
 
 
 def under(path: Column, scope: str) -> Column:
@@ -151,33 +193,65 @@ def safe_scope(scope: str) -> str:
 
 
 def doc_summary(text: Column) -> dict[str, Column]:
-    """SF9. headings (20), decisions (10), terms of the first 100 lines (15) and configuration keys (10) of a markdown text."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    """SF9. headings (20), decisions (10), terminology of the first 100 lines (15) and configuration values (10) of a markdown text.
+
+    Decisions are lines of more than 20 bytes that speak of a decision, a design or an architecture;
+    terminology has a colon or dash and more than 10 bytes; configuration is a key of capitals and
+    underscores, =, and what follows. Lines are given whole, trimmed; a heading without its marks.
+    """
+    lines = lines_of(text)
     pick = lambda xs, cond, n: F.slice(F.filter(xs, cond), 1, n)
+    says = lambda x: F.lower(x).contains("decision") | F.lower(x).contains("designed") | F.lower(x).contains("architecture")
     return {
-        "headings": F.transform(pick(lines, lambda x: x.startswith("#"), 20), lambda x: F.trim(F.regexp_replace(x, "^#+", ""))),
-        "decisions": pick(lines, lambda x: F.lower(x).contains("decision") | F.lower(x).contains("decided"), 10),
-        "terms": F.transform(pick(F.slice(lines, 1, 100), lambda x: x.contains(": ") & ~x.startswith("#"), 15), lambda x: F.trim(F.substring_index(x, ": ", 1))),
-        "config_keys": F.transform(pick(lines, lambda x: x.rlike(r"^[A-Za-z0-9_.-]+\s*="), 10), lambda x: F.trim(F.substring_index(x, "=", 1))),
+        "headings": F.transform(pick(lines, lambda x: x.startswith("#"), 20), lambda x: strip(F.regexp_replace(x, "^#+", ""))),
+        "decisions": F.transform(pick(lines, lambda x: says(x) & (F.octet_length(x) > 20), 10), strip),
+        "terminology": F.transform(pick(F.slice(lines, 1, 100), lambda x: (x.contains(": ") | x.contains(" - ")) & (F.octet_length(x) > 10) & ~x.startswith("#"), 15), strip),
+        "config_values": pick(F.transform(lines, strip), lambda x: x.rlike(r"^[\p{IsUppercase}_]+="), 10),
     }
 
 
+def strip(s: Column) -> Column:
+    return F.regexp_replace(s, r"^[\s\x0b]+|[\s\x0b]+\z", "")
+
+
 def batch_responses(content: Column, n: int) -> Column:
-    """SF10. Texts of '#i: text' lines in places 1 to n; the last line of a number counts, a missing one is null."""
-    lines = F.split(content, "\n")
-    found = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*#(\d{1,9}):", 1).alias("i"), F.trim(F.regexp_extract(x, r"^\s*#\d+:(.*)$", 1)).alias("t"))), lambda r: (r["i"] != "") & (r["t"] != ""))
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.try_element_at(F.filter(found, lambda r: r["i"].cast("int") == k), F.lit(-1))["t"])
+    """SF10. n texts: place i has that of the last line whose first # is followed by i, a colon and the text (trimmed, empty ones too); else null."""
+    if n < 1:
+        return F.array().cast("array<string>")
+    found = F.transform(lines_of(content), lambda x: F.struct(F.regexp_extract(x, r"^[^#]*#\s*\+?(\d+)\s*:", 1).try_cast("bigint").alias("i"), strip(F.regexp_extract(x, r"^[^#]*#[^:]*:(.*)$", 1)).alias("t")))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.try_element_at(F.filter(found, lambda r: r["i"] == k), F.lit(-1))["t"])
+
+
+# Schemes of an origin and the port that each implies; bytes of a key.
+SCHEME_PORTS = {"https": 443, "ssh": 22, "git": 9418}
+MAX_KEY_BYTES = 512
 
 
 def origin_key(url: Column) -> Column:
-    """SF12. host/path of a git origin: no scheme, user, port, .git or end slash; the host in lower case; null if neither form."""
-    s = F.trim(url)
-    scp = F.regexp_replace(s, r"^(?:[^@/:]+@)?([^/:]+):(?!//)(.+)$", "ssh://$1/$2")
-    full = F.when(s.contains("://"), s).otherwise(scp)
-    host = F.lower(F.regexp_extract(full, r"^[a-z+]+://(?:[^@/]*@)?([^/:]+)(?::\d+)?/", 1))
-    path = F.regexp_extract(full, r"^[a-z+]+://[^/]+/+(.*)$", 1)
-    path = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.git$", "")
-    return F.when((host != "") & (path != ""), F.concat(host, F.lit("/"), path))
+    """SF12. host/owner/repo of a git origin in lower case: no scheme, user, standard port, .git or end slash.
+
+    Null for other schemes, control characters, a path of one part or with empty, . or .. parts, a port that is none, and
+    keys of more than MAX_KEY_BYTES bytes. Without a scheme the form is host:path, by ssh.
+    """
+    s = strip(url)
+    has_scheme = s.contains("://")
+    scheme = F.when(has_scheme, F.lower(F.substring_index(s, "://", 1))).otherwise("ssh")
+    rest = F.regexp_replace(F.regexp_replace(s, r"^.*?://", ""), r"^.*@", "")
+    scp_host = F.regexp_replace(F.regexp_extract(s, r"^(.*):", 1), r"^.*@", "")
+    scp_path = F.regexp_extract(s, r"^.*:(.*)$", 1)
+    place = F.when(has_scheme, F.regexp_extract(rest, r"^([^/]*)/", 1)).otherwise(F.when(~scp_path.startswith("/"), scp_host).otherwise(""))
+    path = F.when(has_scheme, F.regexp_extract(rest, r"^[^/]*/(.*)$", 1)).otherwise(scp_path)
+    port_text = F.regexp_extract(place, r":([^:]*)$", 1)
+    host = F.when(place.contains(":"), F.regexp_replace(place, r":[^:]*$", "")).otherwise(place)
+    port = F.when(port_text.rlike(r"^\+?\d{1,9}$"), F.regexp_replace(port_text, r"^\+", "").try_cast("int"))
+    known = F.create_map(*[F.lit(x) for kv in SCHEME_PORTS.items() for x in kv])
+    shown = F.when(~place.contains(":") | (port == known[scheme]), host).otherwise(F.concat(host, F.lit(":"), port.cast("string")))
+    trimmed = F.regexp_replace(path, r"/+$", "")
+    repo = F.regexp_replace(F.regexp_replace(trimmed, r"\.git$", ""), r"/+$", "")
+    key = F.translate(F.concat(shown, F.lit("/"), repo), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    good = scheme.isin(list(SCHEME_PORTS)) & ~s.rlike(r"\p{Cc}") & (host != "") & ~trimmed.rlike(r"(^|/)\.{0,2}(/|$)") & repo.contains("/")
+    fits = (~place.contains(":") | port.between(0, 65535)) & (F.octet_length(key) <= MAX_KEY_BYTES)
+    return F.when(good & fits, key)
 
 
 def short_hash(s: Column) -> Column:
@@ -190,15 +264,23 @@ def crate_name(s: Column) -> Column:
     return F.replace(F.lower(s), F.lit("-"), F.lit("_"))
 
 
-# Licences by class.
-PERMISSIVE = ["apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "mit", "unlicense", "zlib", "0bsd", "cc0-1.0"]
-RESTRICTED = ["agpl-3.0", "cc-by-nc-4.0", "gpl-2.0", "gpl-3.0", "lgpl-3.0", "sspl-1.0", "bsl-1.1"]
+# Licences that may be redistributed, and why others may not.
+PERMISSIVE = ["apache-2.0", "mit", "bsd-3-clause", "bsd-2-clause", "isc", "unlicense"]
+RESTRICTIVE = {
+    "qwen-research": "Qwen RESEARCH LICENSE AGREEMENT \u2014 non-commercial only",
+    "qwen research license agreement": "Qwen RESEARCH LICENSE AGREEMENT \u2014 non-commercial only",
+    "gpl-3.0": "GPL-3.0 \u2014 copyleft, incompatible with proprietary redistribution",
+    "agpl-3.0": "AGPL-3.0 \u2014 copyleft, incompatible with proprietary redistribution",
+}
+UNRECOGNISED = "unrecognised licence \u2014 cannot verify redistribution rights"
 
 
-def license_class(name: Column) -> Column:
-    """SF13. allowed, restricted or unknown."""
-    low = F.lower(F.trim(name))
-    return F.when(low.isin(PERMISSIVE), "allowed").when(low.isin(RESTRICTED), "restricted").otherwise("unknown")
+def license_class(name: Column) -> dict[str, Column]:
+    """SF13. status (admissible or excluded) and, for excluded ones, the reason."""
+    low = strip(F.lower(name))
+    good = F.coalesce(low.isin(PERMISSIVE), F.lit(False))
+    reasons = F.create_map(*[F.lit(x) for kv in RESTRICTIVE.items() for x in kv])
+    return {"status": F.when(good, "admissible").otherwise("excluded"), "reason": F.when(~good, F.coalesce(reasons[low], F.lit(UNRECOGNISED)))}
 
 
 def missing_summary(summary: Column, name: Column) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from tiergraph.functions import text as X
 
 SYMBOL_CAP = 2000
+# Scores of a symbol's name and what they add to a reason.
+EXACT, PREFIX = 4, 2
+EXACT_REASON = "; symbol: exact name match"
+PREFIX_REASON = "; symbol: name prefix match"
 RESPONSE_CAP = 24_000
 
 
@@ -43,30 +47,47 @@ def symbols(entities: DataFrame, words: list[str], cap: int = SYMBOL_CAP) -> Dat
 
 
 def symbol_scores(symbols_: DataFrame, words: list[str]) -> DataFrame:
-    """RK2. file_id, symbol_score: 4 if a symbol's name is a word, 2 if a token of it starts with one; the best counts."""
+    """RK2. file_id, symbol_score: 4 if a symbol's lower-case name is a word, 2 if a token of it starts with one; the best counts."""
     name = F.lower("name")
-    score = F.when(name.isin(words), 4).when(any_of([X.word_matches(F.col("name"), w) for w in words]), 2).otherwise(0)
+    score = F.when(name.isin(words), EXACT).when(any_of([X.word_matches(name, w) for w in words]), PREFIX).otherwise(0)
     return symbols_.groupBy(F.col("parent_id").alias("file_id")).agg(F.max(score).alias("symbol_score")).where("symbol_score > 0")
 
 
 def score_files(files: DataFrame, words: list[str]) -> DataFrame:
-    """RK1. files (id, name, path) with score (2 for a word that starts a token of the name, else 1 for one of the path) and reason."""
-    name = {w: X.word_matches(F.col("name"), w) for w in words}
-    path = {w: X.word_matches(F.col("path"), w) for w in words}
-    zero = F.lit(0)
-    total, reasons = zero, []
+    """RK1. files (id, name, path) with score (2 for each word that starts a token of the name, else 1 for one of the path) and reason.
+
+    Names and paths are lower-cased first, so case cuts no token. The reason names the words by where they hit.
+    """
+    words = list(dict.fromkeys(words))
+    name = {w: F.coalesce(X.word_matches(F.lower("name"), w), F.lit(False)) for w in words}
+    path = {w: ~name[w] & X.word_matches(F.lower(F.coalesce("path", F.lit(""))), w) for w in words}
+    total = F.lit(0)
     for w in words:
         total = total + F.when(name[w], 2).when(path[w], 1).otherwise(0)
-        reasons.append(F.when(name[w], f"name:{w}").when(path[w], f"path:{w}"))
-    return files.withColumn("score", total).withColumn("reason", F.concat_ws(" ", *reasons))
+    listed = lambda hits: F.concat_ws(", ", *[F.when(hits[w], w) for w in words])
+    clause = lambda label, hits: F.when(any_of(list(hits.values())), F.concat(F.lit(label), listed(hits)))
+    reason = F.concat_ws("; ", clause("name: ", name), clause("path: ", path))
+    return files.withColumn("score", total).withColumn("reason", F.when(reason == "", "no query-word hit").otherwise(reason))
+
+
+def matched(scored: DataFrame, symbol: DataFrame) -> DataFrame:
+    """RK3. The scored files that a word hits, or that hold a symbol that one hits."""
+    held = symbol.select(F.col("file_id").alias("id"), F.lit(True).alias("held"))
+    return scored.join(held, "id", "left").where("score > 0 or held").select(scored.columns)
 
 
 def rank(scored: DataFrame, symbol: DataFrame, n: int) -> DataFrame:
-    """RK2, RK3. The n best files by score plus symbol score, then path; not_shown counts the rest."""
-    all_ = scored.join(symbol, scored["id"] == symbol["file_id"], "left").withColumn("total", F.col("score") + F.coalesce("symbol_score", F.lit(0))).where("total > 0")
+    """RK2, RK3. The n best of the matched files by the greater of score and symbol score, then path; not_shown counts the rest.
+
+    A symbol score that is the greater says so in the reason. Which files match is decided before (RK3).
+    """
+    raised = F.coalesce(F.col("symbol_score") > F.col("score"), F.lit(False))
+    why = F.concat("reason", F.when(F.col("symbol_score") >= EXACT, EXACT_REASON).otherwise(PREFIX_REASON))
+    all_ = scored.join(symbol, scored["id"] == symbol["file_id"], "left")
+    all_ = all_.withColumn("total", F.when(raised, F.col("symbol_score")).otherwise(F.col("score"))).withColumn("reason", F.when(raised, why).otherwise(F.col("reason")))
     count = all_.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("not_shown"))
-    top = all_.orderBy(F.desc("total"), "path").limit(n)
-    return top.select("id", "path", F.col("total").cast("bigint").alias("total"), "reason").crossJoin(F.broadcast(count))  # one row
+    top = all_.orderBy(F.desc("total"), F.coalesce("path", F.lit(""))).limit(n)
+    return top.select("id", "path", F.col("total").cast("bigint").alias("total"), "reason").crossJoin(F.broadcast(count)).orderBy(F.desc("total"), F.coalesce("path", F.lit("")))  # one row
 
 
 def page(rows: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:

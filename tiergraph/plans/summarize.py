@@ -52,12 +52,12 @@ def summarize_functions(units: DataFrame, client: Client, budget: int = 8_000) -
     body = F.concat_ws("\n", "name", F.left("code", F.lit(budget)))
     rows = units.select("repo_id", "id", body.alias("text")).withColumn("size", F.char_length("text"))
     packed = pack_batches(rows, "repo_id", "id", "size", budget).select("repo_id", "id", "batch").join(rows, ["repo_id", "id"])
-    numbered = packed.withColumn("i", F.row_number().over(W.partitionBy("repo_id", "batch").orderBy("id")))
+    numbered = packed.withColumn("i", F.row_number().over(W.partitionBy("repo_id", "batch").orderBy("id")) - 1)
     line = F.concat(F.lit("#"), F.col("i").cast("string"), F.lit(": "), F.regexp_replace("text", r"\s+", " "))
     prompts = numbered.groupBy("repo_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("t")))), lambda x: x["t"]), "\n").alias("prompt"), F.count(F.lit(1)).alias("n"))
     answers = ask(prompts, client).withColumn("texts", X.batch_responses(F.coalesce("answer", F.lit("")), 200))
-    got = numbered.join(answers.select("repo_id", "batch", "texts"), ["repo_id", "batch"]).select("id", "text", F.try_element_at("texts", F.col("i")).alias("summary"))
-    alone = ask(got.where("summary is null").select("id", F.concat(F.lit("#1: "), F.regexp_replace("text", r"\s+", " ")).alias("prompt")), client)
+    got = numbered.join(answers.select("repo_id", "batch", "texts"), ["repo_id", "batch"]).select("id", "text", F.try_element_at("texts", F.col("i") + 1).alias("summary"))
+    alone = ask(got.where("summary is null").select("id", F.concat(F.lit("#0: "), F.regexp_replace("text", r"\s+", " ")).alias("prompt")), client)
     saved = alone.select("id", X.batch_responses(F.coalesce("answer", F.lit("")), 1)[0].alias("summary"))
     return got.where("summary is not null").select("id", "summary").unionByName(saved)
 
