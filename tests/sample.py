@@ -1,7 +1,7 @@
 """A small repository of several languages, written for these tests."""
 
 FILES = {
-    "Cargo.toml": '[workspace]\nmembers = ["core", "tools/*"]\n',
+    "Cargo.toml": '[workspace]\nmembers = ["core", "tools/cli"]\n',
     "core/Cargo.toml": '[package]\nname = "core"\n[dependencies]\nserde = "1"\n',
     "core/src/lib.rs": "pub mod store;\npub mod walk;\nuse crate::store::open;\n\npub fn start(n: u32) -> u32 {\n    if n > 2 { return open(n); }\n    for i in 0..n { walk::step(i); }\n    0\n}\n",
     "core/src/store.rs": "use super::walk::step;\n\npub struct Store { a: u8 }\n\npub fn open(n: u32) -> u32 {\n    match n { 0 => 1, _ => step(n) }\n}\n\n#[cfg(test)]\nmod tests {\n    fn checks_open() { super::open(1); }\n}\n",
@@ -9,13 +9,13 @@ FILES = {
     "tools/cli/Cargo.toml": '[package]\nname = "cli"\n',
     "tools/cli/src/main.rs": "use core::store::open;\n\nfn main() {\n    open(3);\n}\n",
     "tools/cli/tests/run_test.rs": "fn runs() { }\n",
-    "README.md": "# Title\nterm: meaning\nmode = fast\nWe decided to stay small.\n",
+    "README.md": "# Title\nterm: its meaning\nMODE=fast\nThe decision was to stay small.\n",
     "docs/guide/deep.md": "# Guide\n",
 }
 
 WEB = {
     "package.json": '{"name": "web", "dependencies": {"react": "1"}}',
-    "tsconfig.json": '{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["./*"]}}}',
+    "tsconfig.json": '{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["src/*"]}}}',
     "src/app/index.ts": "import { helper } from '../lib/helper';\nimport Button from '@/ui/button';\nimport React from 'react';\n\nexport const run = async (a: number) => {\n  if (a) { helper(a); }\n  return a ? 1 : 2;\n};\n",
     "src/lib/helper.ts": "export function helper(x) { for (const i of x) { other(i); } }\nexport function other(y) { try { y(); } catch (e) { } }\n",
     "src/ui/button.tsx": "export const Button = memo((p) => { return p.x; });\nexport class Panel { }\n",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,27 +19,32 @@ from tiergraph.schema import CODE_UNITS
 LANGUAGES = {"rs": "Rust", "py": "Python", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "go": "Go"}
 IGNORED = [".git", "node_modules", "target", "dist", "build", "vendor", "__pycache__", ".venv", "venv"]
 
-# Words that branch, loop and handle errors, by language; a Rust match and a Go if count as handling.
-BRANCH = {"Rust": r"\b(if|match)\b", "Go": r"\b(if|switch|select)\b", "js": r"\b(if|switch)\b|\?(?![.?:])"}
-LOOP = {"Rust": r"\b(for|while|loop)\b", "Go": r"\bfor\b", "js": r"\b(for|while|do)\b"}
-HANDLE = {"Rust": r"\bmatch\b|\?[;.)]", "Go": r"\bif\b", "js": r"\b(try|catch)\b"}
-KEYWORDS = {"if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "func", "loop", "select", "else", "typeof", "new", "await", "super"}
+# Words that branch, loop and handle errors, by language. Of a match arm the guard is no branch, of do ... while the end is no loop.
+BRANCH = {"Rust": r"\bif\b(?![^{};]*=>)|\bmatch\b", "Go": r"\bif\b", "js": r"\b(?:if|switch)\b"}
+LOOP = {"Rust": r"\bfor\b(?!\s*<)|\b(?:while|loop)\b", "Go": r"\bfor\b", "js": r"\b(?:for|while)\b"}
+HANDLE = {"Rust": r"\bmatch\b", "Go": r"\bif\b", "js": r"\b(?:try|catch)\b"}
+KEYWORDS = {
+    "Rust": {"if", "for", "while", "match", "return", "fn", "loop", "else", "in", "move", "as", "let", "await", "unsafe", "break", "where", "impl", "dyn", "mut", "ref"},
+    "Go": {"if", "for", "switch", "return", "func", "select", "else", "import", "case", "defer", "go", "range", "chan", "map", "interface", "struct"},
+    "js": {"if", "for", "while", "switch", "return", "catch", "function", "else", "typeof", "new", "await", "super", "in", "import", "let", "case", "void", "delete", "throw", "yield", "async", "of", "do", "with"},
+}
+# Calls that wrap a component, and calls whose callback makes none.
+WRAPPERS = ["forwardRef", "memo", "observer", "connect"]
+NO_COMPONENT = ["setTimeout", "setInterval", "queueMicrotask", "map", "filter", "reduce", "forEach", "find", "some", "every"]
 
 RUST_FN = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)", re.M)
-RUST_TYPE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(struct|enum|trait)\s+(\w+)", re.M)
-GO_FN = re.compile(r"^func\s+(\w+)\s*\(", re.M)
-JS_FN = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)|^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*(?::[^=\n]+)?=>", re.M)
-JS_WRAPPED = re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:React\.)?(?:memo|forwardRef|observer|styled)\b|^[ \t]*export\s+default\s+(?:React\.)?(?:memo|forwardRef|observer)\(\s*(?:function\s+)?(\w+)", re.M)
-JS_CLASS = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(class|interface)\s+(\w+)", re.M)
-CALL = re.compile(r"(?<![\w.])((?:\w+(?:::|\.))*\w+)\s*!?\(")
-IMPORTS = {
-    "Rust": re.compile(r"^\s*(?:pub\s+)?use\s+([^;{]+?)(?:::\{[^}]*\}|\s+as\s+\w+)?\s*;", re.M),
-    "js": re.compile(r"""(?:^|[;\s])(?:import\s+(?:[^'"();]*?\s+from\s+)?|export\s+[^'"();]*?\s+from\s+|require\(\s*|import\(\s*)['"]([^'"]+)['"]"""),
-    "Go": re.compile(r"^\s*import\s+(?:\w+\s+|[._]\s+)?\"([^\"]+)\"", re.M),
-}
-GO_BLOCK = re.compile(r"^\s*import\s*\(([^)]*)\)", re.M)
+GO_FN = re.compile(r"^func\s+(\w+)\s*[\[(]", re.M)
+JS_FN = re.compile(r"(?:^|(?<=[;{}\s(]))(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*(?:<[^>]*>)?\(", re.M)
+JS_ARROW = re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=;\n]+)?=\s*(?=(?:async\s*)?(?:<[^>]*>\s*)?(?:\((?:[^()]|\([^()]*\))*\)|\w+)\s*(?::[^=\n]+)?=>)")
+JS_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*[*#]?(\w+)\s*(?:<[^>]*>)?\((?:[^()]|\([^()]*\))*\)\s*(?::[^{;=\n]+)?\{", re.M)
+JS_WRAPPED = re.compile(r"^(?:export\s+)?(?:const|let)\s+(\w+)\s*(?::[^=;\n]+)?=\s*([\w.]+)(?=\s*(?:<[^>]*>\s*)?[(`])", re.M)
+JS_DEFAULT = re.compile(r"^export\s+default\s+([\w.]+)(?=\s*[(`])", re.M)
+RUST_MACRO = re.compile(r"\b\w+!\s*([(\[{])")
+CALL = re.compile(r"(?<![\w:])(\w+)\s*(?:\?\.)?\(")
+RUST_USE = re.compile(r"(?:^|(?<=[;}\s]))(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);")
+JS_IMPORT = re.compile(r"""(?:^|(?<=[;}\s]))import\s+(?:[^'"();=]*?\sfrom\s*|[^'"();=]*?\}\s*from\s*)?['"]([^'"]+)['"]""")
+GO_IMPORT = re.compile(r"""^[ \t]*import\s*(?:\(([^)]*)\)|(?:[\w.]+\s+)?["`]([^"`]+)["`])""", re.M)
 CFG_TEST = re.compile(r"#\[cfg\([^\]]*\btest\b[^\]]*\)\]\s*(?:pub\s+)?mod\s+\w+\s*\{")
-MAX_PARAMETERS = 100  # nesting of a call expression that is still followed
 
 
 def family(language: str) -> str:
@@ -76,93 +81,234 @@ def block_end(code: str, start: int) -> int:
     return len(code)
 
 
+TEXT = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n]|\\u\{[^}]*\})'""", re.S)
+JS_TEXT = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+
+
+def blank(code: str, lang: str, strings: bool = True) -> str:
+    """code with comments (and what strings hold) as blanks, places kept."""
+
+    def gap(m: re.Match) -> str:
+        text = m.group()
+        if text[0] not in "\"'`":
+            return re.sub(r"[^\n]", " ", text)
+        return text[0] + re.sub(r"[^\n]", " ", text[1:-1]) + text[-1] if strings else text
+
+    return (JS_TEXT if lang == "js" else TEXT).sub(gap, code)
+
+
+def without_macros(text: str) -> str:
+    """Rust without the tokens inside macro calls, which are no expressions of the language."""
+    closing = {"(": ")", "[": "]", "{": "}"}
+    out, at = [], 0
+    for m in RUST_MACRO.finditer(text):
+        if m.start() < at:
+            continue
+        k, depth = m.end(), 1
+        while k < len(text) and depth:
+            depth += (text[k] == m[1]) - (text[k] == closing[m[1]])
+            k += 1
+        out.append(text[at : m.start()])
+        at = k
+    return "".join(out) + text[at:]
+
+
+def body_text(body: str, lang: str) -> str:
+    text = blank(body, lang)
+    return without_macros(text) if lang == "Rust" else text
+
+
 def metrics_of(body: str, lang: str) -> tuple[int, bool, bool, bool]:
     """SRC9. complexity = 1 + branches + loops, and the three flags."""
-    text = re.sub(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`""", " ", body, flags=re.S)
+    text = body_text(body, lang)
     branches, loops = (len(re.findall(p[lang], text)) for p in (BRANCH, LOOP))
+    if lang == "js":
+        loops -= len(re.findall(r"\bdo\s*\{", text))
     return 1 + branches + loops, branches > 0, loops > 0, bool(re.search(HANDLE[lang], text))
 
 
-def calls_of(body: str) -> list[str]:
-    """SRC8. Names called in a body, each once, the last part of a path or member."""
-    found = (re.split(r"::|\.", m)[-1] for m in CALL.findall(body))
-    return list(dict.fromkeys(n for n in found if n not in KEYWORDS and not n[0].isdigit()))
+def calls_of(body: str, lang: str) -> list[str]:
+    """SRC8. The name of every call in a body, repeats included: a plain name, or the last member of a chain.
+
+    Rust's paths (a::b()) and macros, and JavaScript's new, are no calls of this kind.
+    """
+    text = body_text(body, lang)
+    if lang == "Rust":
+        text = re.sub(r"::\s*<[^<>]*>\s*\(", " (", text)
+    found = []
+    for m in CALL.finditer(text):
+        before = text[: m.start()].rstrip()
+        if m[1] in KEYWORDS[lang] or m[1][0].isdigit() or re.search(r"\b(?:fn|func|function|new)$", before[-9:]):
+            continue
+        found.append(m[1])
+    return found
+
+
+def top_level(code: str, lang: str) -> str:
+    """code where what stands inside braces is blank, comments too; braces of a use or import list stay."""
+    text = blank(code, lang, strings=False)
+    bare = blank(code, lang)
+    out, depth, listed = [], 0, 0
+    for k, c in enumerate(bare):
+        if c == "{" and not depth and re.search(r"(?:\buse\s[^;{}]*|\bimport\s[^;{}'\"]*|\bimport\s*type\s[^;{}'\"]*)$", bare[max(0, k - 300) : k]):
+            listed += 1
+        elif c == "{" and listed:
+            listed += 1
+        elif c == "}" and listed:
+            listed -= 1
+        elif c == "{":
+            depth += 1
+            out.append("{")
+            continue
+        elif c == "}":
+            depth = max(0, depth - 1)
+            out.append("}")
+            continue
+        out.append(text[k] if not depth or c == "\n" else " ")
+    return "".join(out)
 
 
 def imports_of(code: str, language: str) -> list[str]:
-    """SRC7."""
+    """SRC7. What a file's top-level import statements name, each once.
+
+    Rust: the whole argument of use; JavaScript and TypeScript: the module of an import statement;
+    Go: the path; Python: the statement itself (statements of __future__ are none).
+    """
     if language == "Python":
         try:
             tree = ast.parse(code)
         except (SyntaxError, ValueError):
             return []
-        out = []
-        for n in ast.walk(tree):
-            if isinstance(n, ast.Import):
-                out += [a.name for a in n.names]
-            elif isinstance(n, ast.ImportFrom):
-                out.append("." * n.level + (n.module or ""))
-        return list(dict.fromkeys(out))
-    found = [x.strip() for x in IMPORTS[family(language)].findall(code)]
+        named = [n for n in tree.body if isinstance(n, ast.Import) or (isinstance(n, ast.ImportFrom) and n.module != "__future__")]
+        return list(dict.fromkeys((ast.get_source_segment(code, n) or "").strip() for n in named))
     if language == "Go":
-        for block in GO_BLOCK.findall(code):
-            found += re.findall(r"\"([^\"]+)\"", block)
-    return list(dict.fromkeys(found))
+        found = []
+        for block, one in GO_IMPORT.findall(blank(code, "Go", strings=False)):
+            found += [one] if one else re.findall(r"[\"`]([^\"`]+)[\"`]", block)
+        return list(dict.fromkeys(found))
+    top = top_level(code, family(language))
+    found = (RUST_USE if language == "Rust" else JS_IMPORT).findall(top)
+    return list(dict.fromkeys(x.strip() for x in found if x.strip()))
 
 
 def python_units(path: str, code: str, imports: list[str]) -> list[dict]:
+    """SRC3, SRC4. Every function, nested ones and methods too."""
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError):
         return []
     lines, out = code.split("\n"), []
+    for n in ast.walk(tree):
+        if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            continue
+        inner = list(ast.walk(n))
+        # an elif is a clause of its if, not a branch of its own
+        clauses = {id(x.orelse[0]) for x in inner if isinstance(x, ast.If) and len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If) and lines[x.orelse[0].lineno - 1].lstrip().startswith("elif")}
+        branches = sum(isinstance(x, ast.If) and id(x) not in clauses for x in inner)
+        loops = sum(isinstance(x, (ast.For, ast.AsyncFor, ast.While)) for x in inner)
+        names = [x.func.id if isinstance(x.func, ast.Name) else x.func.attr for x in inner if isinstance(x, ast.Call) and isinstance(x.func, (ast.Name, ast.Attribute))]
+        text = "\n".join(lines[n.lineno - 1 : n.end_lineno]).lstrip()
+        out.append(_unit(n.name, n.lineno, text, names, imports, (1 + branches + loops, branches > 0, loops > 0, any(isinstance(x, ast.Try) for x in inner))))
+    return sorted(out, key=lambda u: (u["line"], u["name"]))
+
 
-    def visit(node: ast.AST, parents: list[str], owner: str | None) -> None:
-        for n in ast.iter_child_nodes(node):
-            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                inner = list(ast.walk(n))
-                branches = sum(isinstance(x, (ast.If, ast.IfExp, ast.Match)) for x in inner)
-                loops = sum(isinstance(x, (ast.For, ast.AsyncFor, ast.While, ast.comprehension)) for x in inner)
-                names = [x.func.id if isinstance(x.func, ast.Name) else x.func.attr for x in inner if isinstance(x, ast.Call) and isinstance(x.func, (ast.Name, ast.Attribute))]
-                is_class = isinstance(n, ast.ClassDef)
-                out.append(
-                    dict(
-                        name=n.name, unit_type="class" if is_class else "method" if owner else "function", line=n.lineno, end_line=n.end_lineno or n.lineno,
-                        signature=lines[n.lineno - 1].strip(), code="\n".join(lines[n.lineno - 1 : n.end_lineno]), docstring=ast.get_docstring(n), parent_class=owner, calls=list(dict.fromkeys(names)),
-                        imports=imports, complexity=1 + branches + loops, has_branches=branches > 0, has_loops=loops > 0, has_error_handling=any(isinstance(x, ast.Try) for x in inner),
-                        qualified_name=".".join([*parents, n.name]),
-                    )
-                )
-                visit(n, [*parents, n.name], n.name if is_class else None)
-            else:
-                visit(n, parents, owner)
-
-    visit(tree, [], None)
-    return out
+def _unit(name: str, line: int, code: str, calls: list[str], imports: list[str], metrics: tuple[int, bool, bool, bool]) -> dict:
+    complexity, branches, loops, errors = metrics
+    return dict(
+        name=name, unit_type="function", line=line, end_line=line + code.count("\n"), signature=code.split("{")[0].strip().split("\n")[0], code=code, docstring=None, parent_class=None,
+        calls=calls, imports=imports, complexity=complexity, has_branches=branches, has_loops=loops, has_error_handling=errors, qualified_name=name,
+    )
+
+
+def _statement_end(code: str, start: int) -> int:
+    """Place after the statement from start: its semicolon, or the line's end once no bracket is open."""
+    text = blank(code[start:], "js")
+    depth = 0
+    for k, c in enumerate(text):
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return start + k
+        elif depth == 0 and (c == ";" or (c == "\n" and k and not re.match(r"\s*[.?:=(\[{`+&|]|\s*=>", text[k:]) and not re.search(r"(?:=>|[=({\[,&|+?:])\s*$", text[:k]))):
+            return start + k + (c == ";")
+    return len(code)
+
+
+def _after_brackets(text: str, start: int) -> int:
+    """Place after the bracket that closes the one at start."""
+    depth = 0
+    for k in range(start, len(text)):
+        depth += (text[k] in "([{") - (text[k] in ")]}")
+        if depth == 0:
+            return k + 1
+    return len(text)
+
+
+def is_wrapper(callee: str) -> bool:
+    return callee in WRAPPERS or bool(re.match(r"with[A-Z]", callee))
+
+
+def wraps_component(callee: str, rest: str) -> bool:
+    """SRC6. Whether a call (callee, and what follows it) makes a component: a styled template, a wrapper, or React's wrapper of an inline function."""
+    if callee == "styled" or callee.startswith("styled."):
+        return True
+    if "." not in callee:
+        return is_wrapper(callee)
+    inline = re.match(r"\s*(?:<[^>]*>\s*)?\(\s*(?:async\s*)?(?:function\b|\w+\s*=>|\((?:[^()]|\([^()]*\))*\)\s*(?::[^=\n]+)?=>)", rest)
+    owner, member = callee.rsplit(".", 1)
+    return bool(inline) and owner == "React" and is_wrapper(member) and member not in NO_COMPONENT
+
+
+def js_units(path: str, code: str) -> list[tuple[str, int, int]]:
+    """SRC5, SRC6. (name, start, end) of function declarations, methods, arrows bound to a name, and wrapped components."""
+    bare = blank(code, "js")
+    out, wrapped = [], []
+    for m in JS_WRAPPED.finditer(bare):
+        if bare.count("{", 0, m.start()) == bare.count("}", 0, m.start()) and wraps_component(m[2], code[m.end() :]):
+            start = re.search(r"(?:const|let)\b", code[m.start() :]).start() + m.start()
+            wrapped.append((m[1], start, _statement_end(code, m.end())))
+    for m in JS_DEFAULT.finditer(bare):
+        if wraps_component(m[1], code[m.end() :]):
+            base = path.rsplit("/", 1)[-1].split(".")[0]
+            folder = path.rsplit("/", 2)[-2] if "/" in path else ""
+            out.append((folder or base if base in ("index", "styled") else base, m.start(), _statement_end(code, m.end())))
+    inside = lambda at: any(a <= at < b for _, a, b in wrapped)
+    for m in JS_FN.finditer(bare):
+        start = re.search(r"(?:async\s+)?function", code[m.start() :]).start() + m.start()
+        if not inside(start):
+            out.append((m[1], start, block_end(code, _after_brackets(bare, m.end() - 1))))
+    for m in JS_ARROW.finditer(bare):
+        if not inside(m.start()):
+            arrow = bare.index("=>", m.end()) + 2
+            opens = re.match(r"\s*\{", bare[arrow:])
+            out.append((m[1], m.end(), block_end(code, arrow) if opens else _statement_end(code, arrow)))
+    for m in JS_METHOD.finditer(bare):
+        if m[1] not in KEYWORDS["js"] and not inside(m.start()):
+            start = m.start() + len(m.group()) - len(m.group().lstrip())
+            out.append((m[1], start, block_end(code, m.end() - 1)))
+    return out + wrapped
 
 
 def pattern_units(path: str, code: str, language: str, imports: list[str]) -> list[dict]:
-    """SRC3 to SRC6. Functions, wrapped components and types by pattern, each up to its closing brace."""
-    kinds = {"Rust": [(RUST_FN, "function"), (RUST_TYPE, None)], "Go": [(GO_FN, "function")], "js": [(JS_FN, "function"), (JS_WRAPPED, "function"), (JS_CLASS, None)]}[family(language)]
-    out, seen = [], set()
-    for pattern, kind in kinds:
-        for m in pattern.finditer(code):
-            unit, name = (kind, next(g for g in m.groups() if g)) if kind else m.groups()
+    """SRC3 to SRC6. Functions by pattern, each up to its closing brace."""
+    lang = family(language)
+    if lang == "js":
+        spans = js_units(path, code)
+    else:
+        bare = blank(code, lang)
+        spans = []
+        for m in (RUST_FN if lang == "Rust" else GO_FN).finditer(bare):
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            if (name, start) in seen:
-                continue
-            seen.add((name, start))
-            body = code[start : block_end(code, m.end())]
-            line = code.count("\n", 0, start) + 1
-            complexity, b, loop, e = metrics_of(body, family(language)) if unit == "function" else (1, False, False, False)
-            out.append(
-                dict(
-                    name=name, unit_type=unit, line=line, end_line=line + body.count("\n"), signature=body.split("{")[0].strip().split("\n")[0], code=body, docstring=None, parent_class=None,
-                    calls=[c for c in calls_of(body[len(m.group().strip()) :]) if c != name] if unit == "function" else [], imports=imports, complexity=complexity, has_branches=b, has_loops=loop,
-                    has_error_handling=e, qualified_name=name,
-                )
-            )
-    return sorted(out, key=lambda u: (u["line"], u["name"]))
+            spans.append((m[1], start, block_end(code, m.end())))
+    out = {}
+    for name, start, end in spans:
+        body = code[start:end]
+        head = re.search(rf"\b{re.escape(name)}\b", body)
+        calls = calls_of(body[head.end() if head else 0 :], lang) if lang != "js" else [c for k, c in enumerate(calls_of(body, lang)) if not (k == 0 and c == name and re.match(rf"(?:\w+\s+)*[*#]?{re.escape(name)}\s*(?:<[^>]*>)?\(", body))]
+        out[name, start] = _unit(name, code.count("\n", 0, start) + 1, body, calls, imports, metrics_of(body, lang))
+    return sorted(out.values(), key=lambda u: (u["line"], u["name"]))
 
 
 def units_of(path: str, language: str, content: bytes) -> list[dict]:
@@ -171,7 +317,8 @@ def units_of(path: str, language: str, content: bytes) -> list[dict]:
     imports = imports_of(code, language)
     found = python_units(path, code, imports) if language == "Python" else pattern_units(path, code, language, imports)
     if not found and imports:
-        found = [dict(name="", unit_type="file_imports_marker", line=1, end_line=code.count("\n") + 1, signature=None, code=None, docstring=None, parent_class=None, calls=[], imports=imports, complexity=0, has_branches=False, has_loops=False, has_error_handling=False, qualified_name="")]
+        marker = _unit("", 1, "", [], imports, (0, False, False, False))
+        found = [marker | {"unit_type": "file_imports_marker", "signature": None, "code": None, "qualified_name": path.replace("/", "::") + "::file_imports_marker"}]
     return [u | {"file": path, "language": language} for u in found]
 
 
@@ -192,10 +339,11 @@ def mod_declarations(code: str) -> list[tuple[str, str | None]]:
     return [(name, path or None) for path, name in MOD.findall(re.sub(r"//[^\n]*", "", code))]
 
 
-def module_map(files: DataFrame, roots: list[str] | None = None, max_depth: int = 12) -> DataFrame:
+def module_map(files: DataFrame, roots: list[str] | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """SRC14. path, logical: the crate path of each Rust file reached from the crate roots by mod declarations.
 
-    files has path and content; a level of declarations is one join, so depth is bounded by nesting.
+    files has path and content; a level of declarations is one join, and a file is reached once, so the
+    walk ends however deep modules are nested. settle may store a level.
     """
     schema = "path string, name string, attr string"
 
@@ -216,8 +364,10 @@ def module_map(files: DataFrame, roots: list[str] | None = None, max_depth: int
     tops = rust.where(F.col("path").isin(roots)) if roots else rust.where(F.regexp_like("path", F.lit(r"(^|/)src/(lib|main)\.rs$")))
     level = tops.select("path", F.lit("crate").alias("logical"))
     out = level
-    for _ in range(max_depth):
+    edges = settle(edges)
+    while True:
         level = level.join(edges, "path").select(F.col("child").alias("path"), F.concat("logical", F.lit("::"), "name").alias("logical")).join(out.select("path"), "path", "left_anti")
+        level = settle(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
