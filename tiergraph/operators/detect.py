@@ -61,11 +61,30 @@ def coupling_insights(modules: DataFrame) -> DataFrame:
     )
 
 
+# Languages whose files are expected to have tests.
+TESTABLE_LANGUAGES = ["rust", "python", "javascript", "typescript", "jsx", "tsx", "go", "java", "kotlin", "ruby", "c", "cpp", "c++", "swift", "scala", "php"]
+#: A word shorter than this attributes no test.
+WORD_BYTES = 4
+
+
 def coverage_gaps(files: DataFrame) -> DataFrame:
-    """IN4. files (module, is_test): modules without a test file are high, below a tenth medium."""
-    per = files.groupBy("module").agg(F.count(F.lit(1)).alias("files"), F.count_if("is_test").alias("tests"))
+    """IN4. files (id, module, module_name, path, language, inline): modules with a file of a testable language and no test are high, below a tenth medium.
+
+    Tests of a module are its own test files (by name or folder, or with inline tests), and test files of
+    other modules whose stem holds, as a whole word, the module's name or the stem of a file of it that
+    is no test.
+    """
+    rows = files.select("id", "module", "module_name", "path", "language", F.coalesce("inline", F.lit(False)).alias("inline"), X.is_test_file(F.col("path")).alias("is_test"), X.stem(F.col("path")).alias("stem"))
+    per = rows.groupBy("module").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.lower("language").isin(TESTABLE_LANGUAGES)).alias("testable"), F.count_if(F.col("is_test") | F.col("inline")).alias("direct")
+    )
+    child = rows.where(~F.col("is_test") & ~F.col("inline")).select("module", F.col("stem").alias("word"))
+    words = child.unionByName(rows.select("module", F.col("module_name").alias("word"))).where(F.octet_length("word") >= WORD_BYTES).distinct()
+    across = cross_directory_tests(rows.where("is_test and stem is not null").select("id", "module", "stem"), words)
+    cross = across.groupBy("module").agg(F.count(F.lit(1)).alias("across"))
+    out = per.where("testable > 0").join(cross, "module", "left").withColumn("across", F.coalesce("across", F.lit(0).cast("bigint"))).withColumn("tests", F.col("direct") + F.col("across"))
     severity = F.when(F.col("tests") == 0, "high").when(F.col("tests") / F.col("files") < TEST_RATIO, "medium")
-    return per.withColumn("severity", severity).where("severity is not null")
+    return out.withColumn("severity", severity).where("severity is not null").select("module", "files", "tests", "direct", "across", "severity")
 
 
 def cross_directory_tests(tests: DataFrame, modules: DataFrame) -> DataFrame:
@@ -79,7 +98,7 @@ def cross_directory_tests(tests: DataFrame, modules: DataFrame) -> DataFrame:
         F.transform("cuts", lambda a: F.transform(F.filter(F.concat(F.col("cuts"), F.array(F.char_length("stem") + 1)), lambda b: b > a), lambda b: F.substring(F.col("stem"), a + 1, b - a - 1)))
     )
     words = cut.select(F.col("id").alias("test"), F.col("module").alias("own"), F.explode(F.array_distinct(runs)).alias("word"))
-    wanted = modules.where(F.char_length("word") >= 4).select("module", "word").distinct()
+    wanted = modules.where(F.octet_length("word") >= WORD_BYTES).select("module", "word").distinct()
     return words.join(wanted, "word").where(~F.col("own").eqNullSafe(F.col("module"))).select("module", "test").distinct()
 
 
@@ -96,25 +115,48 @@ def rust_share(files: DataFrame) -> Column:
     return F.when(known > 0, F.count_if(F.lower("language") == "rust") / known).otherwise(0.0)
 
 
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """IN6. nodes, length: node sets of the simple cycles of up to max_length nodes.
-
-    Paths start at a cycle's smallest node and only grow over larger ones, so each cycle is walked
-    once a direction, and paths that can't close are dropped early. Modules are the roll-up of
-    files, so this runs on the small end of the graph.
+def back_edge_cycles(edges: list[tuple[str, str]]) -> list[list[str]]:
+    """Node sets of the cycles that a depth-first walk closes: from nodes in order, over neighbours in order, each set once."""
+    out_of: dict[str, list[str]] = {}
+    for a, b in sorted(set(edges)):
+        out_of.setdefault(a, []).append(b)
+    place: dict[str, int] = {}  # of nodes on the path; -1 once left for good
+    seen: set[tuple[str, ...]] = set()
+    for start in sorted(out_of):
+        if start in place:
+            continue
+        path, ways = [start], [iter(out_of[start])]
+        place[start] = 0
+        while path:
+            for b in ways[-1]:
+                if b not in place:
+                    place[b] = len(path)
+                    path.append(b)
+                    ways.append(iter(out_of.get(b, ())))
+                    break
+                if place[b] >= 0:
+                    seen.add(tuple(sorted(path[place[b] :])))
+            else:
+                ways.pop()
+                place[path.pop()] = -1
+    return [list(c) for c in sorted(seen)]
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """IN6. nodes, length: node sets of the cycles that a depth-first walk of the graph closes, of any length.
+
+    The walk is in order of ids and takes time linear in the edges, unlike a listing of all simple cycles.
+    It passes the distinct edges between one project's modules, the roll-up of its files, through one task.
     """
     e = edges.where("source_id <> target_id").select("source_id", "target_id").distinct()
-    path = e.where("target_id > source_id").select(F.col("source_id").alias("start"), F.col("target_id").alias("at"), F.array("source_id", "target_id").alias("path"))
-    found = None
-    for n in range(2, max_length + 1):
-        back = e.select(F.col("source_id").alias("at"), F.col("target_id").alias("start"))
-        closed = path.join(back, ["at", "start"], "left_semi").select(F.array_sort("path").alias("nodes"))
-        found = closed if found is None else found.unionByName(closed)
-        if n < max_length:
-            step = e.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
-            path = path.join(step, "at").where((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
-            path = path.select("start", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-    return found.distinct().select(F.array_join("nodes", ",").alias("nodes"), F.size("nodes").cast("bigint").alias("length"))
+
+    def run(pdf):
+        import pandas as pd
+
+        found = back_edge_cycles(list(zip(pdf["source_id"], pdf["target_id"])))
+        return pd.DataFrame([(",".join(c), len(c)) for c in found], columns=["nodes", "length"])
+
+    return e.groupBy(F.lit(0).alias("project")).applyInPandas(run, "nodes string, length bigint")
 
 
 def severity_order(severity: Column) -> Column:

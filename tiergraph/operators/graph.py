@@ -14,6 +14,16 @@ from pyspark.sql import Window as W
 from tiergraph.schema import DEPENDENCY_TYPES
 
 END = ["id", "project_id", "tier", "name", "path"]
+#: Rows of a frontier that are fetched, and sent to the edges, instead of being derived again in each later hop.
+SMALL_FRONTIER = 20_000
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """rows, made once: as a broadcast of at most SMALL_FRONTIER rows, or kept by the executors if there are more."""
+    some = rows.limit(SMALL_FRONTIER + 1).collect()
+    if len(some) > SMALL_FRONTIER:
+        return rows.persist()
+    return F.broadcast(rows.sparkSession.createDataFrame(some, rows.schema))
 
 
 def outgoing(edges: DataFrame, entities: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -51,15 +61,16 @@ def impact(entities: DataFrame, edges: DataFrame, paths: DataFrame, follow_conta
     hops of those over every edge type, the parents left out), caller (functions that call a function of the files).
     """
     e = edges if follow_contains else edges.where("rel_type <> 'contains'")
-    changed = entities.where("tier = 'file'").join(paths.select("path"), "path", "left_semi").select("id", "parent_id")
-    parent = lambda df, tier: entities.where(F.col("tier") == tier).select("id", "parent_id").join(df.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")
+    changed = held(entities.where("tier = 'file'").join(paths.select("path"), "path", "left_semi").select("id", "parent_id"))
+    parent = lambda df, tier: held(entities.where(F.col("tier") == tier).select("id", "parent_id").join(df.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi"))
     mods = parent(changed, "module")
     subs = parent(mods, "subsystem")
     seeds = mods.select("id").unionByName(subs.select("id"))
     tiers = entities.where("tier in ('module', 'subsystem')").select(F.col("id").alias("source_id"))
-    back = e.join(tiers, "source_id", "left_semi").select("source_id", "target_id")
-    one = back.join(seeds.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id")).distinct()
-    two = back.join(one.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id"))
+    # the few edges into the frontier first, then the tier of their sources
+    into = lambda ids: e.select("source_id", "target_id").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("source_id").distinct().join(tiers, "source_id", "left_semi").select(F.col("source_id").alias("id"))
+    one = held(into(seeds))
+    two = into(one)
     dependents = one.unionByName(two).distinct().join(seeds, "id", "left_anti")
     functions = entities.where("tier = 'function'").select("id", "parent_id").join(changed.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
     callers = edges.where("rel_type = 'calls'").join(functions.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id")).distinct()
@@ -76,12 +87,12 @@ def owning_file(entities: DataFrame) -> DataFrame:
 def hops(entities: DataFrame, edges: DataFrame, files: DataFrame, max_hops: int = 2, types: list[str] | None = None) -> DataFrame:
     """GR5. file_id, hop: files within max_hops reverse dependency hops of files (id) and their functions; the first hop wins."""
     owner = owning_file(entities)
-    back = edges.where(F.col("rel_type").isin(types or DEPENDENCY_TYPES)).select("source_id", "target_id").distinct()
-    frontier = owner.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id")
+    back = edges.where(F.col("rel_type").isin(types or DEPENDENCY_TYPES)).select("source_id", "target_id")
+    frontier = held(owner.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id"))
     visited, reached = frontier, None
     for hop in range(1, max_hops + 1):
         new = back.join(frontier.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id")).distinct()
-        frontier = new.join(visited, "id", "left_anti").join(owner.select("id"), "id", "left_semi")
+        frontier = held(new.join(visited, "id", "left_anti").join(owner.select("id"), "id", "left_semi"))
         step = frontier.withColumn("hop", F.lit(hop))
         reached = step if reached is None else reached.unionByName(step)
         visited = visited.unionByName(frontier)
@@ -97,13 +108,13 @@ def blast_radius(entities: DataFrame, edges: DataFrame, file_id: str, max_hops:
     """
     owner = owning_file(entities)
     back = edges.where(F.col("rel_type").isin(DEPENDENCY_TYPES)).select("source_id", "target_id", "rel_type")
-    frontier = owner.where(F.col("file_id") == file_id).select("id")
+    frontier = held(owner.where(F.col("file_id") == file_id).select("id"))
     visited, hits = frontier, None
     for hop in range(1, max_hops + 1):
         found = back.join(frontier.select(F.col("id").alias("target_id")), "target_id", "left_semi").join(visited.select(F.col("id").alias("source_id")), "source_id", "left_anti")
         # a source counts once, with its first type by name
-        found = found.groupBy(F.col("source_id").alias("id")).agg(F.min("rel_type").alias("rel_type"))
-        placed = found.join(owner, "id").where(F.col("file_id") != file_id)
+        found = held(found.groupBy(F.col("source_id").alias("id")).agg(F.min("rel_type").alias("rel_type")))
+        placed = held(owner.join(found, "id").where(F.col("file_id") != file_id))
         step = placed.where("rel_type <> 'calls'").select("file_id", "rel_type", F.lit(hop).alias("hop"))
         hits = step if hits is None else hits.unionByName(step)
         visited = visited.unionByName(found.select("id"))

@@ -13,6 +13,7 @@ from tiergraph.operators import edges as E
 from tiergraph.operators import resolve as V
 
 MAX_ID = 512
+EVIDENCE_FIELDS = ["source_file", "source_line", "source_end_line", "import_path", "source_function", "caller_line", "callee_name"]
 
 
 def entity_id(project: str, repo: str, tier: str, path: Column) -> Column:
@@ -79,58 +80,99 @@ def contains(rows: DataFrame) -> DataFrame:
     return rows.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("rel_type"), F.lit("resolved").alias("provenance"))
 
 
-def import_hits(units: DataFrame, files: DataFrame, repo: str, js: dict, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """JN4 to JN11. imports hits from the files of units to the files their imports name.
+def resolved_imports(units: DataFrame, files: DataFrame, repo: str, js: dict, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """JN4 to JN10. importing, spec, language, target (a file's id, or null) of every import that units name, each once.
 
-    Rust: crate paths, super and self; JavaScript: ordered candidates; otherwise path-like module
-    names; what none of these resolves may match a bare stem that one file alone has (heuristic).
+    JavaScript: ordered candidates. Rust: a key, else super and self from the importing file, else the
+    longest key that leading :: segments make. Other languages: a key, else such segments.
     """
-    spark = units.sparkSession
     f = files.where("tier = 'file'").select("id", "path")
     raw = units.select(F.col("file").alias("importing"), "language", F.explode("imports").alias("spec")).distinct()
-    rows = settle(raw.withColumn("row_id", F.xxhash64("importing", "spec")))
-    js_rows = rows.where("language in ('JavaScript', 'TypeScript')")
-    aliases = spark.createDataFrame(js["aliases"], "prefix string, replacement string")
-    packages = spark.createDataFrame(js["packages"], "name string, folder string")
-    a = V.js_imports(js_rows, f, aliases, packages, js["roots"]).withColumn("provenance", F.lit("resolved"))
-    rust = rows.where("language = 'Rust'")
-    b = V.rust_relative(rust, f).withColumn("provenance", F.lit("resolved"))
+    rows = settle(raw.withColumn("row_id", F.xxhash64("importing", "language", "spec")))
+    is_js = F.col("language").isin("JavaScript", "TypeScript")
+    a = V.js_imports(rows.where(is_js), f, js)
     keys = V.import_keys(f, repo).withColumnRenamed("file_id", "target")
-    c = V.longest_prefix(rust.where("not startswith(spec, 'super::') and not startswith(spec, 'self::')"), keys, "spec", "::").where("target is not null and matched <> 'crate'")
-    c = c.select("row_id", "target", F.lit("resolved").alias("provenance"))
-    python = rows.where("language = 'Python'")
-    up = F.char_length(F.regexp_extract("spec", r"^(\.*)", 1))
-    folder = F.split(F.regexp_replace("importing", "/?[^/]*$", ""), "/")
-    head = F.array_join(F.slice(folder, 1, F.greatest(F.size(folder) - up + 1, F.lit(0))), "/")
-    name = F.replace(F.regexp_replace("spec", r"^\.+", ""), F.lit("."), F.lit("/"))
-    base = F.when(up > 0, F.when(head == "", name).otherwise(F.concat(head, F.lit("/"), name))).otherwise(name)
-    tried = python.select("row_id", F.posexplode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")), F.concat(F.lit("src/"), base, F.lit(".py")), F.concat(F.lit("src/"), base, F.lit("/__init__.py")))).alias("priority", "path"))
-    d = tried.join(f.select("path", F.col("id").alias("target")), "path").groupBy("row_id").agg(F.min_by("target", "priority").alias("target")).withColumn("provenance", F.lit("resolved"))
-    found = settle(a).unionByName(settle(b)).unionByName(settle(c)).unionByName(settle(d))
-    stems = V.unique_key(f.select(X.stem(F.col("path")).alias("stem"), "id"), "stem", "id").withColumnRenamed("id", "target")
-    last = F.lower(F.regexp_extract("spec", r"([A-Za-z0-9_]+)\W*$", 1))
-    loose = rows.where("not startswith(spec, '.')").join(found.select("row_id"), "row_id", "left_anti").withColumn("stem", last).join(stems, "stem").select("row_id", "target", F.lit("heuristic").alias("provenance"))
-    hits = found.unionByName(loose).join(rows.select("row_id", "importing", "spec"), "row_id")
-    source = f.select(F.col("path").alias("importing"), F.col("id").alias("source_id"))
-    return hits.join(source, "importing").select("source_id", F.col("target").alias("target_id"), F.lit("imports").alias("rel_type"), "provenance", F.col("importing").alias("source_file"), F.col("spec").alias("import_path"))
-
-
-def call_hits(units: DataFrame, functions_: DataFrame) -> DataFrame:
-    """JN13, JN14. calls hits from each function to all functions of the called name."""
-    own = V.unit_functions(units, functions_.withColumn("parent_id", F.col("path"))).select(F.col("function_id").alias("source_id"), F.explode("calls").alias("name"))
-    return V.call_targets(own.distinct(), functions_).select("source_id", "target_id", F.lit("calls").alias("rel_type"), F.lit("heuristic").alias("provenance"))
-
-
-def relationships(units: DataFrame, tiers: DataFrame, functions_: DataFrame, repo: str, js: dict, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """All edges of a repository: contains, imports, the depends_on roll-ups of imports, then calls.
+    near = (F.col("language") == "Rust") & (F.col("spec").startswith("super::") | F.col("spec").startswith("self::"))
+    exact = rows.where(~is_js & near).join(keys.withColumnRenamed("key", "spec"), "spec").select("row_id", "target")
+    b = V.rust_relative(rows.where(near).join(exact.select("row_id"), "row_id", "left_anti"), f)
+    c = V.longest_prefix(rows.where(~is_js & ~near), keys, "spec", "::").where("target is not null").select("row_id", "target")
+    found = settle(a).unionByName(exact).unionByName(settle(b)).unionByName(settle(c))
+    return settle(rows.join(found, "row_id", "left").drop("row_id"))
+
+
+def import_hits(units: DataFrame, files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """JN4 to JN12. imports hits between the files of units: one a unit and import that resolves, one a unit and call that names a file.
+
+    A call (JavaScript's aside) names the only file of that stem, mod left out, else the only file that
+    defines a function of that name; such hits are heuristic. A file is no hit of itself.
+    """
+    f = files.where("tier = 'file'").select(F.col("path").alias("file"), F.col("id").alias("file_id"))
+    source = units.join(f, "file").withColumnRenamed("file_id", "source_id")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    targets = resolved.where("target is not null").select(F.col("importing").alias("file"), "language", F.col("spec").alias("import_path"), F.col("target").alias("target_id"))
+    by_import = source.withColumn("import_path", F.explode("imports")).join(targets, ["file", "language", "import_path"])
+    by_import = by_import.select("source_id", "target_id", F.lit("imports").alias("rel_type"), F.lit("resolved").alias("provenance"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), F.col("end_line").alias("source_end_line"), "import_path", text.alias("source_function"), number.alias("caller_line"), text.alias("callee_name"))
+    stem = F.regexp_replace(X.basename(F.col("file")), r"(?<=.)\.[^.]*$", "")
+    stems = V.unique_key(f.select(stem.alias("callee"), "file_id").where("callee not in ('', 'mod')"), "callee", "file_id").select("callee", F.col("file_id").alias("by_stem"))
+    defined = source.select(F.explode(F.array("name", "qualified_name")).alias("callee"), "source_id").distinct()
+    owners = V.unique_key(defined, "callee", "source_id").select("callee", F.col("source_id").alias("by_name"))
+    calls = source.where(~F.col("language").isin("JavaScript", "TypeScript")).withColumn("callee", F.explode("calls"))
+    calls = calls.join(stems, "callee", "left").join(owners, "callee", "left").withColumn("target_id", F.coalesce("by_stem", "by_name")).where("target_id is not null")
+    by_call = calls.select("source_id", "target_id", F.lit("imports").alias("rel_type"), F.lit("heuristic").alias("provenance"), F.col("file").alias("source_file"), number.alias("source_line"), number.alias("source_end_line"), text.alias("import_path"), text.alias("source_function"), F.col("line").alias("caller_line"), F.col("callee").alias("callee_name"))
+    return by_import.unionByName(by_call).where("source_id <> target_id")
+
+
+def unresolved_counts(units: DataFrame, resolved: DataFrame, files: DataFrame, js: dict) -> DataFrame:
+    """AG9. internal, external: imports of units without a target, one row.
+
+    Internal ones are relative, or bare JavaScript names whose first segment is a folder in a source root and no declared dependency.
+    """
+    spec = F.col("spec")
+    first = F.substring_index(spec, "/", 1)
+    paths = files.where("tier = 'file'").select("path")
+    below = None
+    for r in js["roots"]:
+        some = paths.where(F.col("path").startswith(f"{r}/") & F.substring("path", len(r) + 2, 1 << 20).contains("/")).select(F.split_part(F.substring("path", len(r) + 2, 1 << 20), F.lit("/"), F.lit(1)).alias("first"))
+        below = some if below is None else below.unionByName(some)
+    left = units.select("file", "language", F.explode("imports").alias("spec")).join(resolved.where("target is null").select(F.col("importing").alias("file"), "language", "spec"), ["file", "language", "spec"])
+    is_js = F.col("language").isin("JavaScript", "TypeScript")
+    near = spec.startswith(".") | (~is_js & (spec.startswith("super::") | spec.startswith("self::") | spec.isin("super", "self")))
+    if below is not None:
+        known = below.distinct().withColumn("rooted", F.lit(True))
+        left = left.withColumn("first", first).join(F.broadcast(known), "first", "left")  # top folders of source roots
+        near = near | (is_js & ~spec.startswith("/") & ~first.isin(js["declared"]) & F.coalesce("rooted", F.lit(False)))
+    return left.agg(F.count_if(near).alias("internal"), F.count_if(~near).alias("external"))
+
+
+def function_hits(units: DataFrame, functions_: DataFrame, resolved: DataFrame) -> DataFrame:
+    """JN13, JN14. calls hits from each function to all functions of a called name but itself, and its imports hits to files.
+
+    Units are those that functions came from: of function kinds, outside test files; a test function has no entity.
+    A name that very many functions share is called in all of them, as the graph wants it.
+    """
+    some = units.where(X.is_function_kind(F.col("unit_type")) & ~X.is_test_path(F.col("file")))
+    own = V.unit_functions(some, functions_.select("id", "name", F.col("path").alias("parent_id"))).withColumnRenamed("function_id", "source_id")
+    called = own.select("source_id", F.explode("calls").alias("callee_name"), F.col("file").alias("source_file"), F.col("line").alias("caller_line"))
+    calls = called.join(functions_.select(F.col("id").alias("target_id"), F.col("name").alias("callee_name")), "callee_name").where("source_id <> target_id")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    calls = calls.select("source_id", "target_id", F.lit("calls").alias("rel_type"), F.lit("heuristic").alias("provenance"), "source_file", number.alias("source_line"), number.alias("source_end_line"), text.alias("import_path"), F.col("source_id").alias("source_function"), "caller_line", "callee_name")
+    targets = resolved.where("target is not null").select(F.col("importing").alias("file"), "language", F.col("spec").alias("import_path"), F.col("target").alias("target_id"))
+    file_of = functions_.select(F.col("id").alias("source_id"), F.col("parent_id").alias("own_file"))
+    imports = own.withColumn("import_path", F.explode("imports")).join(targets, ["file", "language", "import_path"]).join(file_of, "source_id").where("target_id <> own_file")
+    imports = imports.select("source_id", "target_id", F.lit("imports").alias("rel_type"), F.lit("resolved").alias("provenance"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), number.alias("source_end_line"), "import_path", F.col("source_id").alias("source_function"), number.alias("caller_line"), text.alias("callee_name"))
+    return calls.unionByName(imports)
+
+
+def relationships(units: DataFrame, tiers: DataFrame, functions_: DataFrame, resolved: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All edges of a repository: contains, imports, the depends_on roll-ups of files' imports, then what functions call and import.
 
     settle may store what several branches read.
     """
-    imports = settle(E.aggregate(import_hits(units, tiers, repo, js, settle)))
+    imports = settle(E.aggregate(import_hits(units, tiers, resolved), EVIDENCE_FIELDS))
     owners = tiers.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).where("parent is not null")
     mods = settle(E.lift(imports, owners))
     subs = E.lift(mods, owners)
     depends = lambda df: df.select("source_id", "target_id", F.lit("depends_on").alias("rel_type"), "weight", F.lit("resolved").alias("provenance"))
     holds = E.aggregate(contains(tiers.unionByName(functions_)))
-    calls = E.aggregate(call_hits(units, functions_))
-    return holds.unionByName(imports).unionByName(depends(mods)).unionByName(depends(subs)).unionByName(calls)
+    of_functions = E.aggregate(function_hits(units, functions_, resolved), EVIDENCE_FIELDS)
+    return holds.unionByName(imports, allowMissingColumns=True).unionByName(depends(mods), allowMissingColumns=True).unionByName(depends(subs), allowMissingColumns=True).unionByName(of_functions, allowMissingColumns=True)

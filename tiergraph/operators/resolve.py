@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tiergraph.functions import text as X
 
 # What a specifier without an extension may stand for, in order.
-EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
-INDEX_FILES = ["/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs"]
+EXTENSIONS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
+INDEX_FILES = ["index.js", "index.ts", "index.jsx", "index.tsx", "index.mjs"]
 
 
 def units_to_files(units: DataFrame, files: DataFrame) -> DataFrame:
@@ -21,14 +21,23 @@ def units_to_files(units: DataFrame, files: DataFrame) -> DataFrame:
     return units.join(files.select(F.col("path").alias("file"), F.col("id").alias("file_id")), "file")
 
 
+# Extensions that a module key leaves out.
+KEY_EXTENSIONS = [".rs", ".py", ".ts", ".js"]
+
+
 def import_keys(files: DataFrame, repo: str) -> DataFrame:
-    """JN5. key, file_id: crate::a::b, repo::a::b and the path of each file; the least file id of a key counts, exact paths before."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), r"^(.*/)?src/", ""), r"(/|^)(mod|lib|main|index)$", "")
-    tail = F.replace(bare, F.lit("/"), F.lit("::"))
-    key = lambda head: F.when(tail == "", F.lit(head)).otherwise(F.concat(F.lit(f"{head}::"), tail))
-    keyed = files.select(F.col("id").alias("file_id"), F.explode(F.array(F.struct(F.lit(0).alias("how"), F.col("path").alias("key")), F.struct(F.lit(1).alias("how"), key("crate").alias("key")), F.struct(F.lit(1).alias("how"), key(repo.lower().replace("-", "_")).alias("key")))).alias("k"))
-    return keyed.groupBy("k.key").agg(F.min_by("file_id", F.struct("k.how", "file_id")).alias("file_id"))
+    """JN5. key, file_id: the path of each file, crate::a::b and repo::a::b for src/a/b.rs and src/a/b/mod.rs.
 
+    A path counts before a module key of the same text; among equal module keys the least file id counts.
+    """
+    bare = F.regexp_replace("path", r"^src/", "")
+    for e in KEY_EXTENSIONS:
+        bare = F.when(F.regexp_replace("path", r"^src/", "").endswith(e), F.regexp_replace(F.regexp_replace("path", r"^src/", ""), f"\\{e}\\z", "")).otherwise(bare)
+    module = F.replace(F.regexp_replace(bare, r"/mod\z", ""), F.lit("/"), F.lit("::"))
+    key = lambda how, c: F.struct(F.lit(how).alias("how"), c.alias("key"))
+    named = [key(1, F.when(module != "", F.concat(F.lit(f"{head}::"), module))) for head in ("crate", repo)]
+    keyed = files.select(F.col("id").alias("file_id"), F.explode(F.array(key(0, F.col("path")), *named)).alias("k")).where("k.key is not null")
+    return keyed.groupBy("k.key").agg(F.min_by("file_id", F.struct("k.how", "file_id")).alias("file_id"))
 
 
 def segments_prefixes(spec: Column, sep: str) -> Column:
@@ -45,43 +54,77 @@ def longest_prefix(rows: DataFrame, keys: DataFrame, spec: str, sep: str) -> Dat
 
 
 def rust_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """JN7. row_id, target: super:: and self:: from importing (path), as a/b.rs or a/b/mod.rs; a trailing item name may be dropped."""
-    folder = F.regexp_replace("importing", "/?[^/]*$", "")
-    own = F.when(F.regexp_like("importing", F.lit(r"(^|/)(mod|lib|main)\.rs$")), folder).otherwise(F.regexp_replace("importing", r"\.rs$", ""))
-    parts = F.split("spec", "::")
-    ups = F.size(F.filter(parts, lambda p: p == "super"))
-    rest = F.filter(parts, lambda p: ~p.isin("super", "self"))
-    base = F.filter(F.split(own, "/"), lambda p: p != "")
-    up = F.slice(base, 1, F.greatest(F.size(base) - ups, F.lit(0)))
-    full = imports.where("startswith(spec, 'super::') or startswith(spec, 'self::')").select("row_id", F.concat(up, rest).alias("segs"), F.size(up).alias("least"))
-    lengths = F.sequence(F.size("segs"), F.greatest(F.size("segs") - 1, F.lit(1)), F.lit(-1))
-    tried = full.where("size(segs) > 0").select("row_id", F.posexplode(F.flatten(F.transform(lengths, lambda n: F.transform(F.array(F.lit(".rs"), F.lit("/mod.rs")), lambda e: F.concat(F.array_join(F.slice("segs", 1, n), "/"), e))))).alias("priority", "path"))
-    return tried.join(files.select("path", F.col("id").alias("target")), "path").groupBy("row_id").agg(F.min_by("target", "priority").alias("target"))
+    """JN7. row_id, target of imports (row_id, importing, spec) that begin with super:: or self::.
+
+    The importing file's module is its path below src, a mod.rs being its folder's and lib.rs the crate's
+    root; each leading super is a step up, none above the root. What follows names an item, so the target
+    is that module's own file: src/a/b.rs, else src/a/b/mod.rs, and src/lib.rs for the root.
+    """
+    bare = F.regexp_replace("importing", r"^src/", "")
+    for e in KEY_EXTENSIONS:
+        bare = F.when(F.regexp_replace("importing", r"^src/", "").endswith(e), F.regexp_replace(F.regexp_replace("importing", r"^src/", ""), f"\\{e}\\z", "")).otherwise(bare)
+    segments = F.filter(F.split(bare, "/"), lambda p: p != "")
+    own = F.when(F.element_at(segments, -1) == "mod", F.slice(segments, 1, F.size(segments) - 1)).otherwise(segments)
+    own = F.when((F.size(own) == 1) & (own[0] == "lib"), F.array().cast("array<string>")).otherwise(own)
+    ups = F.size(F.split(F.regexp_extract("spec", r"^((?:super::)*(?:super\z)?)", 1), "super")) - 1
+    some = imports.where("startswith(spec, 'super::') or startswith(spec, 'self::')").select("row_id", own.alias("own"), ups.alias("ups")).where("ups <= size(own)")
+    path = F.array_join(F.slice("own", 1, F.size("own") - F.col("ups")), "/")
+    tried = F.when(path == "", F.array(F.lit("src/lib.rs"))).otherwise(F.array(F.concat(F.lit("src/"), path, F.lit(".rs")), F.concat(F.lit("src/"), path, F.lit("/mod.rs"))))
+    found = some.select("row_id", F.posexplode(tried).alias("priority", "path")).join(files.select("path", F.col("id").alias("target")), "path")
+    return found.groupBy("row_id").agg(F.min_by("target", "priority").alias("target"))
 
 
 def candidates(base: Column) -> Column:
     """JN9. base itself, with an extension, as a folder's index; in order."""
-    return F.array(base, *[F.concat(base, F.lit(e)) for e in EXTENSIONS + INDEX_FILES])
+    return F.array(base, *[F.concat(base, F.lit(e)) for e in EXTENSIONS + [f"/{i}" for i in INDEX_FILES]])
 
 
-def js_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame, packages: DataFrame, roots: list[str]) -> DataFrame:
-    """JN8, JN10. row_id, target of imports (row_id, importing, spec).
+def alias_bases(spec: Column, aliases: list[tuple[str, list[str]]]) -> Column:
+    """What the aliases (key, targets; one configuration file's) make of a specifier, in order.
 
-    A relative specifier is tried by itself alone. Others are tried as alias (prefix, replacement), then
-    absolute, then workspace package (name, folder), then below each source root.
+    A key that is the specifier counts alone; else the longest key with a star whose ends the specifier
+    has, the last by name among equally long ones; what the star stands for goes into each target.
+    """
+    out = F.array().cast("array<string>")
+    for key, targets in sorted((a for a in aliases if "*" in a[0]), key=lambda a: (len(a[0]), a[0])):
+        before, after = key.split("*", 1)
+        middle = F.substring(spec, F.lit(len(before) + 1), F.char_length(spec) - len(before) - len(after))
+        made = [F.concat(F.lit(t.split("*", 1)[0]), middle, F.lit(t.split("*", 1)[1])) if "*" in t else F.lit(t) for t in targets]
+        out = F.when(spec.startswith(before) & spec.endswith(after) & (F.char_length(spec) >= len(before) + len(after)), F.array(*made)).otherwise(out)
+    for key, targets in aliases:
+        out = F.when(spec == key, F.array(*[F.lit(t) for t in targets])).otherwise(out)
+    return out
+
+
+def js_imports(imports: DataFrame, files: DataFrame, js: dict) -> DataFrame:
+    """JN8, JN10. row_id, target of imports (row_id, importing, spec); js: aliases, packages, declared names and source roots.
+
+    Tried in order: the alias bases; then for ./ and ../ the place from the importing file, for / the
+    place from the root, and for bare names the workspace package of the first segment, then the source
+    roots unless the first segment is a declared dependency. A base is tried by its candidates; if the
+    first that is there is no JavaScript file, there is no target by that base.
     """
-    relative = F.col("spec").startswith(".")
-    rel = imports.where(relative).select("row_id", F.lit(0).alias("kind"), X.join_relative(F.col("importing"), F.col("spec")).alias("base"))
-    rest = imports.where(~relative)
-    alias = rest.crossJoin(F.broadcast(aliases)).where("startswith(spec, prefix)").select("row_id", F.lit(1).alias("kind"), F.expr("concat(replacement, substring(spec, char_length(prefix) + 1))").alias("base"))  # aliases come from one configuration file
-    absolute = rest.where("startswith(spec, '/')").select("row_id", F.lit(2).alias("kind"), F.expr("substring(spec, 2)").alias("base"))
-    heads = rest.select("row_id", "spec", F.explode(segments_prefixes(F.col("spec"), "/")).alias("name"))
-    package = heads.join(packages, "name").select("row_id", F.lit(3).alias("kind"), F.expr("concat(folder, substring(spec, char_length(name) + 1))").alias("base"))
-    below = rest.select("row_id", F.lit(4).alias("kind"), F.explode(F.transform(F.array(*[F.lit(r) for r in roots]), lambda r: F.concat(r, F.lit("/"), F.col("spec")))).alias("base")) if roots else None
-    all_ = rel.unionByName(alias).unionByName(absolute).unionByName(package)
-    all_ = all_ if below is None else all_.unionByName(below)
-    tried = all_.select("row_id", "kind", F.posexplode(candidates(X.normalize_path(F.col("base")))).alias("priority", "path"))
-    return tried.join(files.select("path", F.col("id").alias("target")), "path").groupBy("row_id").agg(F.min_by("target", F.struct("kind", "priority", "target")).alias("target"))
+    spec = F.col("spec")
+    relative = spec.startswith("./") | spec.startswith("../")
+    absolute = spec.startswith("/") & ~spec.startswith("//")
+    bare = ~spec.startswith(".") & ~absolute & ~relative
+    package = F.substring_index(spec, "/", 1)
+    rest = F.substring(spec, F.char_length(package) + 1, F.char_length(spec))
+    folders = F.create_map(*[F.lit(x) for kv in js["packages"].items() for x in kv]) if js["packages"] else F.lit(None).cast("map<string,string>")
+    roots = F.array(*[F.concat(F.lit(f"{r}/"), spec) for r in js["roots"]]).cast("array<string>")
+    after = (
+        F.when(relative, F.array(X.join_relative(F.col("importing"), spec)))
+        .when(absolute, F.array(spec))
+        .when(bare & (package != ""), F.concat(F.when(folders[package].isNotNull(), F.array(F.concat(folders[package], rest))).otherwise(F.array()), F.when(package.isin(js["declared"]), F.array()).otherwise(roots)))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    bases = F.concat(alias_bases(spec, js["aliases"]), after)
+    tried = imports.select("row_id", F.posexplode(bases).alias("kind", "base")).withColumn("base", X.join_relative(F.lit(""), F.col("base"))).where("base <> ''")
+    tried = tried.select("row_id", "kind", F.posexplode(candidates(F.col("base"))).alias("priority", "path"))
+    known = tried.join(files.select("path", F.col("id").alias("target")), "path")
+    is_js = F.regexp_like("path", F.lit("(" + "|".join(e.replace(".", "[.]") for e in EXTENSIONS) + r")\z"))
+    first = known.groupBy("row_id", "kind").agg(F.min_by(F.when(is_js, F.col("target")), "priority").alias("target"))
+    return first.where("target is not null").groupBy("row_id").agg(F.min_by("target", "kind").alias("target"))
 
 
 def unique_key(rows: DataFrame, key: str, target: str) -> DataFrame:

@@ -76,9 +76,10 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.is_method(t).alias("m"))
 
 
-@query("fil13_name_case", "SELECT p_partkey, (regexp_full_match(n,'[a-z0-9_]*') AND contains(n,'_')) AS snake, (regexp_full_match(n,'[a-z][A-Za-z0-9]*') AND regexp_matches(n,'[A-Z]')) AS camel FROM (SELECT p_partkey, CASE p_partkey%3 WHEN 0 THEN replace(p_name,' ','_') WHEN 1 THEN 'camel'||p_brand ELSE p_name END AS n FROM part)")
+@query("fil13_name_case", r"SELECT p_partkey, contains(n,'_') AND NOT regexp_matches(n,'\p{Lu}') AS snake, regexp_matches(n,'^\p{Ll}') AND regexp_matches(n,'\p{Lu}') AS camel FROM (SELECT p_partkey, CASE p_partkey%4 WHEN 0 THEN replace(p_name,' ','_') WHEN 1 THEN 'camel'||p_brand WHEN 2 THEN 'Mixed_'||p_name ELSE 'éa_'||p_brand END AS n FROM part)")
 def _(spark, sf):
-    n = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("camel"), "p_brand")).otherwise(F.col("p_name"))
+    k = F.col("p_partkey") % 4
+    n = F.when(k == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).when(k == 1, F.concat(F.lit("camel"), "p_brand")).when(k == 2, F.concat(F.lit("Mixed_"), "p_name")).otherwise(F.concat(F.lit("éa_"), "p_brand"))
     return read(spark, sf, "part").select("p_partkey", X.is_snake(n).alias("snake"), X.is_camel(n).alias("camel"))
 
 
@@ -264,10 +265,10 @@ def _(spark, sf):
     return G.relationships_of(graph_edges(spark, sf), "file:12")
 
 
-@query("gr15_function_calls", with_cte(["calls"], """, b AS (SELECT source_id AS id, 'calls' AS direction, target_id AS other_id FROM calls UNION ALL SELECT target_id, 'called_by', source_id FROM calls), m AS (SELECT 'type:'||(o_orderkey%50) AS owner, 'function:'||o_orderkey AS method FROM orders WHERE o_orderkey<500)
+@query("gr15_function_calls", with_cte(["calls"], """, b AS (SELECT source_id AS id, 'calls' AS direction, target_id AS other_id FROM calls UNION ALL SELECT target_id, 'called_by', source_id FROM calls), m AS (SELECT 'type:'||(o_orderkey%50) AS owner, 'function:'||o_orderkey AS method FROM orders)
  SELECT DISTINCT id, direction, other_id, CAST(NULL AS VARCHAR) AS via_method FROM b UNION ALL SELECT DISTINCT owner, direction, other_id, id FROM b JOIN m ON method=id""").replace("\n, b AS", ", b AS"))
 def _(spark, sf):
-    m = read(spark, sf, "orders").where("o_orderkey < 500").select(F.concat(F.lit("type:"), F.col("o_orderkey") % 50).alias("owner"), F.concat(F.lit("function:"), "o_orderkey").alias("method"))
+    m = read(spark, sf, "orders").select(F.concat(F.lit("type:"), F.col("o_orderkey") % 50).alias("owner"), F.concat(F.lit("function:"), "o_orderkey").alias("method"))
     return G.function_calls(order_calls(spark, sf), m)
 
 
@@ -311,9 +312,16 @@ def _hit(c: str, w: str) -> str:
     return f"len(list_filter({TOK.format(c=c)}, lambda x: starts_with(x,'{w}')))>0"
 
 
-RANK_WORDS = ["almond", "br", "red"]
-SCORE = "+".join(f"CASE WHEN {_hit('name', w)} THEN 2 WHEN {_hit('path', w)} THEN 1 ELSE 0 END" for w in RANK_WORDS)
-REASON = "concat_ws(' '," + ",".join(f"CASE WHEN {_hit('name', w)} THEN 'name:{w}' WHEN {_hit('path', w)} THEN 'path:{w}' END" for w in RANK_WORDS) + ")"
+def _any(c: str, w: str) -> str:
+    """Some token of the lower-case column starts with some part of the word."""
+    return "(" + " OR ".join(_hit(f"lower({c})", p) for p in w.split("_")) + ")"
+
+
+RANK_WORDS = ["almond", "br", "red", "plum_st"]
+SCORE = "+".join(f"CASE WHEN {_any('name', w)} THEN 2 WHEN {_any('path', w)} THEN 1 ELSE 0 END" for w in RANK_WORDS)
+IN_NAME = ",".join(f"CASE WHEN {_any('name', w)} THEN '{w}' END" for w in RANK_WORDS)
+IN_PATH = ",".join(f"CASE WHEN NOT {_any('name', w)} AND {_any('path', w)} THEN '{w}' END" for w in RANK_WORDS)
+REASON = f"COALESCE(NULLIF(concat_ws('; ', 'name: '||NULLIF(concat_ws(', ',{IN_NAME}),''), 'path: '||NULLIF(concat_ws(', ',{IN_PATH}),'')),''),'no query-word hit')"
 PARTS = "SELECT p_partkey AS id, p_name AS name, p_brand||'/'||p_type||'/'||p_partkey AS path FROM part"
 
 
@@ -327,22 +335,24 @@ def _(spark, sf):
 
 
 @query("rk2_rank_and_cut", f"""WITH s AS (SELECT id, path, {SCORE} AS score, {REASON} AS reason FROM ({PARTS})), y AS (SELECT l_partkey AS id, max(CASE WHEN l_suppkey=7 THEN 4 WHEN l_suppkey%10=0 THEN 2 ELSE 0 END) AS k FROM lineitem GROUP BY 1),
- a AS (SELECT s.id, path, CAST(score+COALESCE(k,0) AS BIGINT) AS total, reason FROM s LEFT JOIN y ON s.id=y.id WHERE score+COALESCE(k,0)>0) SELECT *, (SELECT greatest(count(*)-30,0) FROM a) AS not_shown FROM a ORDER BY total DESC, path LIMIT 30""")
+ a AS (SELECT s.id, path, CAST(CASE WHEN k>score THEN k ELSE score END AS BIGINT) AS total, reason||CASE WHEN k>score AND k>=4 THEN '; symbol: exact name match' WHEN k>score THEN '; symbol: name prefix match' ELSE '' END AS reason FROM s LEFT JOIN y ON s.id=y.id) SELECT *, (SELECT greatest(count(*)-30,0) FROM a) AS not_shown FROM a ORDER BY total DESC, path LIMIT 30""")
 def _(spark, sf):
     k = F.when(F.col("l_suppkey") == 7, 4).when(F.col("l_suppkey") % 10 == 0, 2).otherwise(0)
     symbol = read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("file_id")).agg(F.max(k).alias("symbol_score"))
     return R.rank(R.score_files(_parts(spark, sf), RANK_WORDS), symbol, 30)
 
 
-@query("rk2_symbol_scores", "SELECT 'file:'||o_custkey AS file_id, max(CASE WHEN o_orderkey=7 THEN 4 WHEN starts_with(CAST(o_orderkey AS VARCHAR),'12') THEN 2 ELSE 0 END) AS symbol_score FROM orders GROUP BY 1 HAVING symbol_score>0")
+@query("rk2_symbol_scores", "SELECT 'file:'||o_custkey AS file_id, max(CASE WHEN o_orderkey=7 THEN 4 WHEN o_orderkey%3=0 OR starts_with(CAST(o_orderkey AS VARCHAR),'12') OR starts_with(CAST(o_orderkey AS VARCHAR),'7') THEN 2 ELSE 0 END) AS symbol_score FROM orders GROUP BY 1 HAVING symbol_score>0")
 def _(spark, sf):
-    return R.symbol_scores(A.entities(spark, sf).where("tier = 'function'"), ["order_7", "12"])
+    k = F.split_part("name", F.lit("_"), F.lit(2))
+    renamed = A.entities(spark, sf).where("tier = 'function'").withColumn("name", F.when(k == "7", "Exact_7").when(k.cast("bigint") % 3 == 0, F.concat(F.lit("Order_"), k)).otherwise(F.concat(F.lit("x_"), k)))
+    return R.symbol_scores(renamed, ["exact_7", "order_none", "12"])
 
 
-@query("rk3_match_set", f"SELECT id FROM ({PARTS}) WHERE {_hit('name', 'red')} OR {_hit('path', 'red')} UNION SELECT l_partkey FROM lineitem WHERE l_suppkey=7")
+@query("rk3_match_set", f"SELECT id FROM ({PARTS}) WHERE {_any('name', 'red')} OR {_any('path', 'red')} UNION SELECT l_partkey FROM lineitem WHERE l_suppkey=7")
 def _(spark, sf):
     p = _parts(spark, sf)
-    hit = X.word_matches(F.col("name"), "red") | X.word_matches(F.col("path"), "red")
+    hit = X.word_matches(F.lower("name"), "red") | X.word_matches(F.lower("path"), "red")
     return p.where(hit).select("id").unionByName(read(spark, sf, "lineitem").where("l_suppkey = 7").select(F.col("l_partkey").alias("id"))).distinct()
 
 
@@ -418,9 +428,9 @@ def _(spark, sf):
     return S.mrr(ranked, truth.where("item <> 0"))
 
 
-@query("se7_validate_probes", f"SELECT p_partkey AS probe, p_partkey%2=0 AS in_corpus, CAST(len(list_intersect({TOK.format(c='p_name')},{TOK.format(c='path')})) AS BIGINT) AS overlap FROM (SELECT p_partkey, p_name, p_type||'/'||p_partkey||'/'||CASE WHEN p_partkey%3=0 THEN p_name ELSE p_brand END AS path FROM part WHERE p_partkey%5=0)")
+@query("se7_validate_probes", f"SELECT p_partkey AS probe, p_partkey%2=0 AS in_corpus, CAST(len(list_intersect({TOK.format(c='p_name')},{TOK.format(c='path')})) AS BIGINT) AS overlap FROM (SELECT p_partkey, p_name, p_type||'/'||p_partkey||'/'||CASE WHEN p_partkey%3=0 THEN p_name ELSE p_brand END AS path FROM part)")
 def _(spark, sf):
-    p = read(spark, sf, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("probe"), F.col("p_name").alias("query"), F.concat_ws("/", "p_type", "p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_brand"))).alias("path"))
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("probe"), F.col("p_name").alias("query"), F.concat_ws("/", "p_type", "p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_brand"))).alias("path"))
     return S.validate_probes(p, p.where("probe % 2 = 0").select("path"))
 
 
@@ -429,11 +439,11 @@ def _(spark, sf):
     return S.probe_gate(read(spark, sf, "customer").select(F.col("c_acctbal").alias("recall"), F.col("c_custkey").alias("payload")), -1000, 0)
 
 
-@query("jn20_semantic_hits", r"""WITH h AS (SELECT page_id AS hit, CASE WHEN page_id%2=0 THEN path ELSE regexp_extract(path,'/(.*)$',1) END AS path FROM (SELECT page_id, regexp_extract(url,'^https?://([^?#]+)',1) AS path FROM pages WHERE page_id%3=0)), e AS (SELECT page_id AS id, regexp_extract(url,'^https?://([^?#]+)',1) AS epath FROM pages)
+@query("jn20_semantic_hits", r"""WITH h AS (SELECT page_id AS hit, CASE WHEN page_id%2=0 THEN path ELSE regexp_extract(path,'/(.*)$',1) END AS path FROM (SELECT page_id, regexp_extract(url,'^https?://([^?#]+)',1) AS path FROM pages)), e AS (SELECT page_id AS id, regexp_extract(url,'^https?://([^?#]+)',1) AS epath FROM pages)
  SELECT hit, id FROM (SELECT hit, id, row_number() OVER (PARTITION BY hit ORDER BY CASE WHEN h.path=epath THEN 0 ELSE 1 END, id) AS rn FROM h JOIN e ON h.path=epath OR ends_with(epath,'/'||h.path) OR ends_with(h.path,'/'||epath)) WHERE rn=1""")
 def _(spark, sf):
     u = read(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^?#]+)", 1).alias("path"))
-    hits = u.where("page_id % 3 = 0").select(F.col("page_id").alias("hit"), F.when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(F.regexp_extract("path", "/(.*)$", 1)).alias("path"))
+    hits = u.select(F.col("page_id").alias("hit"), F.when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(F.regexp_extract("path", "/(.*)$", 1)).alias("path"))
     return S.suffix_hits(hits, u.select(F.col("page_id").alias("id"), "path"))
 
 
@@ -509,12 +519,12 @@ def _(spark, sf):
     return V.paths_to_ids(e.where(F.col("name").endswith("7")).select("path"), e)
 
 
-@query("jn23_find_indexed", with_cte(["ents"], """, f AS (SELECT id, path, string_split(path,'/')[-1] AS base FROM ents WHERE tier='file'), q AS (SELECT CASE WHEN c_custkey%2=0 THEN (SELECT path FROM f WHERE id='file:'||c_custkey) ELSE 'x/'||c_custkey END AS request FROM customer WHERE c_custkey<200)
+@query("jn23_find_indexed", with_cte(["ents"], """, f AS (SELECT id, path, string_split(path,'/')[-1] AS base FROM ents WHERE tier='file'), q AS (SELECT CASE WHEN c_custkey%2=0 THEN (SELECT path FROM f WHERE id='file:'||c_custkey) ELSE 'x/'||c_custkey END AS request FROM customer)
  SELECT request, COALESCE((SELECT id FROM f WHERE path=request), (SELECT min(id) FROM f WHERE base=string_split(request,'/')[-1] HAVING count(*)=1)) AS id FROM q""").replace("\n, f AS", ", f AS"))
 def _(spark, sf):
     f = A.files(spark, sf).select("id", "path")
     k = F.split_part("id", F.lit(":"), F.lit(2)).cast("bigint")
-    want = f.withColumn("k", k).where("k < 200").select(F.when(F.col("k") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("x/"), "k")).alias("request"))
+    want = f.withColumn("k", k).select(F.when(F.col("k") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("x/"), "k")).alias("request"))
     return V.find_indexed(want, f)
 
 
@@ -526,14 +536,20 @@ def _(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.array_join(X.tokens(F.concat(F.lit("get"), "p_brand", F.lit("HTTPx9Y_"), "p_name")), " ").alias("t"))
 
 
-@query("sf2_word_match", f"SELECT p_partkey, {_hit('p_name', 'bl')} AS m FROM part")
+@query("sf2_word_match", f"SELECT p_partkey, {_any('p_name', 'bl')} AS m, {_any('p_name', 'qu_gre')} AS parts FROM part")
 def _(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", X.word_matches(F.col("p_name"), "bl").alias("m"))
+    n = F.lower("p_name")
+    return read(spark, sf, "part").select("p_partkey", X.word_matches(n, "bl").alias("m"), X.word_matches(n, "qu_gre").alias("parts"))
+
 
+SF3_STOP = ",".join(f"'{w}'" for w in X.STOP_WORDS)
 
-@query("sf3_query_words", "SELECT * FROM (VALUES ('find order'),('customer'),('supplier')) t(w) WHERE w<>'find order' UNION ALL VALUES ('find'),('order')")
+
+@query("sf3_query_words", rf"""SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w,x)=i)[1:10],' ') AS words FROM
+ (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower('Find the Files using '||text||' imports'),'\s+'), lambda x: strlen(x)>=2 AND x NOT IN ({SF3_STOP})) AS w FROM conversations)""")
 def _(spark, sf):
-    return spark.createDataFrame([(w,) for w in X.query_words("How does it find the order of a customer, and Supplier? find x")], "w string")
+    asked = F.concat(F.lit("Find the Files using "), "text", F.lit(" imports"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.query_words_of(asked), " ").alias("words"))
 
 
 @query("sf4_normalize_path", r"SELECT page_id, CASE WHEN s='' THEN '.' ELSE s END AS p FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(u,'\','/'),'/+','/','g'),'^(\./)+',''),'/$','') AS s FROM (SELECT page_id, CASE page_id%3 WHEN 0 THEN './a\\b//c/' WHEN 1 THEN './' ELSE url END AS u FROM pages))")
@@ -554,29 +570,44 @@ def _(spark, sf):
     return read(spark, sf, "part").select("p_partkey", X.contains_word(F.replace(n, F.lit(" "), F.lit("_")), F.lit("red")).alias("word"), X.contains_word(n, F.lit("red"), source_text=True).alias("in_source"))
 
 
-@query("sf7_truncate", "SELECT doc_id, CASE WHEN length(text)>80 THEN left(text,80)||'...' ELSE text END AS t FROM documents")
+@query("sf7_truncate", "SELECT doc_id, CASE WHEN length(text)>80 THEN left(text,77)||'...' ELSE text END AS t, CASE WHEN length(text)>2 THEN '...' ELSE text END AS dots FROM documents")
 def _(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", X.truncate(F.col("text"), 80).alias("t"))
+    return read(spark, sf, "documents").select("doc_id", X.truncate(F.col("text"), 80).alias("t"), X.truncate(F.col("text"), 2).alias("dots"))
 
 
-@query("sf8_numbered_source", "SELECT doc_id, array_to_string(list_transform(string_split(text,chr(10)), lambda x, i: i||chr(9)||x),chr(10)) AS t FROM documents WHERE doc_id%10=0")
+@query("sf8_numbered_source", """SELECT doc_id, CASE WHEN t='' THEN '' ELSE array_to_string(list_transform(string_split(CASE WHEN ends_with(t,chr(10)) THEN left(t,length(t)-1) ELSE t END,chr(10)), lambda x, i: i||chr(9)||x),chr(10))||CASE WHEN ends_with(t,chr(10)) THEN chr(10) ELSE '' END END AS t, length(t)<500 AS small
+ FROM (SELECT doc_id, CASE WHEN doc_id%2=0 THEN text||chr(10) WHEN doc_id%9=1 THEN '' ELSE text END AS t FROM documents)""")
 def _(spark, sf):
-    return read(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", X.numbered(F.col("text")).alias("t"))
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n"))).when(F.col("doc_id") % 9 == 1, "").otherwise(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", X.numbered(t).alias("t"), X.is_small_body(t).alias("small"))
+
+
+STRIP = r"regexp_replace({x},'^[\s\x0b]+|[\s\x0b]+$','','g')"
+LINES = r"CASE WHEN t='' THEN [] ELSE list_transform(string_split(CASE WHEN ends_with(t,chr(10)) THEN left(t,length(t)-1) ELSE t END,chr(10)), lambda x: regexp_replace(x,'\r$','')) END"
 
 
-@query("sf9_doc_summary", r"""SELECT doc_id, array_to_string(list_transform(list_filter(l, lambda x: starts_with(x,'#'))[1:20], lambda x: trim(regexp_replace(x,'^#+',''))),'|') AS headings, array_to_string(list_filter(l, lambda x: contains(lower(x),'decision') OR contains(lower(x),'decided'))[1:10],'|') AS decisions,
- array_to_string(list_transform(list_filter(l[1:100], lambda x: contains(x,': ') AND NOT starts_with(x,'#'))[1:15], lambda x: trim(string_split(x,': ')[1])),'|') AS terms, array_to_string(list_transform(list_filter(l, lambda x: regexp_matches(x,'^[A-Za-z0-9_.-]+\s*='))[1:10], lambda x: trim(string_split(x,'=')[1])),'|') AS config_keys
- FROM (SELECT doc_id, list_transform(string_split(CASE WHEN doc_id%4=0 THEN '# Head '||doc_id||chr(10)||'term: x'||chr(10)||'key = 1'||chr(10)||'We decided' ELSE '' END||chr(10)||text,chr(10)), lambda x: trim(x)) AS l FROM documents)""")
+@query("sf9_doc_summary", rf"""SELECT doc_id, array_to_string(list_transform(list_filter(l, lambda x: starts_with(x,'#'))[1:20], lambda x: {STRIP.format(x="regexp_replace(x,'^#+','')")}),'|') AS headings,
+ array_to_string(list_transform(list_filter(l, lambda x: strlen(x)>20 AND (contains(lower(x),'decision') OR contains(lower(x),'designed') OR contains(lower(x),'architecture')))[1:10], lambda x: {STRIP.format(x='x')}),'|') AS decisions,
+ array_to_string(list_transform(list_filter(l[1:100], lambda x: strlen(x)>10 AND (contains(x,': ') OR contains(x,' - ')) AND NOT starts_with(x,'#'))[1:15], lambda x: {STRIP.format(x='x')}),'|') AS terminology,
+ array_to_string(list_filter(list_transform(l, lambda x: {STRIP.format(x='x')}), lambda x: regexp_matches(x,'^[\p{{Lu}}_]+='))[1:10],'|') AS config_values
+ FROM (SELECT doc_id, {LINES} AS l FROM (SELECT doc_id, CASE WHEN doc_id%4=0 THEN '# Head '||doc_id||chr(13)||chr(10)||' # no'||chr(10)||'term: of this'||chr(10)||'a: b'||chr(10)||'KEY_A=1'||chr(10)||'Key=2'||chr(10)||'We took a Decision'||chr(10)||' It is so designed: well.'||chr(10) ELSE '' END||text AS t FROM documents))""")
 def _(spark, sf):
-    head = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("# Head "), "doc_id", F.lit("\nterm: x\nkey = 1\nWe decided"))).otherwise("")
+    head = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("# Head "), "doc_id", F.lit("\r\n # no\nterm: of this\na: b\nKEY_A=1\nKey=2\nWe took a Decision\n It is so designed: well.\n"))).otherwise("")
     parts = X.doc_summary(F.col("t"))
-    return read(spark, sf, "documents").select("doc_id", F.concat(head, F.lit("\n"), "text").alias("t")).select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in parts.items()])
+    return read(spark, sf, "documents").select("doc_id", F.concat(head, "text").alias("t")).select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in parts.items()])
 
 
-@query("sf10_batch_responses", "SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'two '||role END AS second FROM conversations")
+def _answer(k: int) -> str:
+    hit = rf"list_filter(l, lambda x: TRY_CAST(regexp_extract(x,'^[^#]*#\s*\+?(\d+)\s*:',1) AS BIGINT)={k})"
+    return f"CASE WHEN len({hit})>0 THEN {STRIP.format(x=f"regexp_extract({hit}[-1],'^[^#]*#[^:]*:(.*)$',1)")} END AS t{k}"
+
+
+@query("sf10_batch_responses", f"""SELECT conv_id, turn, {_answer(0)}, {_answer(1)}, {_answer(2)} FROM (SELECT conv_id, turn, {LINES} AS l FROM
+ (SELECT conv_id, turn, 'noise'||chr(10)||'#0: '||text||chr(10)||'- # '||(turn%4)||' : again '||role||chr(10)||'#2:'||chr(10)||'#x: no'||chr(10)||'#7: z' AS t FROM conversations))""")
 def _(spark, sf):
-    content = F.concat(F.lit("#1: a\nnoise\n"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("#2: one\n #2: two "), "role")).otherwise(""), F.lit("\n#9: z"))
-    return read(spark, sf, "conversations").select("conv_id", "turn", X.batch_responses(content, 3)[1].alias("second"))
+    content = F.concat(F.lit("noise\n#0: "), "text", F.lit("\n- # "), (F.col("turn") % 4).cast("string"), F.lit(" : again "), "role", F.lit("\n#2:\n#x: no\n#7: z"))
+    got = X.batch_responses(content, 3)
+    return read(spark, sf, "conversations").select("conv_id", "turn", *[got[k].alias(f"t{k}") for k in range(3)])
 
 
 @query("sf11_hashes", "SELECT doc_id, sha256(text) AS h, left(sha256(text),16) AS short FROM documents")
@@ -584,17 +615,44 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"), X.short_hash(F.col("text")).alias("short"))
 
 
-@query("sf12_origin_key", r"""SELECT page_id, CASE page_id%4 WHEN 0 THEN 'git.example.org/team/r'||page_id WHEN 1 THEN 'git.example.org/team/r'||page_id WHEN 2 THEN 'git.example.org/team/r'||page_id END AS k FROM pages""")
-def _(spark, sf):
-    n = F.col("page_id").cast("string")
-    u = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("git@Git.Example.org:team/r"), n, F.lit(".git"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://user@git.example.org:8443/team/r"), n, F.lit("/"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("ssh://git@git.example.org/team/r"), n, F.lit(".git"))).otherwise("not an origin")
+#: Origins by form, % standing for a number, and the keys that they have.
+ORIGINS = [
+    ("git@Git.Example.org:Team/R%.git", "git.example.org/team/r%"),
+    ("https://user:pw@git.example.org:8443/team/r%/", "git.example.org:8443/team/r%"),
+    ("  ssh://git@git.example.org:22/team/r%.git ", "git.example.org/team/r%"),
+    ("HTTPS://git.example.org:443/Team/Sub/r%.git/", "git.example.org/team/sub/r%"),
+    ("http://git.example.org/team/r%", None),
+    ("https://git.example.org/r%", None),
+    ("https://git.example.org/team/../r%", None),
+    ("ssh://git.example.org:99999/team/r%", None),
+    ("git://git.example.org:9418/a/b%", "git.example.org/a/b%"),
+    ("git.example.org:/team/r%", None),
+    ("https://git.example.org/team//r%", None),
+    ("host:a/b%", "host/a/b%"),
+    ("not an origin %", None),
+    ("https://git.example.org/team/\x07r%", None),
+    ("https://git.example.org/team/r%" + "x" * 600, None),
+]
+
+
+def _case(values: list[str | None]) -> str:
+    rows = "".join(f" WHEN {k} THEN {'NULL' if v is None else "replace('" + v + "','%',CAST(page_id AS VARCHAR))"}" for k, v in enumerate(values))
+    return f"CASE page_id%{len(values)}{rows} END"
+
+
+@query("sf12_origin_key", f"SELECT page_id, {_case([k for _, k in ORIGINS])} AS k FROM pages")
+def _(spark, sf):
+    u = F.lit(None).cast("string")
+    for k, (form, _) in enumerate(ORIGINS):
+        u = F.when(F.col("page_id") % len(ORIGINS) == k, F.replace(F.lit(form), F.lit("%"), F.col("page_id").cast("string"))).otherwise(u)
     return read(spark, sf, "pages").select("page_id", X.origin_key(u).alias("k"))
 
 
-@query("sf13_license_class", "SELECT page_id, CASE page_id%3 WHEN 0 THEN 'allowed' WHEN 1 THEN 'restricted' ELSE 'unknown' END AS c FROM pages")
+@query("sf13_license_class", """SELECT page_id, CASE WHEN page_id%6 IN (0,1) THEN 'admissible' ELSE 'excluded' END AS status, CASE page_id%6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'AGPL-3.0 — copyleft, incompatible with proprietary redistribution'
+ WHEN 3 THEN 'Qwen RESEARCH LICENSE AGREEMENT — non-commercial only' ELSE 'unrecognised licence — cannot verify redistribution rights' END AS reason FROM pages""")
 def _(spark, sf):
-    n = F.when(F.col("page_id") % 3 == 0, " MIT ").when(F.col("page_id") % 3 == 1, "AGPL-3.0").otherwise(F.col("url"))
-    return read(spark, sf, "pages").select("page_id", X.license_class(n).alias("c"))
+    n = F.expr("CASE page_id % 6 WHEN 0 THEN ' MIT ' WHEN 1 THEN 'bsd-2-CLAUSE' WHEN 2 THEN 'AGPL-3.0' WHEN 3 THEN 'Qwen-Research' WHEN 4 THEN 'zlib' ELSE url END")
+    return read(spark, sf, "pages").select("page_id", *[c.alias(k) for k, c in X.license_class(n).items()])
 
 
 @query("sf16_crate_name", "SELECT p_partkey, replace(lower(p_brand||'-X-'||p_name),'-','_') AS n FROM part")
@@ -709,3 +767,44 @@ def _(spark, sf):
 @query("ag6_types_only", with_cte(["g"], "SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT target_id AS id, 1 AS i, 0 AS o FROM g WHERE rel_type IN ('imports','calls','depends_on') UNION ALL SELECT source_id, 0, 1 FROM g WHERE rel_type IN ('imports','calls','depends_on')) GROUP BY 1"))
 def _(spark, sf):
     return E.coupling(graph_edges(spark, sf), ["imports", "calls", "depends_on"])
+
+
+# ---- import resolution on files made from pages
+
+#: Files src/m0.tsx, src/m0.js or src/m0/index.js, src/m0/index.ts, src/m1.tsx, ...
+JS_FILES = "SELECT 'src/m'||(page_id//3)||CASE page_id%3 WHEN 0 THEN '.tsx' WHEN 1 THEN CASE WHEN page_id%2=0 THEN '.js' ELSE '/index.js' END ELSE '/index.ts' END AS path FROM pages"
+JS_TRIED = ["", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.mjs"]
+
+
+def _js_files(spark, sf) -> DataFrame:
+    page = F.expr("concat('src/m', page_id div 3, CASE page_id % 3 WHEN 0 THEN '.tsx' WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN '.js' ELSE '/index.js' END ELSE '/index.ts' END)")
+    return read(spark, sf, "pages").select(page.alias("path")).withColumn("id", F.col("path"))
+
+
+@query("jn8_jn10_js_imports", f"""WITH f AS ({JS_FILES}), i AS (SELECT page_id AS row_id, 'src/m'||(page_id//2)||CASE WHEN page_id%8=2 THEN '.tsx' ELSE '' END AS base FROM pages WHERE page_id%8<>6),
+ c AS (SELECT row_id, unnest([{",".join(f"base||'{e}'" for e in JS_TRIED)}]) AS path, unnest(range({len(JS_TRIED)})) AS priority FROM i)
+ SELECT row_id, arg_min(f.path, priority) AS target FROM c JOIN f ON c.path=f.path GROUP BY row_id""")
+def _(spark, sf):
+    spec = F.expr("""CASE page_id % 8 WHEN 0 THEN concat('../m', page_id div 2) WHEN 1 THEN concat('@/m', page_id div 2) WHEN 2 THEN concat('/src//m', page_id div 2, '.tsx') WHEN 3 THEN concat('m', page_id div 2)
+     WHEN 4 THEN concat('pkg/m', page_id div 2) WHEN 5 THEN concat('./../../src/./m', page_id div 2) WHEN 6 THEN concat('react/m', page_id div 2) ELSE concat('~m', page_id div 2, '!') END""")
+    imports = read(spark, sf, "pages").select(F.col("page_id").alias("row_id"), F.lit("src/app/x.js").alias("importing"), spec.alias("spec"))
+    js = {"aliases": [("@/*", ["lib/*", "./src/*"]), ("@/none", ["src/none"]), ("~*!", ["src/*"])], "packages": {"pkg": "src"}, "declared": ["react"], "roots": ["src"]}
+    return V.js_imports(imports, _js_files(spark, sf), js)
+
+
+@query("jn7_rust_relative", """SELECT page_id AS row_id, CASE page_id%6 WHEN 0 THEN 'src/a'||page_id||'.rs' WHEN 1 THEN 'src/lib.rs' WHEN 2 THEN 'src/b'||page_id||'/mod.rs' WHEN 3 THEN 'src/a'||page_id||'.rs' ELSE NULL END AS target FROM pages WHERE page_id%6<4""")
+def _(spark, sf):
+    p = read(spark, sf, "pages")
+    files = p.select(F.concat(F.lit("src/a"), "page_id", F.lit(".rs")).alias("path")).unionByName(p.select(F.concat(F.lit("src/b"), "page_id", F.lit("/mod.rs")).alias("path"))).unionByName(spark.createDataFrame([("src/lib.rs",)], "path string"))
+    importing = F.expr("CASE page_id % 6 WHEN 0 THEN concat('src/a', page_id, '/x.rs') WHEN 1 THEN concat('src/b', page_id, '/x.rs') WHEN 2 THEN concat('src/b', page_id, '/y/mod.rs') WHEN 3 THEN concat('src/a', page_id, '.rs') WHEN 4 THEN 'src/lib.rs' ELSE 'src/c/d.rs' END")
+    spec = F.expr("CASE page_id % 6 WHEN 0 THEN 'super::Item' WHEN 1 THEN 'super::super::z::*' WHEN 2 THEN 'super::q::r' WHEN 3 THEN 'self::sub::Item' WHEN 4 THEN 'super::Item' ELSE 'super::Item' END")
+    rows = p.select(F.col("page_id").alias("row_id"), importing.alias("importing"), spec.alias("spec"))
+    return V.rust_relative(rows, files.withColumn("id", F.col("path")))
+
+
+@query("jn5_import_keys", """WITH f AS (SELECT page_id AS id, CASE page_id%5 WHEN 0 THEN 'src/a/m'||page_id||'.rs' WHEN 1 THEN 'src/a/m'||page_id||'/mod.rs' WHEN 2 THEN 'core/src/m'||page_id||'.py' WHEN 3 THEN 'src/same.ts' ELSE 'src/m'||page_id||'.go' END AS path FROM pages),
+ k AS (SELECT id, path AS key, 0 AS how FROM f UNION ALL SELECT id, unnest(['crate::','Repo::'])||replace(regexp_replace(regexp_replace(regexp_replace(path,'^src/',''),'[.](rs|py|ts|js)$',''),'/mod$',''),'/','::'), 1 FROM f)
+ SELECT key, arg_min(id, (how, id)) AS file_id FROM k GROUP BY key""")
+def _(spark, sf):
+    path = F.expr("CASE page_id % 5 WHEN 0 THEN concat('src/a/m', page_id, '.rs') WHEN 1 THEN concat('src/a/m', page_id, '/mod.rs') WHEN 2 THEN concat('core/src/m', page_id, '.py') WHEN 3 THEN 'src/same.ts' ELSE concat('src/m', page_id, '.go') END")
+    return V.import_keys(read(spark, sf, "pages").select(F.col("page_id").alias("id"), path.alias("path")), "Repo")

@@ -69,7 +69,7 @@ def is_stale(store: Store, project: str) -> bool:
 
 def _root_texts(store: Store, root: str) -> dict[str, str]:
     """Texts of the manifest and settings files at a repository's root, a handful of small files, and of package.json files below."""
-    names = "{Gemfile,pyproject.toml,requirements.txt,package.json,composer.json,go.mod,pom.xml,build.gradle*,mix.exs,*.csproj,Package.swift,Cargo.toml,tsconfig.json,jsconfig.json,tiergraph.*}"
+    names = "{Gemfile,pyproject.toml,requirements.txt,package.json,composer.json,go.mod,pom.xml,build.gradle*,mix.exs,*.csproj,Package.swift,Cargo.toml,tsconfig.json,jsconfig.json,pnpm-workspace.yaml,webpacker.yml,shakapacker.yml,tiergraph.*}"
     files = store.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     base = "/" + root.strip("/") + "/"
     clean = F.regexp_replace("path", r"^[a-z]+:/+", "/")
@@ -140,8 +140,9 @@ def analyze_repo(store: Store, repo, full: bool = False) -> RefreshStats:
     tests = store.settle(cfg_tests(files))
     funs = (P.functions(units, tiers, tests) if settings.preserve_function_entities else tiers.limit(0))
     funs = store.settle(funs)
-    js = R.js_config(texts, R.workspace_members(texts, [*paths, *texts]) or {})
-    edges = store.settle(P.relationships(units, tiers, funs, repo.name, js, store.settle))  # read by metrics, flows and the write
+    js = R.js_config(texts, R.workspace_members(texts, [*paths, *texts]), [*paths, *texts])
+    resolved = P.resolved_imports(units, tiers, repo.name, js, store.settle)
+    edges = store.settle(P.relationships(units, tiers, funs, resolved, store.settle))  # read by metrics, flows and the write
     batch = tiers.unionByName(funs)
     e_old, r_old = store.read("entities"), store.read("relationships")
     wide = batch.select(*[F.col(c) if c in batch.columns else F.lit(None).cast(t).alias(c) for c, t in e_old.dtypes])
@@ -165,11 +166,10 @@ def analyze_repo(store: Store, repo, full: bool = False) -> RefreshStats:
         metrics=m_old.unionByName(metrics.withColumn("project_id", F.lit(repo.project_id)).select(m_old.columns)),
         functions_complexity=store.read("functions_complexity").join(ids, "id", "left_anti").unionByName(complexity),
         flows=f_old.unionByName(flows.select(f_old.columns)),
+        inline_tests=store.read("inline_tests").where(~mine).unionByName(tests.select(F.lit(repo.id).alias("repo_id"), "file").distinct()),
     )
-    known = edges.where("rel_type = 'imports'").select("source_id").distinct().count()
-    imports = units.select("file", F.explode("imports").alias("spec")).distinct()
-    inner = imports.where(F.col("spec").rlike(r"^(\.|crate::|super::|self::|@/|~/)")).select("file").distinct().count()
-    store.update_repo(repo.id, last_analyzed_commit=head_commit(repo.local_path) or "files", unresolved_internal=max(0, inner - known), unresolved_external=max(0, imports.count() - inner))
+    left = P.unresolved_counts(units, resolved, tiers, js).first()
+    store.update_repo(repo.id, last_analyzed_commit=head_commit(repo.local_path) or "files", unresolved_internal=left.internal, unresolved_external=left.external)
     n_e, n_r = store.read("entities").where(mine).count(), store.read("relationships").count()
     store.record_run({"id": uuid.uuid4().hex, "repo_id": repo.id, "commit_hash": head_commit(repo.local_path), "status": "completed", "entities": n_e, "relationships": n_r, "started_at": started, "finished_at": datetime.datetime.now()})
     return RefreshStats(changes.get("added", 0), changes.get("changed", 0), changes.get("removed", 0), n_e, n_r)
@@ -231,7 +231,9 @@ def detect(store: Store, project: str) -> None:
     r = store.settle(r)
     fans = E.coupling(r.where("rel_type <> 'contains'"))
     coupled = e.where("tier = 'module'").select("id").join(fans, "id", "left").select("id", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
-    tests = e.where("tier = 'file'").select(F.col("parent_id").alias("module"), X.is_test_file(F.col("path")).alias("is_test"))
+    inside = store.read("inline_tests").select("repo_id", F.col("file").alias("path"), F.lit(True).alias("inline"))
+    held = e.where("tier = 'module'").select(F.col("id").alias("module"), F.col("name").alias("module_name"))
+    tests = e.where("tier = 'file'").select("id", F.col("parent_id").alias("module"), "repo_id", "path", "language").join(held, "module").join(inside, ["repo_id", "path"], "left")
 
     def rows(found: DataFrame, category: str, title: str, text) -> DataFrame:
         return found.join(name, "id").select(
@@ -244,7 +246,7 @@ def detect(store: Store, project: str) -> None:
     found = found.unionByName(rows(D.hotspots(funs), "function_hotspot", "Complex function", ratio))
     found = found.unionByName(rows(D.coupling_insights(coupled), "high_coupling", "High coupling", F.format_string("%s is in the top %d%% of modules (rank %d of %d)", "axis", "pct", "rank", "total")))
     gaps = D.coverage_gaps(tests).withColumnRenamed("module", "id")
-    found = found.unionByName(rows(gaps, "coverage_gap", "Low test coverage", F.format_string("%d test files out of %d", "tests", "files")))
+    found = found.unionByName(rows(gaps, "coverage_gap", "Low test coverage", F.format_string("%d test file(s) and %d of other folders, out of %d file(s)", "direct", "across", "files")))
     found = found.unionByName(rows(D.god_modules(mods), "god_module", "Oversized module", F.format_string("%d files, %.1f times the mean", F.col("files"), F.col("ratio"))))
     rust = e.where("tier = 'file'").agg(D.rust_share(e).alias("s")).first().s
     if (rust or 0) <= 0.5:

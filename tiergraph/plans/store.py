@@ -19,7 +19,7 @@ from tiergraph.operators import sinks as K
 
 SCHEMAS = {
     "projects": S.PROJECTS, "repositories": S.REPOSITORIES, "entities": S.ENTITIES, "relationships": S.RELATIONSHIPS, "insights": S.INSIGHTS, "conventions": S.CONVENTIONS,
-    "analysis_runs": S.ANALYSIS_RUNS, "file_hashes": S.FILE_HASHES, "code_units": f"repo_id string, {S.CODE_UNITS}", "flows": "repo_id string, entry_id string, step bigint, id string, depth bigint, has_cycle boolean",
+    "analysis_runs": S.ANALYSIS_RUNS, "file_hashes": S.FILE_HASHES, "code_units": f"repo_id string, {S.CODE_UNITS}", "inline_tests": "repo_id string, file string", "flows": "repo_id string, entry_id string, step bigint, id string, depth bigint, has_cycle boolean",
     "metrics": f"id string, project_id string, tier string, {S.METRICS}", "functions_complexity": "id string, complexity bigint",
 }
 PARTITIONS = {"entities": ["project_id", "tier"], "relationships": ["rel_type"]}
@@ -194,7 +194,7 @@ class Store:
         ids = e.where(F.col("repo_id") == repo_id).select("id")
         counts = K.delete_counts(e, r, ids).first().asDict()
         edges = r.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_anti").select(r.columns)
-        keep = {t: self.read(t).where(F.col("repo_id") != repo_id) for t in ("file_hashes", "code_units", "flows")}
+        keep = {t: self.read(t).where(F.col("repo_id") != repo_id) for t in ("file_hashes", "code_units", "flows", "inline_tests")}
         self.publish(entities=e.where(F.col("repo_id") != repo_id), relationships=edges, repositories=self.read("repositories").where(F.col("id") != repo_id), **keep)
         return counts
 
