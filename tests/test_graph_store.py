@@ -52,7 +52,7 @@ def test_tiers(graph):
     assert by["file", "core/src/lib.rs"].parent_id == by["module", "core/src"].id
     assert by["module", "core/src"].parent_id == by["subsystem", "core"].id
     names = {r.name for r in rows if r.tier == "function"}
-    assert {"start", "open", "step", "main", "Store", "run", "helper"} <= names and "checks_open" not in names and "runs" not in names
+    assert {"start", "open", "step", "main", "run", "helper"} <= names and "checks_open" not in names and "runs" not in names
 
 
 def test_imports_resolve(graph):

@@ -62,10 +62,53 @@ def test_hotspot_boundaries(spark):
 
 @pytest.mark.parametrize(("files", "tests", "want"), [(10, 0, "high"), (11, 1, "medium"), (10, 1, None), (1, 1, None)])
 def test_coverage_boundaries(spark, files, tests, want):
-    df = spark.createDataFrame([("m", k < tests) for k in range(files)], "module string, is_test boolean")
+    rows = [(str(k), "m", "m", f"src/test_{k}.rs" if k < tests else f"src/a{k}.rs", "Rust", False) for k in range(files)]
+    df = spark.createDataFrame(rows, "id string, module string, module_name string, path string, language string, inline boolean")
     assert [r.severity for r in D.coverage_gaps(df).collect()] == ([want] if want else [])
 
 
+def test_coverage_of_other_folders_and_languages(spark):
+    rows = [
+        ("1", "auth", "auth", "src/auth/login.rs", "Rust", False), ("2", "users", "users", "src/users/people.rs", "Rust", False), ("3", "inner", "inner", "src/inner/a.rs", "rust", True),
+        ("4", "conf", "conf", "conf/a.yml", "YAML", False), ("5", "t", "t", "tests/auth_flow_test.rs", "Rust", False), ("6", "t", "t", "tests/people_test.rs", "Rust", False), ("7", "mod", "mod", "src/mod/b.rs", "Rust", False), ("8", "t", "t", "tests/mod_test.rs", "Rust", False),
+    ]
+    df = spark.createDataFrame(rows, "id string, module string, module_name string, path string, language string, inline boolean")
+    assert {r.module: r.severity for r in D.coverage_gaps(df).collect()} == {"mod": "high"}  # three letters attribute nothing
+
+
+def walk_brute(edges):
+    """Cycles as a recursive walk closes them."""
+    out_of = {}
+    for a, b in sorted(set(edges)):
+        out_of.setdefault(a, []).append(b)
+    done, found = set(), set()
+
+    def go(a, path):
+        for b in out_of.get(a, []):
+            if b in path:
+                found.add(tuple(sorted(path[path.index(b) :])))
+            elif b not in done:
+                go(b, [*path, b])
+        done.add(a)
+
+    for a in sorted({x for e in edges for x in e}):
+        if a not in done:
+            go(a, [a])
+    return sorted(found)
+
+
+def test_cycles_of_any_length(spark):
+    import random
+
+    long = [(f"n{k:02}", f"n{(k + 1) % 20:02}") for k in range(20)]
+    got = D.cycles(spark.createDataFrame([*long, ("z", "n00"), ("q", "q")], "source_id string, target_id string")).collect()
+    assert [(r.nodes, r.length) for r in got] == [(",".join(f"n{k:02}" for k in range(20)), 20)]
+    rng = random.Random(3)
+    for _ in range(200):
+        edges = [(a, b) for a, b in ((rng.choice("abcdefgh"), rng.choice("abcdefgh")) for _ in range(rng.randrange(14))) if a != b]
+        assert [tuple(c) for c in D.back_edge_cycles(edges)] == walk_brute(edges)
+
+
 def test_blast_quirks(spark):
     e = spark.createDataFrame([(i, "p", p, t, i, i) for i, p, t in [("f1", "m", "file"), ("f2", "m", "file"), ("f3", "m", "file"), ("f4", "m", "file"), ("m", None, "module"), ("a", "f1", "function"), ("b", "f2", "function")]], "id string, project_id string, parent_id string, tier string, name string, path string")
     r = spark.createDataFrame([("b", "a", "calls"), ("f3", "b", "imports"), ("m", "f1", "depends_on"), ("f4", "m", "depends_on"), ("f3", "f1", "imports"), ("f3", "f1", "implements")], "source_id string, target_id string, rel_type string")
@@ -74,19 +117,31 @@ def test_blast_quirks(spark):
     assert vals(G.hops(e, r, spark.createDataFrame([("f1",)], "id string"))) == [("f2", 1), ("f3", 1)]
 
 
+def js_of(aliases=(), packages=None, declared=(), roots=()):
+    return {"aliases": list(aliases), "packages": packages or {}, "declared": list(declared), "roots": list(roots)}
+
+
 def test_import_candidates(spark):
-    files = spark.createDataFrame([(str(k), p) for k, p in enumerate(["src/a.ts", "src/b/index.ts", "lib/pkg/x.js", "src/c.tsx", "src/c.js"])], "id string, path string")
-    rows = spark.createDataFrame([(1, "src/a.ts", "./b"), (2, "src/b/index.ts", "../c"), (3, "src/a.ts", "@/c"), (4, "src/a.ts", "pkg/x"), (5, "src/a.ts", "./none"), (6, "src/a.ts", "c"), (7, "src/a.ts", "react")], "row_id long, importing string, spec string")
-    a = spark.createDataFrame([("@/", "src/")], "prefix string, replacement string")
-    p = spark.createDataFrame([("pkg", "lib/pkg")], "name string, folder string")
-    assert dict(map(tuple, V.js_imports(rows, files, a, p, ["src"]).collect())) == {1: "1", 2: "3", 3: "3", 4: "2", 6: "3"}
+    files = spark.createDataFrame([(str(k), p) for k, p in enumerate(["src/a.ts", "src/b/index.ts", "lib/pkg/x.js", "src/c.tsx", "src/c.js", "src/d/index.js", "src/d/index.ts", "src/e.ts", "src/e.js", "src/e/index.js", "lib/pkg/index.js"])], "id string, path string")
+    rows = spark.createDataFrame(
+        [(1, "src/a.ts", "./b"), (2, "src/b/index.ts", "../c"), (3, "src/a.ts", "@/c"), (4, "src/a.ts", "pkg/x"), (5, "src/a.ts", "./none"), (6, "src/a.ts", "c"), (7, "src/a.ts", "react"), (8, "src/a.ts", "./d"), (9, "src/a.ts", "./e"), (10, "src/a.ts", "pkg"), (11, "src/a.ts", "exact"), (12, "src/a.ts", "d/x"), (13, "src/a.ts", "//c")],
+        "row_id long, importing string, spec string",
+    )
+    js = js_of([("@/*", ["src/*"]), ("exact", ["src/a"])], {"pkg": "lib/pkg"}, ["d"], ["src"])
+    assert dict(map(tuple, V.js_imports(rows, files, js).collect())) == {1: "1", 2: "4", 3: "4", 4: "2", 6: "4", 8: "5", 9: "8", 10: "10", 11: "0"}
+
+
+def test_the_longest_alias_wins(spark):
+    files = spark.createDataFrame([("x", "one/b.js"), ("y", "two/b.js"), ("z", "three/b.js")], "id string, path string")
+    rows = spark.createDataFrame([(1, "a.js", "@/ui/b"), (2, "a.js", "@/b")], "row_id long, importing string, spec string")
+    js = js_of([("@/*", ["none/*", "three/*"]), ("@/ui/*", ["two/*"])])
+    assert dict(map(tuple, V.js_imports(rows, files, js).collect())) == {1: "y", 2: "z"}
 
 
 def test_rust_relative(spark):
-    files = spark.createDataFrame([("s", "src/a/b.rs"), ("m", "src/a/mod.rs"), ("c", "src/c.rs")], "id string, path string")
-    rows = spark.createDataFrame([(1, "src/a/b.rs", "super::super::c::Item"), (2, "src/a/mod.rs", "self::b::f"), (3, "src/a/b.rs", "super::nothing")], "row_id long, importing string, spec string")
-    got = dict(map(tuple, V.rust_relative(rows, files).collect()))
-    assert got[1] == "c" and got[2] == "s"
+    files = spark.createDataFrame([("s", "src/a/b.rs"), ("m", "src/a/mod.rs"), ("c", "src/c.rs"), ("l", "src/lib.rs")], "id string, path string")
+    rows = spark.createDataFrame([(1, "src/a/b.rs", "super::Item"), (2, "src/a/mod.rs", "self::b::f"), (3, "src/a/b.rs", "super::super::c::Item"), (4, "src/c.rs", "super::*"), (5, "src/lib.rs", "super::x"), (6, "src/c/d.rs", "super::E"), (7, "src/c/none.rs", "self::E")], "row_id long, importing string, spec string")
+    assert dict(map(tuple, V.rust_relative(rows, files).collect())) == {1: "m", 2: "m", 3: "l", 4: "l", 6: "c"}
 
 
 def test_upsert_and_reconcile(spark):
@@ -104,12 +159,25 @@ def test_shed_to_fit():
     assert R.shed_to_fit(rows, 2)[0]["source"] in (None, "")
 
 
-def test_words():
-    assert X.query_words("How is the HTTPServer_name of a x built?") == ["httpserver", "name", "built"]
+def test_words(spark):
+    assert X.query_words("How is the HTTPServer_name of a x built? find using") == ["how", "httpserver_name", "of", "built?"]
+    assert X.query_words("the this that importing imports") == [] and X.query_words("auth auth token") == ["auth", "token"]
     assert X.search_words("  Ab c DEF ") == ["ab", "def"]
     assert (X.clamp_limit(None), X.clamp_limit(99), X.clamp_limit(-1)) == (10, 30, 1)
     with pytest.raises(ValueError):
         X.safe_scope("a/../b")
+    cases = [("authentication", "auth", True), ("validity", "id", False), ("middleware", "id", False), ("settings_panel", "files", False), ("component", "component", True), ("subcomponent", "component", False), ("orderExportApi/index.js", "order", True), ("selfcheck_metrics.rs", "selfcheck_metrics", True), ("a", "--", False)]
+    for s, w, want in cases:
+        assert spark.range(1).select(X.word_matches(F.lit(s), w)).first()[0] == want, (s, w)
+
+
+def test_scores_and_reasons(spark):
+    files = spark.createDataFrame([(1, "auth_service.rs", "src/auth/auth_service.rs"), (2, "login.rs", "src/auth/login.rs"), (3, "other.rs", "src/other.rs")], "id long, name string, path string")
+    got = {r.id: (r.score, r.reason) for r in R.score_files(files, ["auth", "auth", "service", "src"]).collect()}
+    assert got == {1: (5, "name: auth, service; path: src"), 2: (2, "path: auth, src"), 3: (1, "path: src")}
+    symbol = spark.createDataFrame([(1, 4), (3, 4), (2, 2)], "file_id long, symbol_score int")
+    rows = R.rank(R.score_files(files, ["auth", "login"]), symbol, 2).collect()
+    assert [(r.id, r.total, r.reason, r.not_shown) for r in rows] == [(1, 4, "name: auth; symbol: exact name match", 1), (3, 4, "no query-word hit; symbol: exact name match", 1)]
 
 
 def test_event_stream(spark, sf, tmp_path):
