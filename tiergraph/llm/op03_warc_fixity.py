@@ -6,9 +6,14 @@ offsets are those of the records in a file, uncompressed. Where ids repeat (or l
 until a file would have more than 2 x per_file rows, its records are dealt over as many files as they
 need, by hash; a record with more than per_file copies is counted, then written per_file copies to a
 file. So no file grows with one id. A file's tree has its records' SHA-256 digests as leaves and,
-above them, digests over ranges of
-``FAN`` nodes in offset order. Two replicas are compared by their roots, and only the children of
-nodes that differ are looked at further, down to the records.
+above them, digests over up to ``FAN`` nodes in offset order, each with the range of bytes that it covers;
+above the files' roots are digests over ``DIRECTORY`` file numbers, and one over those. Two replicas are
+compared by that one first, then by their files' roots, and only the children of nodes that differ are
+looked at further, down to the records; other leaves are never joined.
+
+Within the branches that differ, records are matched by digest, then by id, then by place. So a record is
+ok (same digest and number in its file), moved (same digest, another number, as a record before it is gone), corrupt
+(another digest), missing (not in the other replica) or extra (not in mine).
 
 Defined results: a null url or html is an empty one; rows without a page_id, while few, are dealt by
 hash over files -1 to -NULL_FILES; rows that repeat a page_id are records each, ordered by digest;
@@ -25,13 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tiergraph.llm.common import cut_lineage
+from tiergraph.llm.common import cut_lineage, sized
 
 PER_FILE = 1024
 FAN = 16
+DIRECTORY = 1024
 NULL_FILES = 256
-#: Crowded ranges or repeated records are broadcast up to so many (some 60 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Files of a task, at most or nearly so.
+TASK_FILES = 16
 DATE = "2024-01-01T00:00:00Z"
 #: A member's first bytes, with their own CRC, so that no bit of it can change unseen; of the rest, only the under 8 bits that fill up the last byte of packed data can.
 HEAD = b"\x1f\x8b\x08\x02\0\0\0\0\0\xff"
@@ -54,10 +60,15 @@ def record(url: Column, html: Column, page_id: Column) -> Column:
 
 
 def _sized(rows: DataFrame) -> DataFrame | None:
-    """rows, stored, and marked for broadcast only if within BROADCAST_ROWS; None if there are none."""
-    kept = cut_lineage(rows)
-    n = kept.count()
-    return None if n == 0 else F.broadcast(kept) if n <= BROADCAST_ROWS else kept.hint("merge")
+    """rows, stored, and marked for broadcast only if small; None if there are none."""
+    kept = sized(rows, width=80)
+    return None if kept.isEmpty() else kept
+
+
+def by_file(rows: DataFrame, pages: DataFrame, per_file: int) -> DataFrame:
+    """rows dealt by file over tasks whose number grows with the pages."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-pages.count() // (per_file * TASK_FILES))), "file")
 
 
 def records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
@@ -102,7 +113,7 @@ def _expanded(rows: DataFrame) -> DataFrame:
 def leaves(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """page_id, file, ordinal, offset, length, digest as the pages say they should be."""
     rows = records(pages, per_file).select("page_id", "file", F.octet_length("record").cast("long").alias("length"), "digest", "copies")
-    rows = _expanded(rows.repartition("file"))
+    rows = _expanded(by_file(rows, pages, per_file))
     # some multiple of per_file rows share a file at most
     w = W.partitionBy("file").orderBy("page_id", "digest")
     return rows.select(
@@ -133,7 +144,7 @@ def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE) -> None:
 
     rows = records(pages, per_file).select("page_id", "file", F.col("record").cast("binary").alias("record"), "digest", "copies")
     packed = rows.mapInArrow(run, "page_id long, file long, record binary, digest string, copies long")
-    ordered = _expanded(packed.repartition("file")).sortWithinPartitions("file", "page_id", "digest")
+    ordered = _expanded(by_file(packed, pages, per_file)).sortWithinPartitions("file", "page_id", "digest")
     # a string's bytes are written as they are
     ordered.select("file", F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").partitionBy("file").text(path)
 
@@ -218,12 +229,16 @@ def parse_plain(data: bytes) -> Iterator[tuple[int | None, int, int, str]]:
         at = end
 
 
+def _digest_of(kids: Column) -> Column:
+    """SHA-256 over sorted structs, their fields by colons and themselves by newlines."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(kids), lambda k: F.concat_ws(":", k["key"].cast("string"), k["lo"].cast("string"), k["hi"].cast("string"), k["digest"])), "\n"), 256)
+
+
 def level_up(nodes: DataFrame) -> DataFrame:
-    """The nodes over ranges of FAN nodes (file, node, digest, lo, hi): at most FAN children each."""
-    parent = F.expr(f"node div {FAN}")
-    kids = F.array_sort(F.collect_list(F.struct("node", "digest")))
-    up = nodes.groupBy("file", parent.alias("parent")).agg(kids.alias("kids"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return up.select("file", F.col("parent").alias("node"), F.sha2(F.array_join(F.transform("kids", lambda k: k["digest"]), ""), 256).alias("digest"), "lo", "hi")
+    """The nodes over FAN nodes (file, node, digest, lo, hi): a digest over the children's numbers, ranges and digests."""
+    kids = F.collect_list(F.struct(F.col("node").alias("key"), "lo", "hi", "digest"))
+    up = nodes.groupBy("file", F.expr(f"node div {FAN}").alias("parent")).agg(_digest_of(kids).alias("digest"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return up.select("file", F.col("parent").alias("node"), "digest", "lo", "hi")
 
 
 def levels(rows: DataFrame, per_file: int = PER_FILE) -> list[DataFrame]:
@@ -236,36 +251,84 @@ def levels(rows: DataFrame, per_file: int = PER_FILE) -> list[DataFrame]:
     return out
 
 
+def replica_root(roots: DataFrame) -> DataFrame:
+    """replica: one digest, over digests over the roots (file, lo, hi, digest) of DIRECTORY file numbers each.
+
+    The last step reads a row for each PER_FILE x DIRECTORY records.
+    """
+    part = lambda key: F.collect_list(F.struct(F.col(key).alias("key"), "lo", "hi", "digest"))
+    folders = roots.groupBy(F.floor(F.col("file") / DIRECTORY).alias("folder")).agg(_digest_of(part("file")).alias("digest"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    return folders.agg(_digest_of(part("folder")).alias("replica"))
+
+
 def differing(mine: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     """file, node of the leaves that differ: roots are compared first, then only the children of nodes that differ."""
 
     def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.select(F.col("file").alias("f2"), F.col("node").alias("n2"), F.col("digest").alias("d2"))
+        b = b.select(F.col("file").alias("f2"), F.col("node").alias("n2"), F.col("digest").alias("d2"), F.col("lo").alias("l2"))
         both = a.join(b, (F.col("file") == F.col("f2")) & (F.col("node") == F.col("n2")), "full_outer")
-        return both.where(~F.col("digest").eqNullSafe(F.col("d2"))).select(F.coalesce("file", "f2").alias("file"), F.coalesce("node", "n2").alias("node"))
+        differ = ~F.col("digest").eqNullSafe(F.col("d2")) | ~F.col("lo").eqNullSafe(F.col("l2"))
+        return both.where(differ).select(F.coalesce("file", "f2").alias("file"), F.coalesce("node", "n2").alias("node"))
 
     bad = cut_lineage(compare(mine[-1], other[-1]))
     for a, b in zip(mine[-2::-1], other[-2::-1]):
-        parents = bad.select(F.col("file").alias("bf"), F.col("node").alias("bn"))
+        parents = sized(bad.select(F.col("file").alias("bf"), F.col("node").alias("bn")), width=32)
         under = lambda x: x.join(parents, (x["file"] == F.col("bf")) & (F.expr(f"node div {FAN}") == F.col("bn")), "left_semi")
         bad = cut_lineage(compare(under(a), under(b)))
     return bad
 
 
-def audit(mine: DataFrame, other: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """One row a record of either replica: its place and digest, its file's root in either, and status.
+LEAF = "page_id long, file long, ordinal long, offset long, length long, digest string"
 
-    status: ok, or corrupt (digests differ), missing (not in other) or extra (not in mine).
-    """
+
+def matched(mine: list[tuple], other: list[tuple]) -> list[tuple]:
+    """Leaves of one file, in LEAF's order, with a status: by digest, then by id, then by place."""
+    out, left = [], list(mine)
+    rest = {k: r for k, r in enumerate(other)}
+
+    def pair(key, status) -> None:
+        nonlocal left
+        free: dict = {}
+        for k in reversed(list(rest)):
+            if key(rest[k]) is not None:
+                free.setdefault(key(rest[k]), []).append(k)
+        still = []
+        for r in left:
+            at = free.get(key(r))
+            if key(r) is None or not at:
+                still.append(r)
+                continue
+            out.append((*r, status(r, rest.pop(at.pop()))))
+        left = still
+
+    pair(lambda r: (r[5], r[2]), lambda a, b: "ok")
+    pair(lambda r: r[5], lambda a, b: "moved")
+    pair(lambda r: r[0], lambda a, b: "corrupt")
+    # a record that can't be read has no id; it takes the place between its neighbours
+    pair(lambda r: (r[2],), lambda a, b: "corrupt")
+    return out + [(*r, "missing") for r in left] + [(*r, "extra") for r in rest.values()]
+
+
+def audit(mine: DataFrame, other: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """One row a record of either replica: its place and digest, its file's root and the replica's in either, and status."""
     mine, other = cut_lineage(mine), cut_lineage(other)  # a line a record, read by every level
     a, b = levels(mine, per_file), levels(other, per_file)
-    bad = differing(a, b).withColumn("bad", F.lit(True))
+    whole = replica_root(a[-1]).join(replica_root(b[-1]).withColumnRenamed("replica", "other_replica"))  # one row each
+    whole = cut_lineage(whole)
     roots = a[-1].select("file", F.col("digest").alias("root")).join(b[-1].select("file", F.col("digest").alias("other_root")), "file", "full_outer")
-    rest = other.select("file", "ordinal", F.col("page_id").alias("p2"), F.col("offset").alias("o2"), F.col("length").alias("l2"), F.col("digest").alias("other_digest"))
-    rows = mine.join(rest, ["file", "ordinal"], "full_outer").join(bad.withColumnRenamed("node", "ordinal"), ["file", "ordinal"], "left").join(roots, "file", "left")
-    status = (
-        F.when(F.col("bad").isNull(), "ok").when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
-    )
-    return rows.select(
-        F.coalesce("page_id", "p2").alias("page_id"), "file", "ordinal", F.coalesce("offset", "o2").alias("offset"), F.coalesce("length", "l2").alias("length"), "digest", "root", "other_root", status.alias("status")
-    )
+    same = whole.first()
+    if same["replica"] == same["other_replica"]:
+        rows = mine.withColumn("status", F.lit("ok"))
+    else:
+        bad = sized(differing(a, b).withColumnRenamed("node", "ordinal"), width=32)
+        spoiled = lambda side: side.join(bad, ["file", "ordinal"], "left_semi").select(*[c.split()[0] for c in LEAF.split(", ")])
+
+        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            found = matched(*[[tuple(r.values()) for r in t.sort_by("ordinal").to_pylist()] for t in (left, right)])
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2
+            return pa.table([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in LEAF.split(", ")] + ["status"])
+
+        # a file's leaves are some multiple of per_file at most
+        judged = spoiled(mine).groupBy("file").cogroup(spoiled(other).groupBy("file")).applyInArrow(run, LEAF + ", status string")
+        rows = mine.join(bad, ["file", "ordinal"], "left_anti").select(mine.columns).withColumn("status", F.lit("ok")).unionByName(judged)
+    return rows.join(roots, "file", "left").crossJoin(F.broadcast(whole)).select("page_id", "file", "ordinal", "offset", "length", "digest", "root", "other_root", "replica", "other_replica", "status")  # whole is one row

@@ -45,14 +45,21 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits WARC files, as written, against the pages they were written from."""
+    """Audits a replica, written as WARC files, against the pages: a replica that lost and changed some records by a fixed rule."""
     small_batches(spark)
     pages = table(spark, sf_dir, "pages")
     path = scratch_path(spark, "warc")
-    op3.write_warc(pages, path)
+    op3.write_warc(spoiled_replica(pages), path)
     return op3.audit(op3.leaves(pages), op3.read_warc(spark, path))
 
 
+def spoiled_replica(pages: DataFrame) -> DataFrame:
+    """pages as a replica with damage: by a hash of the id, about 1 in 256 has other vowels, and as many are lost."""
+    mark = F.sha2(F.col("page_id").cast("string"), 256)
+    kept = pages.where(F.coalesce(~mark.startswith("ab"), F.lit(True)))
+    return kept.withColumn("html", F.when(mark.startswith("00"), F.translate("html", "aeiou", "eioua")).otherwise(F.col("html")))
+
+
 def op4_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")

@@ -62,20 +62,34 @@ def license_rules() -> str:
 
 
 def warc_fixity() -> str:
+    """The usual case: each id once."""
     rn = "chr(13)||chr(10)"
     record = (
         f"'WARC/1.1'||{rn}||'WARC-Type: resource'||{rn}||'WARC-Date: {op3.DATE}'||{rn}||'WARC-Record-ID: <urn:page:'||page_id||'>'||{rn}||'WARC-Target-URI: '||regexp_replace(COALESCE(url,''),'[\\r\\n]','','g')||{rn}"
         f"||'Content-Type: text/html'||{rn}||'Content-Length: '||strlen(COALESCE(html,''))||{rn}||{rn}||COALESCE(html,'')||{rn}||{rn}"
     )
-    ups, span, levels = [], 1, 0
-    while span < op3.PER_FILE * op3.FAN:
-        levels += 1
-        span *= op3.FAN
-        ups.append(f"n{levels} AS (SELECT file, node//{op3.FAN} AS node, sha256(string_agg(digest,'' ORDER BY node)) AS digest FROM n{levels - 1} GROUP BY file, node//{op3.FAN})")
-    return f"""WITH r AS (SELECT page_id, page_id//{op3.PER_FILE} AS file, {record} AS rec FROM pages),
- l AS (SELECT page_id, file, row_number() OVER w - 1 AS ordinal, CAST(COALESCE(sum(strlen(rec)) OVER (PARTITION BY file ORDER BY page_id, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256(rec))),
- n0 AS (SELECT file, ordinal AS node, digest FROM l), {", ".join(ups)}
- SELECT page_id, l.file AS file, ordinal, "offset", length, l.digest AS digest, n{levels}.digest AS root, n{levels}.digest AS other_root, 'ok' AS status FROM l JOIN n{levels} ON l.file=n{levels}.file"""
+    joined = "sha256(string_agg({key}||':'||lo||':'||hi||':'||digest, chr(10) ORDER BY {key}))"
+
+    def tree(p: str, pages: str) -> str:
+        out = [
+            f"{p}r AS (SELECT page_id, page_id//{op3.PER_FILE} AS file, {record} AS rec FROM {pages})",
+            f"""{p}l AS (SELECT page_id, file, row_number() OVER w - 1 AS ordinal, CAST(COALESCE(sum(strlen(rec)) OVER (PARTITION BY file ORDER BY page_id, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest FROM {p}r WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256(rec)))""",
+            f"""{p}n0 AS (SELECT file, ordinal AS node, digest, "offset" AS lo, "offset"+length AS hi FROM {p}l)""",
+        ]
+        span, level = 1, 0
+        while span < op3.PER_FILE * op3.FAN:
+            level, span = level + 1, span * op3.FAN
+            out.append(f"{p}n{level} AS (SELECT file, node//{op3.FAN} AS node, {joined.format(key='node')} AS digest, min(lo) AS lo, max(hi) AS hi FROM {p}n{level - 1} GROUP BY file, node//{op3.FAN})")
+        out.append(f"{p}f AS (SELECT CAST(floor(file/{op3.DIRECTORY}) AS BIGINT) AS folder, {joined.format(key='file')} AS digest, CAST(sum(lo) AS BIGINT) AS lo, CAST(sum(hi) AS BIGINT) AS hi FROM {p}n{level} GROUP BY 1)")
+        out.append(f"{p}t AS (SELECT {joined.format(key='folder')} AS replica FROM {p}f)")
+        return ",\n ".join([*out, f"{p}root AS (SELECT file, digest AS root FROM {p}n{level})"])
+
+    return f"""WITH spoiled AS (SELECT page_id, url, CASE WHEN starts_with(sha256(CAST(page_id AS VARCHAR)),'00') THEN translate(html,'aeiou','eioua') ELSE html END AS html FROM pages WHERE NOT starts_with(sha256(CAST(page_id AS VARCHAR)),'ab')),
+ {tree("m_", "pages")},
+ {tree("o_", "spoiled")}
+ SELECT m.page_id AS page_id, m.file AS file, m.ordinal AS ordinal, m."offset" AS "offset", m.length AS length, m.digest AS digest, m_root.root AS root, o_root.root AS other_root, m_t.replica AS replica, o_t.replica AS other_replica,
+  CASE WHEN o.page_id IS NULL THEN 'missing' WHEN m.digest<>o.digest THEN 'corrupt' WHEN m.ordinal<>o.ordinal THEN 'moved' ELSE 'ok' END AS status
+ FROM m_l m LEFT JOIN o_l o ON m.page_id=o.page_id JOIN m_root ON m.file=m_root.file LEFT JOIN o_root ON m.file=o_root.file, m_t, o_t"""
 
 
 SQL: dict[str, str] = {
