@@ -8,6 +8,7 @@ from helpers import ODD, clashing, frame, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tiergraph.llm import common
 from tiergraph.llm import op02_string_tiling as op2
 from tiergraph.llm import op03_warc_fixity as op3
 from tiergraph.llm import op04_nb_svm as op4
@@ -128,12 +129,12 @@ def audit(spark, rows, spoil=None, per_file=32):
 def test_warc_round_trip(spark):
     rows = audit(spark, PAGES).collect()
     assert len(rows) == len(PAGES) and {r.status for r in rows} == {"ok"}
-    assert all(r.root == r.other_root for r in rows)
+    assert all(r.root == r.other_root and r.replica == r.other_replica for r in rows)
 
 
-@pytest.mark.parametrize("bound", [op3.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("bound", [common.BROADCAST_BYTES, -1])
 def test_ids_that_many_rows_repeat_are_split(spark, monkeypatch, bound):
-    monkeypatch.setattr(op3, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
     rows = PAGES + [(5, "http://same", "copy")] * 100 + [(5, f"http://other/{k}", "body") for k in range(80)] + [(None, "a", "b")] * 70
     got = audit(spark, rows).collect()
     assert len(got) == len(rows) and {r.status for r in got} == {"ok"}
@@ -172,6 +173,38 @@ def test_a_lost_tail_is_missing(spark):
     assert lost and lost <= {60, 61, 62, 63} and {r.status for r in rows} <= {"ok", "missing", "corrupt"}
 
 
+def member_cut(start, stop):
+    """Takes the stored members of records start to stop out of file 1."""
+    import glob
+
+    def run(path):
+        f = glob.glob(f"{path}/file=1/part-*")[0]
+        data = open(f, "rb").read()
+        heads, at = [], data.find(op3.HEAD)
+        while at >= 0:
+            heads.append(at)
+            at = data.find(op3.HEAD, at + 1)
+        open(f, "wb").write(data[: heads[start]] + data[heads[stop] :])
+        for crc in glob.glob(f"{path}/file=1/.*.crc"):
+            __import__("os").remove(crc)
+
+    return run
+
+
+def test_a_lost_record_in_the_middle_is_named_alone(spark):
+    rows = audit(spark, PAGES, member_cut(9, 10)).collect()
+    assert [(r.page_id, r.status) for r in rows if r.status not in ("ok", "moved")] == [(41, "missing")]
+    assert {r.page_id for r in rows if r.status == "moved"} <= set(range(42, 64)) and {r.file for r in rows if r.status == "moved"} == {1}
+    assert len(rows) == len(PAGES) and len({r.replica for r in rows}) == 1 and all(r.replica != r.other_replica for r in rows)
+
+
+def test_leaves_are_matched_by_digest_then_id_then_place():
+    mine = [(1, 0, 0, 0, 5, "a"), (2, 0, 1, 5, 5, "b"), (3, 0, 2, 10, 5, "c"), (4, 0, 3, 15, 5, "d"), (None, 0, 4, 20, 5, "e")]
+    other = [(2, 0, 0, 0, 5, "b"), (3, 0, 1, 5, 5, "x"), (None, 0, 3, 15, 5, "y"), (9, 0, 7, 30, 5, "z")]
+    got = {(r[0], r[5]): r[6] for r in op3.matched(mine, other)}
+    assert got == {(1, "a"): "missing", (2, "b"): "moved", (3, "c"): "corrupt", (4, "d"): "corrupt", (None, "e"): "missing", (9, "z"): "extra"}
+
+
 def test_only_bad_branches_are_looked_at(spark):
     a = op3.leaves(pages(spark, PAGES), 32)
     bad = op3.differing(op3.levels(a, 32), op3.levels(a.withColumn("digest", __import__("pyspark").sql.functions.expr("if(page_id = 50, 'x', digest)")), 32))
