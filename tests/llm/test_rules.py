@@ -92,7 +92,71 @@ def test_licences(spark, text, licenses, unmatched):
     assert (row.licenses, row.unmatched) == (licenses, unmatched)
 
 
-FULL = {"MIT": ["MITgrant", "MITnotice"], "BSD-2-Clause": ["BSDgrant", "BSDsource", "BSDbinary"], "BSD-3-Clause": ["BSDgrant", "BSDsource", "BSDbinary", "BSDnames"], "GPL-3.0-or-later": ["GPL3orLater", "GPLcopy"]}
+#: The longest rule of each licence.
+FULL = {name: list(ids) for ids, name in sorted(op9.TEXT_RULES, key=lambda r: len(r[0]))}
+
+
+def test_every_licence_of_the_table_is_found_by_its_references(spark):
+    texts = [(k, f"// SPDX-License-Identifier: {x}\n") for k, x in enumerate(op9.SPDX)]
+    texts += [(1000 + k, f"It is.\nDistributed under the {name.title()}.") for k, name in enumerate(op9.NAMES)]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in op9.scan(frame(spark, texts)).collect()}
+    only = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+    assert got == {k: (f"{x}-only" if x in only else x, 0) for k, x in enumerate(op9.SPDX)} | {1000 + k: (x, 0) for k, x in enumerate(op9.NAMES.values())}
+    assert len(op9.SPDX) > 50 and len(FULL) > 25
+
+
+MIT_FILE = '''MIT License
+
+Copyright (c) 2021 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+'''
+GPL2_HEADER = '''/*
+ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.
+ */
+int main() { return 0; }
+'''
+MPL_HEADER = '''# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/.
+'''
+APACHE_HEADER = '''# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+'''
+
+
+def test_whole_licence_files(spark):
+    texts = [(1, MIT_FILE), (2, GPL2_HEADER), (3, MPL_HEADER), (4, APACHE_HEADER)]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in op9.scan(frame(spark, texts)).collect()}
+    assert got == {1: ("MIT", 0), 2: ("GPL-2.0-or-later", 0), 3: ("MPL-2.0", 0), 4: ("Apache-2.0", 0)}
 
 
 @pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "> ", "; "])
@@ -127,7 +191,8 @@ def test_wrapped_and_commented_sentences(spark, text, licenses, unmatched):
 
 
 def test_ordered_rules_want_their_order(spark):
-    grant, notice = (s for s, i in op9.SENTENCES.items() if i in ("MITgrant", "MITnotice"))
+    said = {i: s for s, i in op9.SENTENCES.items()}
+    grant, notice = said["MITgrant"], said["MITnotice"]
     forward, back = f"{grant}:\n{notice}.", f"{notice}.\n{grant}:"
     got = {r.doc_id: (r.licenses, r.unmatched) for r in op9.scan(frame(spark, [(1, forward), (2, back)])).collect()}
     assert got == {1: ("MIT", 0), 2: ("", 2)}
