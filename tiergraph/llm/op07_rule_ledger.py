@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once; the ledger keeps the measurements and one failure bit a rule. Policies
-are versions of a mask of rules that count, applied to the ledger without reading a text again;
-ablations come from counting ledger rows by their bits and masking those few counts.
+are versions of a mask of rules that count, applied to the stored ledger without reading a text
+again; ablations come from a row's bits, or from counting rows by their bits and masking those few counts.
 
 DataFrame functions only. Defined results: a null text has no words and fails ``few_words``; a null
 doc_id and repeated rows are kept as they come; an empty table gives no rows; other columns are not
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm.common import SPACE_CLASS
+from tiergraph.llm.common import SPACE_CLASS, cut_lineage
 
 WINDOW_WORDS = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -111,13 +111,22 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("failed", failed)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The ledger, written once to the shared folder: policies and ablations read its narrow rows, never a text."""
+    return cut_lineage(rows)
+
+
 def apply_policy(rows: DataFrame, version: str = PRODUCTION, policies: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """ledger rows with policy, base_failed and kept."""
-    counts = F.lit(mask_of((policies or POLICIES)[version])).cast("long")
+    """ledger rows with policy, base_failed, kept and only_rule: the rule without which the policy would keep the row, if there is one."""
+    rules = (policies or POLICIES)[version]
+    counts = F.lit(mask_of(rules)).cast("long")
+    only = F.lit(None).cast("string")
+    for r in rules:
+        only = F.when(F.col("failed").bitwiseAND(counts) == mask_of([r]), r).otherwise(only)
     base = F.lit(mask_of(BASE_RULES)).cast("long")
     base_failed = F.col("failed").bitwiseAND(base) != 0
     kept = ~base_failed & (F.col("failed").bitwiseAND(counts) == 0)
-    return rows.withColumns({"policy": F.lit(version), "base_failed": base_failed, "kept": kept})
+    return rows.withColumns({"policy": F.lit(version), "base_failed": base_failed, "kept": kept, "only_rule": only})
 
 
 def ablations(rows: DataFrame, version: str = PRODUCTION, policies: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

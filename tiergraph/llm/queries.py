@@ -80,8 +80,8 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op7.apply_policy(op7.ledger(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    rows = op7.apply_policy(op7.stored(op7.ledger(table(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "only_rule")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ def _rules() -> str:
 
 def rule_ledger() -> str:
     n = op7.WINDOW_WORDS
+    only = " ".join(f"WHEN {op7.mask_of([r])} THEN '{r}'" for r in op7.POLICIES[op7.PRODUCTION])
     base, counts = op7.mask_of(op7.BASE_RULES), op7.mask_of(op7.POLICIES[op7.PRODUCTION])
     return rf"""WITH t AS (SELECT doc_id, COALESCE(text,'') AS text, row_number() OVER () AS r FROM documents),
  w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text,'[\x20\x09-\x0D]+'), lambda x: x<>'') AS ws, list_filter(string_split(text,{NEWLINE}), lambda x: {HAS_WORD.format(c="x")}) AS ls FROM t),
@@ -31,7 +32,7 @@ def rule_ledger() -> str:
  m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws,'')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text,'[^#*$%&|<>]+','','g')) AS BIGINT) AS n_symbols,
   CAST(len(ls)-len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(covered,0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines FROM w LEFT JOIN c ON w.r=c.r),
  f AS (SELECT *, {_rules()} AS failed FROM m)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {base})<>0 AS base_failed, (failed & {base})=0 AND (failed & {counts})=0 AS kept, failed FROM f"""
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {base})<>0 AS base_failed, (failed & {base})=0 AND (failed & {counts})=0 AS kept, failed, CASE failed & {counts} {only} END AS only_rule FROM f"""
 
 
 def line_dedup() -> str:
