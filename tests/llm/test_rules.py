@@ -38,6 +38,9 @@ def test_policies_and_ablations(spark):
         assert kept[k][0] == (n < 20 or 100 * rep > 30 * n)
         assert not (kept[k][0] and kept[k][1])
     bits = {r.doc_id: r.failed for r in ledger.collect()}
+    only = {r.doc_id: r.only_rule for r in op7.apply_policy(ledger).collect()}
+    counted = op7.mask_of(op7.POLICIES[op7.PRODUCTION])
+    assert only == {k: next((n for j, (n, _) in enumerate(op7.RULES) if b & counted == 1 << j), None) for k, b in bits.items()}
     for version, rules in op7.POLICIES.items():
         mask = op7.mask_of(rules)
         for r in op7.ablations(ledger, version).collect():
@@ -217,6 +220,40 @@ def test_shards_follow_the_mixture(spark):
             assert r.text_crc32 == zlib.crc32(f"text {r.doc_id % 50}".encode()) and r["size"] == len(f"text {r.doc_id % 50}") + 1
 
 
+def order_of(seed, doc_id, crc):
+    """Spark's xxhash64 over an int, a long and a long, without its sign bit's weight."""
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    for v in (doc_id, crc):
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h >> 1
+
+
+def test_places_follow_the_fractional_ranks(spark):
+    rng = random.Random(9)
+    rows = [(k, f"text {k % 70}", "hot" if rng.random() < 0.4 else rng.choice(["a", "b", None])) for k in range(700)] + [(9, "text 9", "a")] * 3 + [(None, None, "b"), (3, "", "b")]
+    slim = [(i, s, zlib.crc32((t or "").encode()), len(t or "") + 1) for i, t, s in rows]
+    by_source = {}
+    for r in slim:
+        by_source.setdefault(r[1], []).append(r)
+    placed = []
+    for source, some in by_source.items():
+        some.sort(key=lambda r: (order_of(17, r[0], r[2]), r[0] is not None, r[0] or 0, r[2], r[3]))
+        placed += [((k + 0.5) / len(some), "" if source is None else "=" + source, order_of(17, r[0], r[2]), r[0] is not None, r[0] or 0, r) for k, r in enumerate(some)]
+    placed.sort()
+    n, want, first = len(placed), [], {}
+    for p, (*_, r) in enumerate(placed):
+        shard = p * 16 // n
+        want.append((*r, shard, p - first.setdefault(shard, p)))
+    for buckets in (None, 1 << 12):
+        got = [(r.doc_id, r.source, r.text_crc32, r["size"], r.shard, r.slot) for r in op10.interleave(op10.slim(frame(spark, [(*r,) for r in rows])), buckets=buckets).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_shards_are_shuffled_and_repeatable(spark):
     rows = [(k, str(k), "s") for k in range(200)]
     place = lambda seed: {r.doc_id: (r.shard, r.slot) for r in op10.interleave(op10.slim(frame(spark, rows).repartition(7)), 4, seed).collect()}
@@ -228,3 +265,7 @@ def test_written_shards(spark, tmp_path):
     op10.write_shards(frame(spark, [(k, str(k), f"s{k % 3}") for k in range(100)]), str(tmp_path / "x"), 4)
     back = spark.read.parquet(str(tmp_path / "x"))
     assert back.count() == 100 and back.groupBy("shard").agg(F.count("*").alias("n")).where("n <> 25").count() == 0
+    odd = clashing(frame(spark, [(k, str(k), f"s{k % 3}") for k in range(20)]))
+    op10.write_shards(odd, str(tmp_path / "y"), 4)
+    back = spark.read.parquet(str(tmp_path / "y"))
+    assert set(back.columns) == set(odd.columns) and {r["size"] for r in back.collect()} == {"x"} and back.where("shard between 0 and 3").count() == 20

@@ -109,6 +109,24 @@ def test_every_held_item_is_found(spark, sf):
     plain = {(d.doc_id, i.item_id) for d in docs for i in items if " ".join(op2.words_of(i.text)) in " ".join(op2.words_of(d.text))}
     got = {(r.doc_id, r.item_id) for r in Q.op2_string_tiling(spark, sf).collect()}
     assert plain and plain <= got
+    # and no others: by all pairs of documents and items that share a run of five words
+    texts, marks = {d.doc_id: op2.words_of(d.text) for d in docs}, {i.item_id: op2.words_of(i.text) for i in items}
+    runs = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    of_items = {i: runs(w) for i, w in marks.items()}
+    want = set()
+    for d, words in texts.items():
+        own = runs(words)
+        for i, w in marks.items():
+            shared = own & of_items[i]
+            # what no shared run covers is in no tile
+            if shared and sum(any(tuple(w[j : j + 5]) in shared for j in range(max(0, k - 4), k + 1)) for k in range(len(w))) >= 0.8 * len(w):
+                number = {x: k for k, x in enumerate(dict.fromkeys(w))}
+                near = [any(tuple(words[j : j + 5]) in shared for j in range(max(0, k - 4), k + 1)) for k in range(len(words))]
+                text = [number.get(x, -1) if n else -1 for x, n in zip(words, near)]
+                kept = [x for k, x in enumerate(text) if x >= 0 or (k and text[k - 1] >= 0)]
+                if tile_brute([number[x] for x in w], kept, 5) >= 0.8 * len(w):
+                    want.add((d, i))
+    assert got == want
 
 
 def pages(spark, rows):

@@ -46,7 +46,8 @@ def test_orc_round_trip(spark, library):
     op1.write_tokens(docs, path, PATH, 1)
     got = rows_of(op1.token_digest(spark, path).orderBy("start"))
     want, start = [], 0
-    for i, t in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    # one id of these rows repeats, with one text
+    for i, t in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*ids_of(library, t), 1]
         want.append((i, start, len(ids), crc(ids)))
         start += len(ids)
@@ -72,6 +73,47 @@ def test_orc_metadata_prunes(spark, sf):
     assert "EqualTo(doc_id,5)], ReadSchema" in plan
 
 
+def test_orc_files_hold_what_the_method_names(spark, sf):
+    """Stripes, row indexes, run-length version 2 and Bloom filters as the files' own footers and indexes say."""
+    import glob
+
+    path = scratch_path(spark, "t5")
+    op1.write_tokens(Q.table(spark, sf, "documents"), path, PATH, stripe_bytes=64 << 10, index_rows=1000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    orc = jvm.org.apache.orc
+    stripes = 0
+    for f in glob.glob(f"{path}/part-*.orc"):
+        reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), orc.OrcFile.readerOptions(conf))
+        names = list(reader.getSchema().getFieldNames())
+        doc, ids = names.index("doc_id") + 1, len(names) + 1  # the root is column 0, an array's items follow it
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for k in range(reader.getStripes().size()):
+            stripes += 1
+            stripe = reader.getStripes().get(k)
+            footer = rows.readStripeFooter(stripe)
+            assert footer.getColumnsList().get(doc).getKind().toString() == "DIRECT_V2" == footer.getColumnsList().get(ids).getKind().toString()
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert (doc, "BLOOM_FILTER_UTF8") in kinds and (doc, "ROW_INDEX") in kinds and (ids, "BLOOM_FILTER_UTF8") not in kinds
+        rows.close()
+    assert stripes > 0
+
+
+def test_a_repeated_id_is_dealt_over_files(spark, library):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(5, f"text number {k} with its own words") for k in range(400)] + [(None, f"no id {k}") for k in range(400)] + [(k, "other") for k in range(50)]
+    path = scratch_path(spark, "t6")
+    op1.write_tokens(frame(spark, rows), path, PATH)
+    sizes = [r["count"] for r in op1.read_tokens(spark, path).groupBy("part").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == len(rows) and max(sizes) < 400
+    got = rows_of(op1.token_digest(spark, path).orderBy("start"))
+    ends = [s + n for _, s, n, _ in got]
+    assert [s for _, s, _, _ in got] == [0, *ends[:-1]]
+    keys = [(i is not None, i or 0) for i, _, _, _ in got]
+    assert keys == sorted(keys)
+
+
 def test_orc_of_an_empty_table(spark):
     path = scratch_path(spark, "t3")
     op1.write_tokens(frame(spark, []), path, PATH)
