@@ -38,10 +38,11 @@ PLAN = "length long, rank_lo long, rank_hi long, sequence_lo long, per_sequence
 SALTS, SALT_ROWS = 256, 1 << 20
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, memo: tuple[int, int] = (MEMO_WORDS, MEMO_STEMS)) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, memo: tuple[int, ...] = (MEMO_WORDS, MEMO_STEMS)) -> DataFrame:
     """Pieces of at most capacity ids of each document with its end id; only longer documents are cut.
 
-    memo: words and stems that a worker remembers; less memory costs time and changes no result.
+    memo: words and stems that a worker remembers, and bytes of text that it takes at once; less memory
+    costs time and changes no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, memo: tuple[int, int] = (MEMO_WORDS, MEMO_STEMS)) -> DataFrame:
+def pack(docs: DataFrame, path: str, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, memo: tuple[int, ...] = (MEMO_WORDS, MEMO_STEMS)) -> DataFrame:
     """Writes the pieces with their ids to path, then returns each piece's place in a sequence."""
     cut_pieces(docs, tokenizer_path, capacity, end_id, memo).write.parquet(path)
     slim = docs.sparkSession.read.schema(PIECES).parquet(path).drop("ids")

@@ -27,14 +27,14 @@ MEMO_WORDS, MEMO_STEMS = 900_000, 700_000
 
 
 class WordTokenizer:
-    """``limit`` bounds the words remembered, ``stem_limit`` the stems (a word without its final punctuation)."""
+    """``limit`` bounds the words remembered, ``stem_limit`` the stems (a word without its final punctuation), ``chunk`` the text taken at once."""
 
-    def __init__(self, path: str, limit: int = MEMO_WORDS, stem_limit: int = MEMO_STEMS):
+    def __init__(self, path: str, limit: int = MEMO_WORDS, stem_limit: int = MEMO_STEMS, chunk: int = CHUNK_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.limit, self.stem_limit = limit, stem_limit
+        self.limit, self.stem_limit, self.chunk = limit, stem_limit, chunk
         self.memo: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {}
         self.old_stems: dict[str, bytes] = {}
@@ -103,7 +103,7 @@ class WordTokenizer:
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + self.chunk, "right")))
             yield self._encode(texts.slice(lo, hi - lo))
             lo = hi
 
@@ -138,6 +138,6 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str, limit: int = MEMO_WORDS, stem_limit: int = MEMO_STEMS) -> WordTokenizer:
+def word_tokenizer(path: str, limit: int = MEMO_WORDS, stem_limit: int = MEMO_STEMS, chunk: int = CHUNK_BYTES) -> WordTokenizer:
     """One per worker process and file, kept between tasks."""
-    return WordTokenizer(path, limit, stem_limit)
+    return WordTokenizer(path, limit, stem_limit, chunk)
