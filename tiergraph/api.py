@@ -14,6 +14,7 @@ from tiergraph.operators import ranking as R
 from tiergraph.operators import search as S
 from tiergraph.plans import refresh as RF
 from tiergraph.plans.store import Store
+from tiergraph.sources import directory as Y
 from tiergraph.sources import documents as DOC
 
 MODEL = "token-hash-64"
@@ -138,6 +139,26 @@ class Graph:
         scored = R.score_files(e.where("tier = 'file'").select("id", "name", "path"), words)
         return R.rank(R.matched(scored, symbol), symbol, min(max(max_files, 1), 30))
 
+    def list_directory(self, repo_id: str, path: str = "") -> list[dict]:
+        """DC2. A folder of a repository's checkout with the entities of what it holds."""
+        repo = self.store.repo(repo_id)
+        known = self.store.read("entities").where((F.col("repo_id") == repo_id) & (F.col("tier") != "function"))
+        folder = "/".join(x for x in path.split("/") if x not in ("", "."))
+        below = F.substring("path", len(folder) + 2, 1 << 20) if folder else F.regexp_replace("path", r"^\./", "")
+        here = known.where(X.under(F.col("path"), folder)).where(~below.contains("/")).select("path", "id")
+        return Y.list_directory(self.store.spark, repo.local_path, path, {r.path: r.id for r in here.collect()})  # one folder's entries
+
+    def read_file(self, entity_id: str) -> dict:
+        """DC2. entity_id, name, path and content of a file entity."""
+        e = self.store.read("entities").where(F.col("id") == entity_id).first()
+        if e is None:
+            raise NotFound(f"entity not found: {entity_id}")
+        if e.tier != "file":
+            raise InvalidInput(f"entity {entity_id} is not a file (tier: {e.tier})")
+        if e.path is None:
+            raise InvalidInput(f"entity {entity_id} has no path")
+        return {"entity_id": e.id, "name": e.name, "path": e.path, "content": Y.read_file(self.store.spark, self.store.repo(e.repo_id).local_path, e.path)}
+
     def bundle(self, scope: str, project: str | None = None) -> DataFrame:
         return G.bundle_edges(self.entities(project), self.relationships(project), X.safe_scope(scope)).orderBy("source_file", "target_file")
 

@@ -25,6 +25,7 @@ from tiergraph.operators import sinks as K
 from tiergraph.plans.store import Store
 from tiergraph.sources import config as C
 from tiergraph.sources import extract as S
+from tiergraph.sources import directory as Y
 from tiergraph.sources import manifests as R
 
 CONFIG_NAMES = ["tiergraph.yml", "tiergraph.yaml", "tiergraph.json"]
@@ -75,8 +76,7 @@ def _root_texts(store: Store, root: str) -> dict[str, str]:
     clean = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     rel = F.substring(clean, F.lit(len(base) + 1), F.char_length(clean)).alias("name")
     rows = files.where(F.col("length") <= R.CAP).select(rel, F.col("content").cast("string").alias("text"))
-    for d in S.IGNORED:
-        rows = rows.where(~(F.col("name").startswith(d + "/") | F.col("name").contains(f"/{d}/")))
+    rows = rows.where(~F.col("name").rlike(r"(^|/)(\.[^/]*|node_modules|vendor|target)/"))
     return {r.name: r.text for r in rows.collect()}
 
 
@@ -129,6 +129,7 @@ def analyze_repo(store: Store, repo, full: bool = False) -> RefreshStats:
     store.publish(code_units=units_all, file_hashes=hashes)
     units = store.read("code_units").where(mine).drop("repo_id")
     paths = [r[0] for r in store.read("file_hashes").where(mine).select("file_path").collect()]  # one repository's file names
+    paths += Y.package_files(spark, repo.local_path)
     folders, depth, _ = R.detect_subsystems(repo.name, texts, [*paths, *texts])
     folders = settings.subsystems or folders
     subs = spark.createDataFrame(list(folders.items()) or [(".", repo.name)], "folder string, name string")

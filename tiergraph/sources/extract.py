@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiergraph.schema import CODE_UNITS
+from tiergraph.sources import directory as X
 
-# Languages by file extension, and folders that are never source.
+# Languages by file extension.
 LANGUAGES = {"rs": "Rust", "py": "Python", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "go": "Go"}
-IGNORED = [".git", "node_modules", "target", "dist", "build", "vendor", "__pycache__", ".venv", "venv"]
 
 # Words that branch, loop and handle errors, by language. Of a match arm the guard is no branch, of do ... while the end is no loop.
 BRANCH = {"Rust": r"\bif\b(?![^{};]*=>)|\bmatch\b", "Go": r"\bif\b", "js": r"\b(?:if|switch)\b"}
@@ -52,15 +52,23 @@ def family(language: str) -> str:
 
 
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """SRC1. path (relative to root), language, content, content_hash of the source files below root."""
+    """SRC1. path (relative to root), language, content, content_hash of the source files below root.
+
+    Hidden files and what .ignore files (and, in a git checkout, .gitignore files) name are left out, and
+    the paths of exclude. Files whose name or folder begins with an underscore are passed over by Spark's
+    readers. What an ignore file below the files' own folders says doesn't matter, so files are looked at
+    down to their own depth.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(root)
     clean = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     base = "/" + re.sub(r"^[a-z]+:/+", "/", root).strip("/") + "/"
     rel = F.when(clean.startswith(base), F.substring(clean, F.lit(len(base) + 1), F.char_length(clean))).otherwise(clean)
     rows = files.select(rel.alias("path"), "content")
-    for d in [*IGNORED, *(exclude or [])]:
+    for d in exclude or []:
         d = d.strip("/")
         rows = rows.where(~(F.col("path").startswith(d + "/") | F.col("path").contains(f"/{d}/") | (F.col("path") == d)))
+    depth = rows.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+    rows = rows.where(~X.ignored(F.col("path"), X.ignore_rules(X.ignore_files(spark, root, depth - 1))))
     lookup = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return rows.select("path", lookup[F.regexp_extract("path", r"\.(\w+)$", 1)].alias("language"), "content", F.sha2("content", 256).alias("content_hash"))
 
