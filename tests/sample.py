@@ -14,6 +14,11 @@ FILES = {
 }
 
 WEB = {
+    ".ignore": "# not ours\nnode_modules/\n*.gen.js\n!keep.gen.js\n",
+    "src/lib/.ignore": "/made\n",
+    "src/lib/made/x.js": "export function made() {}\n",
+    "src/lib/a.gen.js": "export function gen() {}\n",
+    "src/lib/keep.gen.js": "export function keep() {}\n",
     "package.json": '{"name": "web", "dependencies": {"react": "1"}}',
     "tsconfig.json": '{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["src/*"]}}}',
     "src/app/index.ts": "import { helper } from '../lib/helper';\nimport Button from '@/ui/button';\nimport React from 'react';\n\nexport const run = async (a: number) => {\n  if (a) { helper(a); }\n  return a ? 1 : 2;\n};\n",

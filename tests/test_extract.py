@@ -3,8 +3,8 @@
 import pytest
 from sample import FILES, WEB, write
 
-from tiergraph.errors import ConfigError
-from tiergraph.sources import config, documents, extract, manifests
+from tiergraph.errors import ConfigError, InvalidInput, NotFound
+from tiergraph.sources import config, directory, documents, extract, manifests
 
 
 def units(spark, root):
@@ -27,6 +27,7 @@ def test_rust_units(spark, tmp_path):
 def test_other_languages(spark, tmp_path):
     got = units(spark, write(tmp_path, WEB))
     assert not any("node_modules" in f for f, _ in got)
+    assert {n for _, n in got} & {"made", "gen", "keep", "hidden"} == {"keep"}
     run = got["src/app/index.ts", "run"]
     assert run.imports == ["../lib/helper", "@/ui/button", "react"] and run.complexity == 2 and run.language == "TypeScript"
     assert got["src/lib/helper.ts", "other"].has_error_handling and got["src/lib/helper.ts", "helper"].has_loops
@@ -95,6 +96,47 @@ def test_calls():
     assert extract.calls_of("{ a.b.c(); new D(); if (e) { f?.(g()); } }", "js") == ["c", "f", "g"]
 
 
+@pytest.mark.parametrize(
+    ("text", "path", "want"),
+    [
+        ("build/", "build/a.js", True), ("build/", "src/build/a.js", True), ("build/", "src/build", False), ("/build", "src/build/a.js", False), ("/build", "build/a.js", True), ("a/b", "x/a/b/c.js", False),
+        ("a/b", "a/b/c.js", True), ("*.min.js", "x/y.min.js", True), ("*.min.js", "x/y.js", False), ("**/gen", "x/gen/a.js", True), ("gen/**", "gen/a/b.js", True), ("gen/**", "gen", False), ("a/**/z.js", "a/z.js", True),
+        ("a/**/z.js", "a/b/c/z.js", True), ("*.js\n!k.js", "a/k.js", False), ("d/\n!d/k.js", "d/k.js", True), ("f?o.js", "foo.js", True), ("[ab].js", "b.js", True), ("[!ab].js", "b.js", False), ("# c\n\n", "c", False), ("\\#a.js", "#a.js", True), ("", ".hid/a.js", True),
+    ],
+)
+def test_ignore_rules(spark, text, path, want):
+    from pyspark.sql import functions as F
+
+    rules = directory.ignore_rules({".ignore": text})
+    assert spark.range(1).select(directory.ignored(F.lit(path), rules)).first()[0] == want
+
+
+def test_gitignore_counts_in_a_checkout_only(spark, tmp_path):
+    root = write(tmp_path, {".gitignore": "b.py\n", "a.py": "x = 1\n", "b.py": "x = 1\n"})
+    assert {r.path for r in extract.scan(spark, root).collect()} == {"a.py", "b.py"}
+    (tmp_path / ".git").mkdir()
+    assert {r.path for r in extract.scan(spark, root).collect()} == {"a.py"}
+
+
+def test_directories_and_files(spark, tmp_path):
+    root = write(tmp_path, {"src/a.rs": "fn a() {}", "b.md": "x" * 40_000, "src/deep/c.rs": ""})
+    got = directory.list_directory(spark, root, "./", {"b.md": "B", "./src": "S"})
+    assert [(e["path"], e["entity_id"], e["indexed"], e["is_dir"]) for e in got] == [("src/", "S", True, True), ("b.md", "B", True, False)]
+    assert [e["path"] for e in directory.list_directory(spark, root, "src/", {})] == ["deep/", "a.rs"]
+    text = directory.read_file(spark, root, "b.md")
+    assert len(text) == 32_768 and text.endswith("x...") and directory.read_file(spark, root, "src/a.rs") == "fn a() {}"
+    (tmp_path / "out").symlink_to("/etc")
+    for bad in ("../x", "/etc", "src/../../x", "out", "src/a.rs"):
+        with pytest.raises(InvalidInput):
+            directory.list_directory(spark, root, bad, {})
+    with pytest.raises(NotFound):
+        directory.list_directory(spark, root, "none", {})
+    with pytest.raises(NotFound):
+        directory.read_file(spark, root, "none")
+    with pytest.raises(InvalidInput):
+        directory.read_file(spark, root, "out/hostname")
+
+
 def test_broken_files_give_nothing(spark, tmp_path):
     got = units(spark, write(tmp_path, {"a.py": "def f(:\n", "b.rs": "fn x() {", "c.js": "\xff\x00", "d.go": ""}))
     assert set(got) == {("b.rs", "x")}

@@ -148,6 +148,18 @@ def test_reconcile(graph):
     assert n >= 2 and "go/main.go" not in left
 
 
+def test_directory_tools(graph):
+    listed = graph.list_directory(graph.rust_id, "core/src")
+    assert [e["path"] for e in listed] == ["lib.rs", "store.rs", "walk.rs"] and all(e["indexed"] for e in listed)
+    assert {e["path"] for e in graph.list_directory(graph.rust_id)} >= {"core/", "tools/", "README.md"}
+    file = graph.entity_by_path(graph.rust_id, "core/src/walk.rs")
+    assert graph.read_file(file.id)["content"] == FILES["core/src/walk.rs"]
+    with pytest.raises(InvalidInput):
+        graph.read_file(graph.entities(tier="module").first().id)
+    with pytest.raises(NotFound):
+        graph.read_file("none")
+
+
 def test_output(graph, capsys):
     rows = output.lines(graph.entities(tier="subsystem"), "entities")
     assert list(json.loads(rows[0])) == output.FIELDS["entities"] and json.loads(rows[0])["parent_id"] is None
