@@ -177,8 +177,9 @@ def flow_reach(flow: DataFrame, entries: DataFrame, max_depth: int = 20) -> Data
 def flow_traces(entities: DataFrame, flow: DataFrame, entries: DataFrame, max_depth: int = 20) -> DataFrame:
     """GR9, in walking order. entry_id, step, id, depth, has_cycle of a depth-first walk of each entry.
 
-    Each entry's own subgraph goes to one group; a walk visits its targets in name order at every
-    level, a node is left once its targets are pushed, and a target already left marks a cycle.
+    Each entry's own subgraph goes to one group. Of the entry's own targets the last by id is walked
+    first; below them, the first by id. A node is walked as often as it was pushed before it was first
+    walked, and a target that was walked already marks a cycle.
     """
     reach = flow_reach(flow, entries, max_depth).select("entry_id", F.col("id").alias("source_id"))
     sub = reach.join(flow, "source_id").unionByName(entries.select(F.col("id").alias("entry_id"), F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_id")))
