@@ -121,6 +121,15 @@ def js_of(aliases=(), packages=None, declared=(), roots=()):
     return {"aliases": list(aliases), "packages": packages or {}, "declared": list(declared), "roots": list(roots)}
 
 
+def test_flow_traces_in_walking_order(spark):
+    flow = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("c", "e"), ("d", "b"), ("x", "y")], "source_id string, target_id string")
+    entries = spark.createDataFrame([("a",), ("x",)], "id string")
+    rows = sorted(G.flow_traces(None, flow, entries).collect(), key=lambda r: (r.entry_id, r.step))
+    assert [(r.entry_id, r.id, r.depth, r.has_cycle) for r in rows] == [
+        ("a", "a", 0, True), ("a", "c", 1, True), ("a", "d", 2, True), ("a", "b", 3, True), ("a", "e", 2, True), ("a", "b", 1, True), ("x", "x", 0, False), ("x", "y", 1, False),
+    ]
+
+
 def test_import_candidates(spark):
     files = spark.createDataFrame([(str(k), p) for k, p in enumerate(["src/a.ts", "src/b/index.ts", "lib/pkg/x.js", "src/c.tsx", "src/c.js", "src/d/index.js", "src/d/index.ts", "src/e.ts", "src/e.js", "src/e/index.js", "lib/pkg/index.js"])], "id string, path string")
     rows = spark.createDataFrame(
