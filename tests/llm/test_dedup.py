@@ -101,6 +101,60 @@ def test_similar_texts_are_found(spark):
     assert {r for r in want} <= set(kept) and len(kept) <= 1.1 * len(want) < len(rows)
 
 
+def hardly_similar(rng, n):
+    """n pairs of texts whose similarity is hardly more than 0.8, and n whose is hardly less."""
+    words = [f"v{k}" for k in range(5000)]
+    out = []
+    for k in range(2 * n):
+        t = [rng.choice(words) for _ in range(94)]  # 90 shingles, 10 of them lost at the end: 80 of 100
+        out += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(t[:84] + [rng.choice(words) for _ in range(10 if k < n else 11)]))]
+    return out
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    rows = hardly_similar(random.Random(8), 60)
+    want = jaccard_brute(rows)
+    assert len(want) == len(rows) - 60
+    assert sorted(rows_of(op5.keep_one(frame(spark, rows)).select("doc_id", "text"))) == want
+
+
+def test_no_link_is_missed_among_frequent_shingles(spark):
+    rng = random.Random(9)
+    often = [" ".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(5)]
+    rows = edited(rng, 150, 12)
+    for k in range(150):  # short texts of frequent passages, alike and not
+        rows.append((200 + k, " ".join([rng.choice(often) for _ in range(rng.randrange(1, 4))] + [f"u{rng.randrange(40)}" for _ in range(rng.randrange(5))])))
+    want = [i for i, _ in jaccard_brute(rows)]
+    for most, crowd in ((op5.WIDE_ROWS, op5.CROWD), (6, 3)):
+        nodes, found = op5.similar(frame(spark, rows), most=most, crowd=crowd)
+        first = {r.key: r.first for r in nodes.select("key", "first").collect()}
+        root = {i: i for i in first.values()}
+
+        def find(k, root=root):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in found.collect():
+            x, y = find(first[a]), find(first[b])
+            root[max(x, y)] = min(x, y)
+        assert sorted(i for i in root if root[i] == i) == want
+        assert sorted(i for (i,) in rows_of(op5.keep_one(frame(spark, rows)).select("doc_id"))) == want
+
+
+def test_first_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(2)
+    late = np.unique(rng.integers(0, 60, 20).astype(np.uint64))
+    for _ in range(2000):
+        x, y = (np.unique(rng.choice(60, rng.integers(1, 50), replace=False).astype(np.uint64)) for _ in range(2))
+        y = y if rng.random() < 0.3 else np.union1d(x[rng.random(len(x)) < 0.9], y[:2])
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9:
+            for last in (late, late[:0]):
+                assert set(op5.first_shingles(x, 0.8, last).tolist()) & set(op5.first_shingles(y, 0.8, last).tolist())
+            differ = int(np.bitwise_count(op5.parity_bits(x) ^ op5.parity_bits(y)).sum())
+            assert differ <= len(np.setxor1d(x, y))
+
+
 def test_crowded_wide_buckets(spark):
     rows = edited(random.Random(4), 120, 4)
     nodes = op5.cut_lineage(op5.wide_prints(frame(spark, rows), 5, op5.row_key())).dropDuplicates(op5.WIDE_NAMES)

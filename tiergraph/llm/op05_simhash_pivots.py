@@ -15,8 +15,9 @@ than its nodes, never all its pairs. Equal fingerprints are one node from the st
 ``near_duplicates`` links fingerprints of max_bits differing bits or fewer; a bucket of more than
 ``BUCKET_ROWS`` fingerprints is dealt again by the bits that they don't share yet, so no bucket is one
 task's work. ``keep_one`` links texts whose sets of word shingles have a Jaccard similarity of
-``similarity`` or more, found by a wide SimHash and verified on the sets themselves; the search finds
-a pair of just that similarity with a chance of some 0.9, nearer ones more surely (see README).
+``similarity`` or more. A wide SimHash finds most of the groups; then ``crossing`` names every pair that
+may still join two groups, by filters that lose no pair. Both kinds of pairs are verified on the sets
+themselves, so the components are those of all pairs (equal XXH64 are taken for equal shingles).
 
 Defined results: a null or wordless text has fingerprint zero and no shingles, and all such texts are
 copies of each other; a null doc_id gets a fingerprint and a component but is never the component's id
@@ -26,6 +27,8 @@ no rows; other columns are not read, and keep_one carries them.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -287,6 +290,8 @@ KEYS, SYMBOLS = 24, 3
 CARRIED, SLACK = 256, 3.0
 #: Rows that one wide bucket compares at most; leaders of a larger one; groups by which its other rows are dealt again.
 WIDE_ROWS, LEADERS, AGAIN = 8_192, 8, 6
+#: Sets that may have one shingle among their first before it goes to the end of the order, and times that this is done.
+CROWD, ORDERS = 1_000, 4
 
 
 def projections(hashes: np.ndarray) -> np.ndarray:
@@ -330,31 +335,57 @@ def bound_bits(similarity: float) -> int:
 WIDE_NAMES = [f"w{k}" for k in range(CARRIED // 64)]
 
 
-def wide_prints(docs: DataFrame, shingle: int, key: Column) -> DataFrame:
-    """doc_id, key, the wide fingerprint and the symbols of every whole text."""
+PARITY_NAMES = [f"p{k}" for k in range(4)]
+
+
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """Four longs: whether the shingles that fall on a bit are odd in number. Two sets differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1, bitorder="little").view("<i8")
+
+
+def first_shingles(hashes: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (in ascending order, those of ``late`` after all others), as longs.
+
+    Sets of the similarity share at least ``similarity`` times the size of either, so one of these: no
+    more of a set's shingles stay out of them than that, less one.
+    """
+    if len(late) and len(hashes):
+        is_late = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+        hashes = np.concatenate([hashes[~is_late], hashes[is_late]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1].view(np.int64)
+
+
+def wide_prints(docs: DataFrame, shingle: int, key: Column, similarity: float = 0.8) -> DataFrame:
+    """doc_id, key, the wide fingerprint and the symbols of every whole text; its set's digest, parity bits, size and first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, syms = [], []
+            words, syms, digests, sizes, begin = [], [], [], [], []
             for t in batch.column("text"):
-                sums = projections(np.unique(shingle_hashes(t.as_py() or b"", shingle)))
-                words.append(wide_bits(sums))
+                hashes = np.unique(shingle_hashes(t.as_py() or b"", shingle))
+                sums = projections(hashes)
+                words.append(np.concatenate([wide_bits(sums), parity_bits(hashes)]))
                 syms.append(symbols(sums).astype(np.int8).tobytes())
-            table = np.array(words, np.int64).reshape(-1, len(WIDE_NAMES))
-            arrays = [batch.column("doc_id"), batch.column("key"), *[pa.array(table[:, k]) for k in range(len(WIDE_NAMES))], pa.array(syms, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", *WIDE_NAMES, "symbols"])
+                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                sizes.append(len(hashes))
+                begin.append(first_shingles(hashes, similarity, hashes[:0]))
+            table = np.array(words, np.int64).reshape(-1, len(longs))
+            arrays = [batch.column("doc_id"), batch.column("key"), *[pa.array(table[:, k]) for k in range(len(longs))], pa.array(syms, pa.binary())]
+            arrays += [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(begin, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", *longs, "symbols", "digest", "size", "begin"])
         give_back()
 
-    wide = ", ".join(f"{w} long" for w in WIDE_NAMES)
-    return _texts(docs, key.alias("key")).mapInArrow(run, f"doc_id long, key string, {wide}, symbols binary")
+    longs = [*WIDE_NAMES, *PARITY_NAMES]
+    names = ", ".join(f"{w} long" for w in longs)
+    return _texts(docs, key.alias("key")).mapInArrow(run, f"doc_id long, key string, {names}, symbols binary, digest binary, size long, begin array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, key: str) -> DataFrame:
-    """key, shingles (the set of a whole text's shingle hashes)."""
+def shingle_sets(docs: DataFrame, shingle: int, key: str, of: Callable[[np.ndarray], np.ndarray] = lambda hashes: hashes.view(np.int64)) -> DataFrame:
+    """key, shingles (what ``of`` gives of the set of a whole text's shingle hashes, in ascending order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)).view(np.int64) for t in batch.column("text")]
+            sets = [of(np.unique(shingle_hashes(t.as_py() or b"", shingle))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     return _texts(docs, F.col(key).alias("key")).select("key", "text").mapInArrow(run, "key string, shingles array<long>")
@@ -387,6 +418,7 @@ def wide_links(nodes: DataFrame, similarity: float, most: int = WIDE_ROWS) -> Da
     Of a bucket of more than ``most`` rows a few are leaders, the others are each paired with their
     nearest leader within the bound, and rows without one are dealt again by one more symbol of
     several groups. So no bucket is one task's work, and a large group of near copies takes one pass.
+    Pairs may be missed, here and by the keys: ``crossing`` finds what they leave unlinked.
     """
     bound = bound_bits(similarity)
     me = F.array(*WIDE_NAMES)
@@ -421,27 +453,114 @@ def row_key() -> Column:
     return F.sha2(F.concat(F.col("doc_id").isNull().cast("string"), F.lit("|"), parts[0], F.lit("|"), F.col("text").isNull().cast("string"), F.lit("|"), parts[1]), 256)
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Nodes (a wide fingerprint w0.., the key of its first row, that row's doc_id) and verified links (a, b: keys)."""
-    prints = cut_lineage(wide_prints(docs, shingle, row_key()))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    nodes = prints.groupBy(*WIDE_NAMES).agg(least, F.min("symbols").alias("symbols"))
-    nodes = cut_lineage(nodes.select(*WIDE_NAMES, "symbols", F.col("least.doc_id").alias("first"), F.col("least.key").alias("key")))
-    pairs = cut_lineage(wide_links(nodes, similarity))
-    names = nodes.select(F.array(*WIDE_NAMES).alias("w"), "key")
-    for s in ("a", "b"):
-        pairs = pairs.join(names.select(F.col("w").alias(s), F.col("key").alias(f"{s}_key")), s).drop(s)
-    pairs = cut_lineage(pairs)
-    needed = pairs.select(F.explode(F.array("a_key", "b_key")).alias("needed")).distinct()
+def texts_of(docs: DataFrame, keys: DataFrame, shingle: int, *of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key, shingles (see shingle_sets) of the rows of docs whose key is in ``keys``, stored."""
     key = free_name(docs.columns, "key")
-    texts = docs.select("doc_id", "text", row_key().alias(key)).join(sized(needed, width=80), F.col(key) == F.col("needed"), "left_semi")
-    sets = cut_lineage(shingle_sets(texts, shingle, key).dropDuplicates(["key"]))
+    needed = sized(keys.toDF("needed").distinct(), width=80)
+    texts = docs.select("doc_id", "text", row_key().alias(key)).join(needed, F.col(key) == F.col("needed"), "left_semi")
+    return cut_lineage(shingle_sets(texts, shingle, key, *of).dropDuplicates(["key"]))
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b: ids of nodes) that have the similarity, by their whole sets."""
     both = pairs
+    for s in ("a", "b"):
+        both = both.join(nodes.select(F.col("id").alias(s), F.col("key").alias(f"{s}_key")), s)
+    both = cut_lineage(both)
+    sets = texts_of(docs, both.select(F.explode(F.array("a_key", "b_key"))), shingle)
     for s in ("a", "b"):
         both = both.join(sets.select(F.col("key").alias(f"{s}_key"), F.col("shingles").alias(f"{s}_set")), f"{s}_key")
     common = F.size(F.array_intersect("a_set", "b_set"))
-    verified = both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common) - 1e-9)
-    return nodes, verified.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    return cut_lineage(both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b"))
+
+
+def ordered(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """nodes with their first shingles (begin) in an order that is good for all, and token, n: those shingles that several groups have.
+
+    Any one order of all shingles loses no pair. Shingles that more than ``crowd`` sets have among their
+    first go to its end, which changes the sets that have them there only.
+    """
+    late = np.empty(0, np.uint64)
+    for k in range(ORDERS):
+        tokens = nodes.select("group", F.explode("begin").alias("token")).groupBy("token")
+        tokens = cut_lineage(tokens.agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token", "n"))
+        crowded = [r[0] for r in tokens.where(F.col("n") > crowd).select("token").collect()] if k < ORDERS - 1 else []  # an order, not data
+        new = np.setdiff1d(np.array(crowded, np.int64).view(np.uint64), late)
+        if not len(new):
+            break
+        late = np.union1d(late, new)
+        listed = F.broadcast(nodes.sparkSession.createDataFrame([(int(x),) for x in new.view(np.int64)], "token long"))
+        changed = sized(nodes.select("key", F.explode("begin").alias("token")).join(listed, "token", "left_semi").select("key").distinct(), width=80)
+        begin = texts_of(docs, changed, shingle, lambda hashes, late=late: first_shingles(hashes, similarity, late))
+        anew = nodes.drop("begin").join(changed, "key", "left_semi").join(begin.withColumnRenamed("shingles", "begin"), "key")
+        nodes = nodes.join(changed, "key", "left_anti").unionByName(anew)
+    return nodes, tokens
+
+
+def crossing(nodes: DataFrame, tokens: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """a, b (ids), a_group, b_group: every pair of nodes of two groups that may have the similarity.
+
+    Such a pair shares some of its first shingles, and each pair meets once at each of them. What they
+    share beyond is at most what follows the first shingles of one of them, and what follows the first
+    shared one in either. Sizes and parity bits drop pairs before they are counted. A shingle that
+    many sets have is dealt over several places.
+    """
+    places = F.ceil(F.col("n") / crowd)
+    # most shingles are of one group and go here, before their rows get the other columns
+    live = cut_lineage(nodes.select("id", F.posexplode("begin").alias("at", "token")).join(sized(tokens, width=16), "token"))
+    beside = nodes.select("id", "group", "size", (F.col("size") - F.size("begin")).alias("after"), *PARITY_NAMES)
+    live = live.join(beside, "id").withColumn("left", F.col("size") - F.col("at"))
+    names = ["id", "group", "size", "left", "after", *PARITY_NAMES]
+    a = live.select("token", F.pmod(F.xxhash64("id"), places).alias("place"), *[F.col(c).alias(f"a_{c}") for c in names])
+    b = live.select("token", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"), *[F.col(c).alias(f"b_{c}") for c in names])
+    both = F.col("a_size") + F.col("b_size")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY_NAMES), F.lit(0))
+    fits = (F.col("a_group") != F.col("b_group")) & (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9)
+    fits &= differ * (1 + similarity) <= (1 - similarity) * both + 1e-9
+    met = a.join(b.hint("merge"), ["token", "place"]).where((F.col("a_id") < F.col("b_id")) & fits)
+    met = met.groupBy("a_id", "b_id", "a_group", "b_group", both.alias("both"), F.greatest("a_after", "b_after").alias("after"))
+    met = met.agg(F.count(F.lit(1)).alias("common"), F.max(F.least("a_left", "b_left")).alias("left"))
+    met = met.where(F.least(F.col("common") + F.col("after"), F.col("left")) * (1 + similarity) >= similarity * F.col("both") - 1e-9)
+    return cut_lineage(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_group", "b_group"))
+
+
+def grouped(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with their group (least id reachable over found) for the one that they had."""
+    roots = components(found).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    return nodes.drop("group").join(sized(roots, width=16), "id", "left").withColumn("group", F.coalesce("group", "id"))
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = WIDE_ROWS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Nodes (a set of shingles: the key of its first row, that row's doc_id) and verified links (a, b: keys) that connect what all links connect."""
+    prints = cut_lineage(wide_prints(docs, shingle, row_key(), similarity))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", *WIDE_NAMES, *PARITY_NAMES, "symbols", "size", "begin")).alias("least")
+    nodes = prints.groupBy("digest").agg(least).select("least.*").withColumnRenamed("doc_id", "first")
+    nodes = cut_lineage(nodes.drop("none").withColumn("id", F.monotonically_increasing_id()))
+    wide = cut_lineage(nodes.groupBy(*WIDE_NAMES).agg(F.min("id").alias("one"), F.min("symbols").alias("symbols")))
+    # texts of one wide fingerprint are tried with one of them, and that one with others
+    pairs = wide_links(wide, similarity, most)
+    for s in ("a", "b"):
+        pairs = pairs.join(wide.select(F.array(*WIDE_NAMES).alias(s), F.col("one").alias(f"{s}_one")), s).drop(s)
+    same = nodes.join(wide.drop("symbols"), WIDE_NAMES).where("id <> one").select("one", "id")
+    pairs = pairs.select("a_one", "b_one").union(same).toDF("a", "b")
+    found = verified(docs, nodes, pairs, shingle, similarity)
+    slim = grouped(nodes.drop(*WIDE_NAMES, "symbols", "first"), found)
+    # every pair of two groups; one of each two groups first, which spares the others if it holds
+    slim, tokens = ordered(docs, slim, shingle, similarity, crowd)
+    pairs = crossing(slim, tokens, similarity, crowd)
+    total = pairs.count()
+    one = cut_lineage(pairs.groupBy(F.least("a_group", "b_group"), F.greatest("a_group", "b_group")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+    if total:
+        found = cut_lineage(found.union(verified(docs, nodes, one, shingle, similarity)))
+    if total > one.count():
+        groups = grouped(slim.select("id"), found)
+        for s in ("a", "b"):
+            pairs = pairs.drop(f"{s}_group").join(groups.select(F.col("id").alias(s), F.col("group").alias(f"{s}_group")), s)
+        pairs = pairs.where("a_group <> b_group").select("a", "b").join(one, ["a", "b"], "left_anti")
+        found = cut_lineage(found.union(verified(docs, nodes, pairs, shingle, similarity)))
+    for s in ("a", "b"):
+        found = found.join(nodes.select(F.col("id").alias(s), F.col("key").alias(f"{s}_key")), s)
+    return nodes, found.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
