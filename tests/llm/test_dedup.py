@@ -235,6 +235,31 @@ def test_a_chain_becomes_one_component(spark):
     assert got == {**{k: 0 for k in range(1, 201)}, 1001: 1000}
 
 
+def guess_bits(df):
+    """Binary digits of Spark's guess of a frame's size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+
+def test_size_guesses_and_plans_stay_short_over_rounds(spark):
+    # a guess is a product over joins: kept over rounds, its digits double each time and fill the driver's memory
+    rng = np.random.default_rng(3)
+    path = rng.permutation(400).tolist()
+    edges = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+    roots = op5.components(edges)
+    assert guess_bits(roots) < 200 and {r.root for r in roots.collect()} == {0}
+    rows = [(i, f"words that all texts begin with in one way {i // 4} {i} and some more {i % 7}") for i in range(60)]
+    nodes = spark.createDataFrame([(key, i, i, 12, *([0] * 4), []) for i, key in enumerate(keys_of(spark, rows))], f"key string, id long, group long, size long, {', '.join(p + ' long' for p in op5.PARITY_NAMES)}, begin array<long>")
+    begin = op5.shingle_sets(frame(spark, rows).withColumn("key", op5.row_key()), 5, "key", lambda h: op5.first_shingles(h, 0.1, h[:0]))
+    nodes = nodes.drop("begin").join(begin.withColumnRenamed("shingles", "begin"), "key")
+    now, tokens = op5.ordered(frame(spark, rows), op5.cut_lineage(nodes), 5, 0.1, 20)
+    assert "Join" not in now._jdf.queryExecution().optimizedPlan().toString()
+    assert guess_bits(now) < 200 and guess_bits(tokens) < 200
+
+
+def keys_of(spark, rows):
+    return [k for _, k in sorted(rows_of(frame(spark, rows).select("doc_id", op5.row_key())))]
+
+
 def test_whole_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in Q.table(spark, sf, "documents").collect()]
     got = {i: (f, c) for i, f, c in rows_of(Q.op5_simhash_pivots(spark, sf))}

@@ -47,6 +47,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def restart(df: DataFrame) -> DataFrame:
+    """cut_lineage without what Spark guesses of the result's size.
+
+    A checkpoint keeps the guess of the plan that it cuts off, the product of a join's sides. Where
+    results are joined with themselves over and over, its digits double with each join: a few rounds
+    later they fill the driver's memory. The new frame has the stored rows and a guess of fixed length.
+    """
+    kept, session = cut_lineage(df), df.sparkSession
+    rows = kept._jdf.queryExecution().analyzed().rdd()
+    return type(kept)(session._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), session)
+
+
 #: Bytes that one side of a join may have to be broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 24 << 20
 

@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm.common import cut_lineage, free_name, give_back, lower_ascii, sized
+from tiergraph.llm.common import free_name, give_back, lower_ascii, sized
+from tiergraph.llm.common import restart as cut_lineage
 
 GROUPS = 7
 PIVOTS = 16
@@ -493,7 +494,8 @@ def ordered(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float,
         changed = sized(nodes.select("key", F.explode("begin").alias("token")).join(listed, "token", "left_semi").select("key").distinct(), width=80)
         begin = texts_of(docs, changed, shingle, lambda hashes, late=late: first_shingles(hashes, similarity, late))
         anew = nodes.drop("begin").join(changed, "key", "left_semi").join(begin.withColumnRenamed("shingles", "begin"), "key")
-        nodes = nodes.join(changed, "key", "left_anti").unionByName(anew)
+        # stored: a round reads them twice, so that plans would double with each
+        nodes = cut_lineage(nodes.join(changed, "key", "left_anti").unionByName(anew))
     return nodes, tokens
 
 
