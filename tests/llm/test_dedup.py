@@ -256,6 +256,17 @@ def test_size_guesses_and_plans_stay_short_over_rounds(spark):
     assert guess_bits(now) < 200 and guess_bits(tokens) < 200
 
 
+def test_frequent_shingles_come_last_at_once(spark):
+    passage = "a passage that very many of the texts hold"
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(80)] + [(100 + i, "one text in many copies") for i in range(50)]
+    late = op5.frequent(frame(spark, rows), 5, 40, one_of=1)
+    assert late.tolist() == np.unique(op5.shingle_hashes(passage.encode(), 5)).tolist()
+    nodes = op5.wide_prints(frame(spark, rows).where("doc_id < 80"), 5, op5.row_key(), 0.8, late)
+    counts = nodes.selectExpr("explode(begin) as token").groupBy("token").count()
+    assert counts.agg({"count": "max"}).first()[0] == 1
+    assert sorted(i for (i,) in rows_of(op5.keep_one(frame(spark, rows)).select("doc_id"))) == list(range(80)) + [100]
+
+
 def keys_of(spark, rows):
     return [k for _, k in sorted(rows_of(frame(spark, rows).select("doc_id", op5.row_key())))]
 

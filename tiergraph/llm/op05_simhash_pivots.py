@@ -291,8 +291,10 @@ KEYS, SYMBOLS = 24, 3
 CARRIED, SLACK = 256, 3.0
 #: Rows that one wide bucket compares at most; leaders of a larger one; groups by which its other rows are dealt again.
 WIDE_ROWS, LEADERS, AGAIN = 8_192, 8, 6
-#: Sets that may have one shingle among their first before it goes to the end of the order, and times that this is done.
-CROWD, ORDERS = 1_000, 4
+#: Sets that may have one shingle before it goes to the end of the order; the order is made from one text of COUNTED.
+CROWD, COUNTED = 1_000, 50
+#: The order is made anew, ORDERS times at most, where more than so many pairs a set meet at crowded first shingles.
+ORDERS, MEET = 3, 100
 
 
 def projections(hashes: np.ndarray) -> np.ndarray:
@@ -356,7 +358,19 @@ def first_shingles(hashes: np.ndarray, similarity: float, late: np.ndarray) -> n
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1].view(np.int64)
 
 
-def wide_prints(docs: DataFrame, shingle: int, key: Column, similarity: float = 0.8) -> DataFrame:
+def frequent(docs: DataFrame, shingle: int, crowd: int, one_of: int = COUNTED) -> np.ndarray:
+    """Shingles, ascending, that more than half of ``crowd`` texts have, going by one distinct text of ``one_of``: the end of the order.
+
+    Any order of the shingles loses no pair, so what this guesses wrong costs time only.
+    """
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0).select(F.lit(None).cast("long").alias("doc_id"), "text").distinct()
+    token = F.explode("shingles").alias("token")
+    counts = shingle_sets(some.withColumn("key", F.lit("")), shingle, "key").select(token).groupBy("token").count()
+    often = counts.where(F.col("count") >= max(3, crowd // (2 * one_of))).select("token").collect()  # an order, not data
+    return np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
+
+
+def wide_prints(docs: DataFrame, shingle: int, key: Column, similarity: float = 0.8, late: np.ndarray = np.empty(0, np.uint64)) -> DataFrame:
     """doc_id, key, the wide fingerprint and the symbols of every whole text; its set's digest, parity bits, size and first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +383,7 @@ def wide_prints(docs: DataFrame, shingle: int, key: Column, similarity: float =
                 syms.append(symbols(sums).astype(np.int8).tobytes())
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 sizes.append(len(hashes))
-                begin.append(first_shingles(hashes, similarity, hashes[:0]))
+                begin.append(first_shingles(hashes, similarity, late))
             table = np.array(words, np.int64).reshape(-1, len(longs))
             arrays = [batch.column("doc_id"), batch.column("key"), *[pa.array(table[:, k]) for k in range(len(longs))], pa.array(syms, pa.binary())]
             arrays += [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(begin, pa.list_(pa.int64()))]
@@ -475,17 +489,20 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     return cut_lineage(both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b"))
 
 
-def ordered(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, crowd: int) -> tuple[DataFrame, DataFrame]:
+def ordered(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, crowd: int, late: np.ndarray = np.empty(0, np.uint64)) -> tuple[DataFrame, DataFrame]:
     """nodes with their first shingles (begin) in an order that is good for all, and token, n: those shingles that several groups have.
 
-    Any one order of all shingles loses no pair. Shingles that more than ``crowd`` sets have among their
-    first go to its end, which changes the sets that have them there only.
+    Any one order of all shingles loses no pair. ``late`` is the end of the order that nodes have. Where
+    too many pairs meet at shingles that more than ``crowd`` sets have among their first, those go to the
+    end too, which changes the sets that have them there only.
     """
-    late = np.empty(0, np.uint64)
+    bearable = MEET * nodes.count()
     for k in range(ORDERS):
         tokens = nodes.select("group", F.explode("begin").alias("token")).groupBy("token")
         tokens = cut_lineage(tokens.agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token", "n"))
-        crowded = [r[0] for r in tokens.where(F.col("n") > crowd).select("token").collect()] if k < ORDERS - 1 else []  # an order, not data
+        if k == ORDERS - 1 or (tokens.where(F.col("n") > crowd).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0) <= bearable:
+            break
+        crowded = [r[0] for r in tokens.where(F.col("n") > crowd).select("token").collect()]  # an order, not data
         new = np.setdiff1d(np.array(crowded, np.int64).view(np.uint64), late)
         if not len(new):
             break
@@ -534,7 +551,8 @@ def grouped(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = WIDE_ROWS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Nodes (a set of shingles: the key of its first row, that row's doc_id) and verified links (a, b: keys) that connect what all links connect."""
-    prints = cut_lineage(wide_prints(docs, shingle, row_key(), similarity))
+    late = frequent(docs, shingle, crowd)
+    prints = cut_lineage(wide_prints(docs, shingle, row_key(), similarity, late))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", *WIDE_NAMES, *PARITY_NAMES, "symbols", "size", "begin")).alias("least")
     nodes = prints.groupBy("digest").agg(least).select("least.*").withColumnRenamed("doc_id", "first")
     nodes = cut_lineage(nodes.drop("none").withColumn("id", F.monotonically_increasing_id()))
@@ -548,7 +566,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: in
     found = verified(docs, nodes, pairs, shingle, similarity)
     slim = grouped(nodes.drop(*WIDE_NAMES, "symbols", "first"), found)
     # every pair of two groups; one of each two groups first, which spares the others if it holds
-    slim, tokens = ordered(docs, slim, shingle, similarity, crowd)
+    slim, tokens = ordered(docs, slim, shingle, similarity, crowd, late)
     pairs = crossing(slim, tokens, similarity, crowd)
     total = pairs.count()
     one = cut_lineage(pairs.groupBy(F.least("a_group", "b_group"), F.greatest("a_group", "b_group")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
